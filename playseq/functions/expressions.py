@@ -35,12 +35,13 @@ def label_of(column: Column, labels: Mapping[str, str]) -> Column:
 def cyclic_transition(before: Column, after: Column, cycle: Sequence[str] = MOVES) -> Column:
     """Step from one move to the next around the cycle: "0" stay, "+" one up, "-" one down.
 
-    Null when either side is not part of the cycle.
+    Null when the two differ and either is not part of the cycle.
     """
     up, down, stay = TRANSITIONS
     step = F.pmod(ordinal_of(after, cycle) - ordinal_of(before, cycle), F.lit(len(cycle)))
     names = F.array(*(F.lit(name) for name in (stay, up, *[None] * (len(cycle) - 3), down)))
-    return F.element_at(names, step + 1)
+    # Not element_at, which returns the last element for a null index here.
+    return F.when(before == after, stay).otherwise(F.get(names, step))
 
 
 def entropy_term(p: Column) -> Column:

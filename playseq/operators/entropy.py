@@ -86,9 +86,13 @@ def entropies(
     weighted = F.col("bits") * F.when(
         F.col("dependency").isin(unconditional), F.lit(1.0)
     ).otherwise(F.col("share"))
-    return by_context.groupBy(*keys).agg(
+    # Only contexts with both an entropy and a share count.
+    counted = by_context.select(*keys, "dependency", weighted.alias("bits")).filter(
+        F.col("bits").isNotNull()
+    )
+    return counted.groupBy(*keys).agg(
         *(
-            F.sum(F.when(F.col("dependency") == i, weighted)).alias(ENTROPY[name])
+            F.sum(F.when(F.col("dependency") == i, F.col("bits"))).alias(ENTROPY[name])
             for i, name in enumerate(names)
         )
     )
