@@ -1,9 +1,11 @@
-"""Column expressions used by the operators. All are built-in Spark expressions."""
+"""Column expressions used by the operators. All are built-in Spark expressions.
+
+Columns are passed by name, so each expression is a single piece of SQL.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
-from functools import reduce
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,37 +13,41 @@ from pyspark.sql import functions as F
 from playseq.domain import MOVES, NO_MOVE, TRANSITIONS
 
 
-def is_move(column: str | Column) -> Column:
-    """True for an actual move; false or null for a missing one or the no-move marker."""
-    c = F.col(column) if isinstance(column, str) else column
-    return c.isNotNull() & (c != NO_MOVE)
+def is_move(column: str) -> Column:
+    """True for an actual move; false for a missing one or the no-move marker."""
+    return F.expr(f"{column} IS NOT NULL AND {column} <> '{NO_MOVE}'")
 
 
-def _recode(column: Column, pairs: Iterable[tuple[str, object]]) -> Column:
-    """A single CASE over the pairs, null where none matches."""
-    return reduce(lambda case, pair: case.when(column == pair[0], F.lit(pair[1])), pairs, F)
+def ordinal_sql(column: str, domain: Sequence[str]) -> str:
+    """SQL for the position of a category in its domain, null outside it."""
+    cases = " ".join(f"WHEN '{value}' THEN {i}" for i, value in enumerate(domain))
+    return f"CASE {column} {cases} END"
 
 
-def ordinal_of(column: Column, domain: Sequence[str]) -> Column:
+def ordinal_of(column: str, domain: Sequence[str]) -> Column:
     """Position of a category in its domain, null outside it."""
-    return _recode(column, ((value, i) for i, value in enumerate(domain)))
+    return F.expr(ordinal_sql(column, domain))
 
 
-def label_of(column: Column, labels: Mapping[str, str]) -> Column:
+def label_of(column: str, labels: Mapping[str, object]) -> Column:
     """Recode a column through a small fixed mapping, null where there is no entry."""
-    return _recode(column, labels.items())
+    case = F
+    for value, label in labels.items():
+        case = case.when(F.col(column) == value, label)
+    return case
 
 
-def cyclic_transition(before: Column, after: Column, cycle: Sequence[str] = MOVES) -> Column:
+def cyclic_transition(before: str, after: str, cycle: Sequence[str] = MOVES) -> Column:
     """Step from one move to the next around the cycle: "0" stay, "+" one up, "-" one down.
 
     Null when the two differ and either is not part of the cycle.
     """
     up, down, stay = TRANSITIONS
-    step = F.pmod(ordinal_of(after, cycle) - ordinal_of(before, cycle), F.lit(len(cycle)))
-    names = F.array(*(F.lit(name) for name in (stay, up, *[None] * (len(cycle) - 3), down)))
-    # Not element_at, which returns the last element for a null index here.
-    return F.when(before == after, stay).otherwise(F.get(names, step))
+    step = f"pmod({ordinal_sql(after, cycle)} - {ordinal_sql(before, cycle)}, {len(cycle)})"
+    return F.expr(
+        f"CASE WHEN {before} = {after} THEN '{stay}'"
+        f" ELSE CASE {step} WHEN 1 THEN '{up}' WHEN {len(cycle) - 1} THEN '{down}' END END"
+    )
 
 
 def entropy_term(p: Column) -> Column:
@@ -49,10 +55,10 @@ def entropy_term(p: Column) -> Column:
     return F.when(p > 0, -p * F.log2(p)).otherwise(0.0)
 
 
-def payoff_of_choice(p: Column, position: Column, payoffs: Sequence[float]) -> Column:
+def payoff_of_choice(p: str, position: str, payoffs: Sequence[float]) -> Column:
     """Summed payoff of one choice against categories at `position` having probability `p`.
 
     A category that is missing from the group counts as probability zero.
     """
-    against = _recode(position, enumerate(map(float, payoffs))).otherwise(0.0)
-    return F.sum(p * against)
+    cases = " ".join(f"WHEN {i} THEN {float(value)}D" for i, value in enumerate(payoffs))
+    return F.expr(f"sum({p} * CASE {position} {cases} ELSE 0.0D END)")

@@ -9,14 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from playseq.domain import GAME_KEYS, MOVES, OUTCOMES, TRANSITIONS
-from playseq.functions import is_move
+from playseq.domain import GAME_KEYS, MOVES, NO_MOVE, OUTCOMES, TRANSITIONS
 from playseq.operators.features import FOLLOWS
 
 REFERENCE, LAPLACE = "reference", "laplace"
@@ -35,10 +33,10 @@ class Distribution:
     domain: tuple[str, ...] = MOVES
     context_domains: tuple[tuple[str, ...], ...] = ()
 
-    def included(self) -> Column:
-        return reduce(
-            lambda a, b: a & b,
-            [*(is_move(c) for c in self.moves), *(F.col(c).isNotNull() for c in self.present)],
+    def included(self) -> str:
+        """SQL condition for a round to count; a missing move fails it like the no-move marker."""
+        return " AND ".join(
+            [*(f"{c} <> '{NO_MOVE}'" for c in self.moves), *(f"{c} IS NOT NULL" for c in self.present)]
         )
 
     def grid(self) -> Iterable[tuple[str, ...]]:
@@ -130,14 +128,12 @@ CONTEXTS = _index(
 SLOTS = ("context_1", "context_2", "category_1", "category_2")
 
 
-def _cell(index: int, weight: int, context: Sequence[Column], category: Sequence[Column]) -> Column:
-    absent = F.lit(None).cast("string")
+def _cell(index: int, weight: int, context: Sequence[str], category: Sequence[str]) -> str:
+    """SQL for one cell; context and category are SQL expressions."""
+    absent = "CAST(NULL AS STRING)"
     values = [*context, *[absent] * (2 - len(context)), *category, *[absent] * (2 - len(category))]
-    return F.struct(
-        F.lit(index).alias("distribution"),
-        *(v.alias(slot) for v, slot in zip(values, SLOTS)),
-        F.lit(weight).alias("n"),
-    )
+    slots = ", ".join(f"{value} AS {slot}" for value, slot in zip(values, SLOTS))
+    return f"struct({index} AS distribution, {slots}, {weight} AS n)"
 
 
 def count_cells(
@@ -148,25 +144,21 @@ def count_cells(
     The first round of each sequence also emits the empty cells of smoothed
     distributions, so these are complete for every key without a join.
     """
-    observed = F.array(
-        *(
-            F.when(
-                d.included(),
-                _cell(i, 1, [F.col(c) for c in d.context], [F.col(c) for c in d.category]),
-            )
-            for i, d in enumerate(distributions)
-        )
+    observed = ", ".join(
+        f"CASE WHEN {d.included()} THEN {_cell(i, 1, d.context, d.category)} END"
+        for i, d in enumerate(distributions)
     )
+    cells = f"array({observed})"
     empty = [
-        _cell(i, 0, [F.lit(v) for v in cell[:-1]], [F.lit(cell[-1])])
+        _cell(i, 0, [f"'{v}'" for v in cell[:-1]], [f"'{cell[-1]}'"])
         for i, d in enumerate(distributions)
         for cell in d.grid()
     ]
-    cells = observed
     if empty:
-        cells = F.when(F.col(FOLLOWS), observed).otherwise(F.concat(observed, F.array(*empty)))
+        grid = f"array({', '.join(empty)})"
+        cells = f"concat({cells}, CASE WHEN {FOLLOWS} THEN slice({grid}, 1, 0) ELSE {grid} END)"
     return (
-        df.select(*keys, F.explode(cells).alias("cell"))
+        df.select(*keys, F.explode(F.expr(cells)).alias("cell"))
         .filter("cell.distribution is not null")
         .select(*keys, "cell.*")
         .groupBy(*keys, "distribution", *SLOTS)
@@ -191,37 +183,26 @@ def probabilities(
     context = Window.partitionBy(*keys, "distribution", *SLOTS[:2])
     counted = cells.withColumn("total", F.sum("n").over(context))
 
-    smoothed = [i for i, d in enumerate(distributions) if d.smoothed]
+    smoothed = {i: d for i, d in enumerate(distributions) if d.smoothed}
     if smoothed:
-        is_smoothed = F.col("distribution").isin(smoothed)
-        size = reduce(
-            lambda case, i: case.when(F.col("distribution") == i, F.lit(len(distributions[i].domain))),
-            smoothed,
-            F,
-        )
-        on_grid = reduce(
-            lambda a, b: a | b, (_on_grid(i, distributions[i]) for i in smoothed)
-        )
-        seen = F.col("total")
-        if smoothing == REFERENCE:
-            seen = F.when(F.col("n") > 0, seen).otherwise(0)
-        counted = counted.filter(~is_smoothed | on_grid).withColumns(
+        is_smoothed = f"distribution IN ({', '.join(map(str, smoothed))})"
+        sizes = " ".join(f"WHEN {i} THEN {len(d.domain)}" for i, d in smoothed.items())
+        on_grid = " OR ".join(_on_grid(i, d) for i, d in smoothed.items())
+        seen = "total" if smoothing == LAPLACE else "IF(n > 0, total, 0)"
+        counted = counted.filter(f"NOT {is_smoothed} OR {on_grid}").withColumns(
             {
-                "n": F.when(is_smoothed, F.col("n") + 1).otherwise(F.col("n")),
-                "total": F.when(is_smoothed, size + seen).otherwise(F.col("total")),
+                "n": F.expr(f"IF({is_smoothed}, n + 1, n)"),
+                "total": F.expr(f"IF({is_smoothed}, CASE distribution {sizes} END + {seen}, total)"),
             }
         )
-    return counted.withColumn("p", F.col("n") / F.col("total"))
+    return counted.withColumn("p", F.expr("n / total"))
 
 
-def _on_grid(index: int, d: Distribution) -> Column:
-    """Whether a smoothed cell's values all lie in their domains."""
-    slots = [*SLOTS[: len(d.context)], "category_1"]
-    return reduce(
-        lambda a, b: a & b,
-        (F.coalesce(F.col(s).isin(*v), F.lit(False)) for s, v in zip(slots, (*d.context_domains, d.domain))),
-        F.col("distribution") == index,
-    )
+def _on_grid(index: int, d: Distribution) -> str:
+    """SQL for a smoothed cell whose values all lie in their domains."""
+    slots = zip((*SLOTS[: len(d.context)], "category_1"), (*d.context_domains, d.domain))
+    inside = (f"{slot} IN ({', '.join(map(repr, domain))})" for slot, domain in slots)
+    return " AND ".join((f"(distribution = {index}", *inside)) + ")"
 
 
 def distribution(

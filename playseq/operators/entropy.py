@@ -61,38 +61,39 @@ def entropies(
     cells = probabilities(cells, keys, chosen, smoothing)
 
     # A context's share is stated under each dependency it weighs.
-    roles = F
-    for i, name in enumerate(names):
-        roles = roles.when(F.col("distribution") == i, F.array(F.lit(i)))
-    for j, target in enumerate(targets, start=len(names)):
-        weighed = [i for i, n in enumerate(names) if WEIGHTED_BY.get(n) == target]
-        roles = roles.when(F.col("distribution") == j, F.array(*map(F.lit, weighed)))
-    is_share = F.col("distribution") >= len(names)
+    stated_under = {i: [i] for i in range(len(names))} | {
+        j: [i for i, n in enumerate(names) if WEIGHTED_BY.get(n) == target]
+        for j, target in enumerate(targets, start=len(names))
+    }
+    cases = " ".join(
+        f"WHEN {i} THEN array({', '.join(map(str, under))})" for i, under in stated_under.items()
+    )
+    is_share = f"distribution >= {len(names)}"
     stated = cells.select(
         *keys,
-        is_share.alias("is_share"),
+        F.expr(is_share).alias("is_share"),
         "p",
         *(
-            F.when(is_share, F.col(category)).otherwise(F.col(context)).alias(context)
+            F.expr(f"IF({is_share}, {category}, {context})").alias(context)
             for context, category in zip(SLOTS[:2], SLOTS[2:])
         ),
-        F.explode(roles).alias("dependency"),
+        F.explode(F.expr(f"CASE distribution {cases} END")).alias("dependency"),
     )
-    unconditional = [i for i, n in enumerate(names) if n not in WEIGHTED_BY]
     by_context = stated.groupBy(*keys, "dependency", *SLOTS[:2]).agg(
         F.sum(F.when(~F.col("is_share"), entropy_term(F.col("p")))).alias("bits"),
         F.max(F.when(F.col("is_share"), F.col("p"))).alias("share"),
     )
-    weighted = F.col("bits") * F.when(
-        F.col("dependency").isin(unconditional), F.lit(1.0)
-    ).otherwise(F.col("share"))
+    weighed = [str(i) for i, n in enumerate(names) if n in WEIGHTED_BY]
+    weighted = F.col("bits")
+    if weighed:
+        weighted = F.expr(f"bits * IF(dependency IN ({', '.join(weighed)}), share, 1.0D)")
     # Only contexts with both an entropy and a share count.
     counted = by_context.select(*keys, "dependency", weighted.alias("bits")).filter(
         F.col("bits").isNotNull()
     )
     return counted.groupBy(*keys).agg(
         *(
-            F.sum(F.when(F.col("dependency") == i, F.col("bits"))).alias(ENTROPY[name])
+            F.expr(f"sum(bits) FILTER (WHERE dependency = {i})").alias(ENTROPY[name])
             for i, name in enumerate(names)
         )
     )

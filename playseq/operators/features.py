@@ -118,12 +118,13 @@ def _pair(df: DataFrame, name: str, included: Column, sizes: Sizes, limits: Limi
 
 def with_transitions(df: DataFrame) -> DataFrame:
     """Own and opponent-relative transitions, as "+", "-" or "0"."""
-    move, previous = F.col("player_move"), F.col("prev_move")
     return df.withColumns(
         {
-            "transition": cyclic_transition(previous, move),
-            "prev_transition": cyclic_transition(F.col("prev_move2"), previous),
-            "cournot_transition": cyclic_transition(F.col("opponent_prev_move"), move),
-            "cournot_transition_both": cyclic_transition(F.col("opponent_prev_move_both"), move),
+            "transition": cyclic_transition("prev_move", "player_move"),
+            "prev_transition": cyclic_transition("prev_move2", "prev_move"),
+            "cournot_transition": cyclic_transition("opponent_prev_move", "player_move"),
+            "cournot_transition_both": cyclic_transition(
+                "opponent_prev_move_both", "player_move"
+            ),
         }
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from playseq.domain import GAME_KEYS, GAME_ROUNDS, PAYOFF
 from playseq.functions import payoff_of_choice
-from playseq.functions.expressions import ordinal_of
+from playseq.functions.expressions import ordinal_sql
 from playseq.operators.distributions import (
     DEPENDENCIES,
     REFERENCE,
@@ -62,19 +62,20 @@ def best_responses(
     """Best expected payoff per round against each key, dependency and context."""
     chosen = [DEPENDENCIES[name] for name in names]
     cells = probabilities(count_cells(df, keys, chosen), keys, chosen, smoothing)
-    position = F
-    for columns in dict.fromkeys(payoff_columns(d, alignment) for d in chosen):
-        members = [i for i, d in enumerate(chosen) if payoff_columns(d, alignment) == columns]
-        position = position.when(
-            F.col("distribution").isin(members), ordinal_of(F.col("category_1"), columns)
-        )
+    orders: dict[tuple[str, ...], list[str]] = {}
+    for i, d in enumerate(chosen):
+        orders.setdefault(payoff_columns(d, alignment), []).append(str(i))
+    cases = " ".join(
+        f"WHEN distribution IN ({', '.join(members)}) THEN {ordinal_sql('category_1', columns)}"
+        for columns, members in orders.items()
+    )
     choices = [f"choice_{i}" for i in range(len(payoff))]
     return (
-        cells.withColumn("position", position)
+        cells.withColumn("position", F.expr(f"CASE {cases} END"))
         .groupBy(*keys, "distribution", *SLOTS[:2])
         .agg(
             *(
-                payoff_of_choice(F.col("p"), F.col("position"), row).alias(choice)
+                payoff_of_choice("p", "position", row).alias(choice)
                 for choice, row in zip(choices, payoff)
             )
         )
@@ -100,9 +101,8 @@ def player_expected_wcd(
     factors = {name: 1 / _contexts(DEPENDENCIES[name]) for name in names} | dict(weights or {})
     return best.groupBy(*keys).agg(
         *(
-            (
-                F.sum(F.when(F.col("distribution") == i, F.col("max_util") * factors[name]))
-                * game_rounds
+            F.expr(
+                f"sum(max_util) FILTER (WHERE distribution = {i}) * {factors[name] * game_rounds}D"
             ).alias(EXPECTED_WCD[name])
             for i, name in enumerate(names)
         )

@@ -112,10 +112,9 @@ def information_gain_summary(combined: DataFrame, null_policy: str = "propagate"
 def information_gain_figure(summary: DataFrame) -> DataFrame:
     """The summary with display labels, their order, and one standard error to each side."""
     mean, error = F.col("mean_information_gain"), F.col("se_information_gain")
-    label = label_of(F.col("entropy_type"), FIGURE_LABELS)
     return summary.select(
-        label.alias("entropy_type"),
-        ordinal_of(label, LABELS).alias("ordinal"),
+        label_of("entropy_type", FIGURE_LABELS).alias("entropy_type"),
+        ordinal_of("entropy_type", tuple(FIGURE_LABELS)).alias("ordinal"),
         "corrected",
         "mean_information_gain",
         (mean - error).alias("lower"),

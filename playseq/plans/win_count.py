@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playseq.domain import LABELLED_DEPENDENCIES, LABELS
-from playseq.functions import ordinal_of
-from playseq.functions.expressions import label_of
+from playseq.functions import label_of
 from playseq.operators.correlation import correlations
 from playseq.operators.regression import Fit, fit
 from playseq.operators.sequence import checkpoint
@@ -81,8 +80,8 @@ def correlation_table(residualised: DataFrame) -> DataFrame:
     ]
     found = correlations(residualised, [r[0] for r in rows], EMPIRICAL, "game_id")
     return found.select(
-        label_of(F.col("metric"), {r[0]: r[1] for r in rows}).alias("dependency"),
-        label_of(F.col("metric"), {r[0]: r[2] for r in rows}).alias("correction"),
+        label_of("metric", {r[0]: r[1] for r in rows}).alias("dependency"),
+        label_of("metric", {r[0]: r[2] for r in rows}).alias("correction"),
         "corr",
         "se",
     )
@@ -92,7 +91,7 @@ def correlation_figure(table: DataFrame) -> DataFrame:
     """The correlation table with label order and one standard error to each side."""
     return table.select(
         "dependency",
-        ordinal_of(F.col("dependency"), LABELS).alias("ordinal"),
+        label_of("dependency", {label: i for i, label in enumerate(LABELS)}).alias("ordinal"),
         "correction",
         "corr",
         (F.col("corr") - F.col("se")).alias("lower"),

@@ -26,14 +26,14 @@ EVENT_MOVES = {
 GAMES_PER_PAIR = 2**31
 
 
-def _outcome(own: Column, other: Column) -> Column:
+def _outcome(own: str, other: str) -> Column:
     """Result for the owner of the first move; null when there is no opponent."""
     step = cyclic_transition(other, own)
     return (
-        F.when(own == other, "tie")
-        .when(other.isNull(), None)
-        .when(own == NO_MOVE, "loss")
-        .when(other == NO_MOVE, "win")
+        F.when(F.col(own) == F.col(other), "tie")
+        .when(F.col(other).isNull(), None)
+        .when(F.col(own) == NO_MOVE, "loss")
+        .when(F.col(other) == NO_MOVE, "win")
         .when(step == "+", "win")
         .otherwise("loss")
     )
@@ -61,7 +61,7 @@ def rounds_from_events(
         F.col("user_id").alias("player_id"),
         "ts",
         "event_id",
-        label_of(F.col("event_type"), EVENT_MOVES).alias("player_move"),
+        label_of("event_type", EVENT_MOVES).alias("player_move"),
     )
     if not slices:
         # A game is then two small users, so numbering, pairing and any later
@@ -92,5 +92,5 @@ def rounds_from_events(
         "player_id",
         "round_index",
         "player_move",
-        _outcome(F.col("player_move"), F.col("other_move")).alias("player_outcome"),
+        _outcome("player_move", "other_move").alias("player_outcome"),
     )
