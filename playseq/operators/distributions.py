@@ -144,6 +144,11 @@ def count_cells(
     The first round of each sequence also emits the empty cells of smoothed
     distributions, so these are complete for every key without a join.
     """
+    if len(distributions) == 1 and not distributions[0].smoothed:
+        # The condition can then reach the scan, or at least stand before the counting.
+        (d,) = distributions
+        chosen = df.filter(d.included())
+        return _count(chosen.select(*keys, F.expr(_cell(0, 1, d.context, d.category)).alias("cell")), keys)
     observed = ", ".join(
         f"CASE WHEN {d.included()} THEN {_cell(i, 1, d.context, d.category)} END"
         for i, d in enumerate(distributions)
@@ -157,13 +162,13 @@ def count_cells(
     if empty:
         grid = f"array({', '.join(empty)})"
         cells = f"concat({cells}, CASE WHEN {FOLLOWS} THEN slice({grid}, 1, 0) ELSE {grid} END)"
-    return (
-        df.select(*keys, F.explode(F.expr(cells)).alias("cell"))
-        .filter("cell.distribution is not null")
-        .select(*keys, "cell.*")
-        .groupBy(*keys, "distribution", *SLOTS)
-        .agg(F.sum("n").alias("n"))
-    )
+    emitted = df.select(*keys, F.explode(F.expr(cells)).alias("cell"))
+    return _count(emitted.filter("cell.distribution is not null"), keys)
+
+
+def _count(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    flat = cells.select(*keys, "cell.*")
+    return flat.groupBy(*keys, "distribution", *SLOTS).agg(F.sum("n").alias("n"))
 
 
 def probabilities(

@@ -66,7 +66,7 @@ def with_lags(rounds: DataFrame, keys: tuple[str, ...], sizes: Sizes, limits: Li
     if sizes.rows_per_player <= limits.rows_per_task:
         return shift(rounds, keys, order, outputs)
     edges_per_player = 4 * sizes.games_per_player * sizes.blocks_per_sequence
-    edge_slices = 0 if edges_per_player <= limits.rows_per_task else sizes.tasks(limits)
+    edge_slices = 0 if edges_per_player <= limits.rows_per_task else limits.tasks_for(sizes.rows)
     if sizes.rows_per_sequence <= limits.rows_per_task:
         return shift(
             rounds, keys, order, outputs, slice_by=["game_id"], range_count=edge_slices
@@ -100,7 +100,7 @@ def _pair(df: DataFrame, name: str, included: Column, sizes: Sizes, limits: Limi
     columns = df.columns
     # The flag joins the key, so excluded rows never stand between included ones.
     flagged = df.withColumn("_included", F.coalesce(included, F.lit(False)))
-    slices = 0 if sizes.players_per_game <= limits.rows_per_task else sizes.tasks(limits)
+    slices = 0 if sizes.players_per_game <= limits.rows_per_task else limits.tasks_for(sizes.rows)
     neighbours = shift(
         flagged,
         ["game_id", "round_index", "_included"],

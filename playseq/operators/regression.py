@@ -130,7 +130,7 @@ def quantiles(
     if rows <= limits.rows_per_task:
         return df.agg(*(F.percentile(column, p).alias(n) for n, p in probabilities.items()))
     # The built-in exact percentile holds all values in one place; rank them instead.
-    slices = math.ceil(rows / max(1, limits.rows_per_task // 2))
+    slices = limits.tasks_for(rows)
     ranked = number_rows(df.select(column), [], [column], "rank", range_count=slices)
 
     def at(p: float) -> Column:

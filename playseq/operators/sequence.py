@@ -93,18 +93,19 @@ def _shifted(outputs: Mapping[str, Shift], window) -> list[Column]:
 
 def _shift_sliced(df, keys, order, outputs, slice_by, edge_range_count) -> DataFrame:
     reach = max(abs(offset) for _, offset in outputs.values())
+    first, last = (f"_{side}_of_{slice_by[-1]}" for side in ("first", "last"))
     groups = list(dict.fromkeys([*keys, *slice_by]))
     window = Window.partitionBy(*groups).orderBy(*order)
     local = df.select(
         "*",
         *_shifted(outputs, window),
-        F.lag(F.lit(True), reach).over(window).isNull().alias("_first"),
-        F.lead(F.lit(True), reach).over(window).isNull().alias("_last"),
+        F.lag(F.lit(True), reach).over(window).isNull().alias(first),
+        F.lead(F.lit(True), reach).over(window).isNull().alias(last),
     )
-    inner = local.filter(~F.col("_first") & ~F.col("_last"))
+    inner = local.filter(~F.col(first) & ~F.col(last))
     # The rows just before a slice's first rows, and just after its last, are edge rows too.
     edges = shift(
-        local.filter(F.col("_first") | F.col("_last")),
+        local.filter(F.col(first) | F.col(last)),
         keys,
         order,
         {f"_across_{name}": spec for name, spec in outputs.items()},
@@ -113,13 +114,13 @@ def _shift_sliced(df, keys, order, outputs, slice_by, edge_range_count) -> DataF
     stitched = edges.select(
         *df.columns,
         *(
-            F.when(F.col("_first" if offset > 0 else "_last"), F.col(f"_across_{name}"))
+            F.when(F.col(first if offset > 0 else last), F.col(f"_across_{name}"))
             .otherwise(F.col(name))
             .alias(name)
             for name, (_, offset) in outputs.items()
         ),
     )
-    return inner.drop("_first", "_last").unionByName(stitched)
+    return inner.drop(first, last).unionByName(stitched)
 
 
 def number_rows(

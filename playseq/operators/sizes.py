@@ -13,11 +13,16 @@ from playseq.domain import MIN_ROUNDS
 
 @dataclass(frozen=True)
 class Limits:
-    """What one task, one block of rounds and one broadcast may hold."""
+    """What one task, one block of rounds and one broadcast may hold, and how wide a shuffle may be."""
 
-    rows_per_task: int = 4_000_000
+    rows_per_task: int = 8_000_000
     rounds_per_block: int = 131_072
     broadcast_rows: int = 1_000_000
+    partitions: int = 50_000
+
+    def tasks_for(self, rows: int) -> int:
+        """Partitions that leave room in each task for keys that hash together."""
+        return min(self.partitions, math.ceil(2 * rows / self.rows_per_task))
 
 
 LIMITS = Limits()
@@ -34,10 +39,6 @@ class Sizes:
     blocks_per_sequence: int
     incomplete_players: int
 
-    def tasks(self, limits: Limits) -> int:
-        """Partitions that keep a full shuffle of the rows well within one task each."""
-        return math.ceil(self.rows / max(1, limits.rows_per_task // 2))
-
 
 def measure(rounds: DataFrame, min_rounds: int = MIN_ROUNDS, limits: Limits = LIMITS) -> Sizes:
     """Measure the largest groups; reads three columns and collects two rows.
@@ -53,46 +54,45 @@ def measure(rounds: DataFrame, min_rounds: int = MIN_ROUNDS, limits: Limits = LI
         F.count_if(F.col("round_index").isNull()).alias("unknown"),
         F.coalesce(F.max(block) - F.min(block) + 1, F.lit(1)).alias("blocks"),
     )
-    games = sequences.groupBy("game_id").agg(
-        F.sum("rows").alias("rows"), F.count("*").alias("members"), F.max("rows").alias("sequence"),
+    # One pass over the sequences gives both the games and the players.
+    groups = sequences.groupingSets(
+        [["game_id"], ["player_id"]], "game_id", "player_id"
+    ).agg(
+        F.grouping("player_id").alias("is_game"),
+        F.sum("rows").alias("rows"),
+        F.count("*").alias("members"),
+        F.max("rows").alias("sequence"),
         F.max("blocks").alias("blocks"),
+        ((F.max("last") < min_rounds) & (F.sum("unknown") == 0)).alias("is_incomplete"),
     )
-    players = sequences.groupBy("player_id").agg(
-        F.sum("rows").alias("rows"), F.count("*").alias("members"), F.max("last").alias("last"),
-        F.sum("unknown").alias("unknown"),
-    )
-    row_totals = [F.sum("rows").alias("total"), F.max("rows").alias("rows"), F.max("members").alias("members")]
     found = {
-        r["kind"]: r
-        for r in games.agg(
-            F.lit("game").alias("kind"), *row_totals,
-            F.max("sequence").alias("sequence"), F.max("blocks").alias("blocks"),
-        )
-        .unionByName(
-            players.agg(
-                F.lit("player").alias("kind"), *row_totals,
-                F.count_if((F.col("last") < min_rounds) & (F.col("unknown") == 0)).alias("incomplete"),
-            ),
-            allowMissingColumns=True,
+        row["is_game"]: row
+        for row in groups.groupBy("is_game")
+        .agg(
+            F.sum("rows").alias("total"),
+            *(F.max(c).alias(c) for c in ("rows", "members", "sequence", "blocks")),
+            F.count_if("is_incomplete").alias("incomplete"),
         )
         .collect()
     }
-    game, player = found["game"], found["player"]
+    if not found:
+        return Sizes(0, 0, 0, 0, 0, 0, 0, 0)
+    game, player = found[1], found[0]
     return Sizes(
-        rows=game["total"] or 0,
-        rows_per_game=game["rows"] or 0,
-        rows_per_sequence=game["sequence"] or 0,
-        rows_per_player=player["rows"] or 0,
-        players_per_game=game["members"] or 0,
-        games_per_player=player["members"] or 0,
-        blocks_per_sequence=game["blocks"] or 0,
-        incomplete_players=player["incomplete"] or 0,
+        rows=game["total"],
+        rows_per_game=game["rows"],
+        rows_per_sequence=game["sequence"],
+        rows_per_player=player["rows"],
+        players_per_game=game["members"],
+        games_per_player=player["members"],
+        blocks_per_sequence=game["blocks"],
+        incomplete_players=player["incomplete"],
     )
 
 
 def spread(df: DataFrame, columns: list[str], rows: int, limits: Limits = LIMITS) -> DataFrame:
     """Hash-partition by columns, into more partitions than the session default if rows need it."""
-    needed = math.ceil(rows / max(1, limits.rows_per_task // 2))
+    needed = limits.tasks_for(rows)
     if needed > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
         return df.repartition(needed, *columns)
     return df.repartition(*columns)

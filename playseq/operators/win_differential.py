@@ -134,7 +134,7 @@ def empirical_wcd(
         .agg(F.count_if(F.col("player_outcome") == "win").alias("n_wins"))
         .filter("n_wins > 0")
     )
-    slices = 0 if sizes.players_per_game <= limits.rows_per_task else sizes.tasks(limits)
+    slices = 0 if sizes.players_per_game <= limits.rows_per_task else limits.tasks_for(sizes.rows)
     both = shift(
         wins, ["game_id"], ["player_id"], {"opponent_wins": ("n_wins", 1)}, range_count=slices
     )

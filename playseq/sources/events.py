@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,9 +50,7 @@ def rounds_from_events(
     player takes part in several.
     """
     rows, largest = group_sizes(events, ["user_id"])
-    slices = 0
-    if largest > limits.rows_per_task:
-        slices = math.ceil(rows / max(1, limits.rows_per_task // 2))
+    slices = limits.tasks_for(rows) if largest > limits.rows_per_task else 0
 
     moves = events.select(
         F.expr("user_id div 2").alias("game_id"),
