@@ -91,10 +91,40 @@ def with_opponent(lagged: DataFrame, sizes: Sizes, limits: Limits) -> DataFrame:
     complete = (
         F.col("prev_outcome").isNotNull() & is_move("prev_move") & is_move("player_move")
     )
+    if sizes.players_per_game <= 2:
+        return _pair_of_two(near, complete)
     near = _pair(near, "opponent_prev_move", everything, sizes, limits)
     return _pair(near, "opponent_prev_move_both", complete, sizes, limits)
 
 
+def _pair_of_two(df: DataFrame, complete: Column) -> DataFrame:
+    """Both populations from one window: with two rows a round, the other row is in or out."""
+    columns = df.columns
+    neighbours = shift(
+        df.withColumn("_complete", F.coalesce(complete, F.lit(False))),
+        ["game_id", "round_index"],
+        ["player_id"],
+        {
+            "_move_above": ("player_move", 1),
+            "_prev_above": ("prev_move", 1),
+            "_prev_below": ("prev_move", -1),
+            "_complete_above": ("_complete", 1),
+            "_complete_below": ("_complete", -1),
+        },
+    )
+    return neighbours.select(
+        *columns,
+        F.expr(
+            "CASE WHEN prev_move IS NOT NULL THEN"
+            " IF(_move_above IS NULL, _prev_below, _prev_above) END"
+        ).alias("opponent_prev_move"),
+        F.expr(
+            "CASE WHEN _complete AND _complete_above THEN _prev_above"
+            " WHEN _complete AND _complete_below THEN _prev_below END"
+        ).alias("opponent_prev_move_both"),
+    )
+
+
 def _pair(df: DataFrame, name: str, included: Column, sizes: Sizes, limits: Limits) -> DataFrame:
     """Each included row's neighbour in its round: the row before it, or after for the first row."""
     columns = df.columns

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.ml.feature import VectorAssembler
@@ -85,6 +86,40 @@ def fit(df: DataFrame, target: str, predictors: Sequence[str]) -> Fit:
     )
 
 
+def residuals(df: DataFrame, models: Mapping[str, tuple[str, Sequence[str]]]) -> dict[str, Column]:
+    """Residual of each named model, (target, predictors), as a column expression.
+
+    One aggregation gives the means and covariances that all the models need.
+    """
+    columns = sorted({c for target, on in models.values() for c in (target, *on)})
+    pairs = sorted({tuple(sorted((a, b))) for target, on in models.values()
+                    for a in (target, *on) for b in on})
+    moments = df.agg(
+        *(F.avg(c).alias(c) for c in columns),
+        *(F.covar_pop(a, b).alias(f"{a}|{b}") for a, b in pairs),
+    ).first()
+
+    def covariance(a: str, b: str) -> float:
+        return moments["|".join(sorted((a, b)))]
+
+    found = {}
+    for name, (target, on) in models.items():
+        if moments[target] is None:
+            found[name] = F.lit(None).cast("double")
+            continue
+        among = np.array([[covariance(a, b) for b in on] for a in on])
+        with_target = np.array([covariance(a, target) for a in on])
+        # Scaled to correlations, and by least squares, so collinear predictors share the effect.
+        scale = np.sqrt(np.diag(among))
+        scale[scale == 0] = 1.0
+        slopes = np.linalg.lstsq(among / np.outer(scale, scale), with_target / scale)[0] / scale
+        fitted = F.lit(moments[target])
+        for predictor, slope in zip(on, slopes):
+            fitted = fitted + (F.col(predictor) - moments[predictor]) * float(slope)
+        found[name] = F.col(target) - fitted
+    return found
+
+
 def coefficient_table(df: DataFrame, fitted: Fit) -> DataFrame:
     """One row per term, intercept first."""
     columns = (fitted.estimates, fitted.std_errors, fitted.t_values, fitted.p_values)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from playseq.domain import LABELLED_DEPENDENCIES, LABELS
 from playseq.functions import label_of
 from playseq.operators.correlation import correlations
-from playseq.operators.regression import Fit, fit
+from playseq.operators.regression import Fit, fit, residuals
 from playseq.operators.sequence import checkpoint
 from playseq.operators.win_differential import EXPECTED_WCD, empirical_wcd, expected_wcd
 from playseq.plans.study import Study
@@ -50,17 +50,18 @@ def summary_win_diff(study: Study, **options) -> DataFrame:
 
 
 def residualise(summary: DataFrame, names: Sequence[str] = tuple(RESIDUALS)) -> DataFrame:
-    """Add the named residual columns; each needs one fit over the table.
+    """Add the named residual columns; their models share one pass over the table.
 
-    The table, one row per game, is checkpointed first so that no fit repeats the
-    analysis behind it.
+    The table, one row per game, is checkpointed first so that neither this pass nor
+    a later fit repeats the analysis behind it.
     """
     games = checkpoint(summary)
-    columns = {}
-    for name in names:
-        of, on = RESIDUALS[name]
-        columns[name] = fit(games, EXPECTED_WCD[of], [EXPECTED_WCD[n] for n in on]).residual()
-    return games.withColumns(columns)
+    models = {
+        name: (EXPECTED_WCD[of], [EXPECTED_WCD[n] for n in on])
+        for name, (of, on) in RESIDUALS.items()
+        if name in names
+    }
+    return games.withColumns(residuals(games, models))
 
 
 def full_model(residualised: DataFrame) -> Fit:

@@ -1,6 +1,7 @@
 """Keys too large for one task are cut up; results must equal the plain windows."""
 
 import random
+from dataclasses import replace
 
 import pytest
 
@@ -132,3 +133,11 @@ def test_quantiles_by_rank(spark):
     (plain,) = quantiles(df, "x", wanted, 37).collect()
     (ranked,) = quantiles(df, "x", wanted, 37, Limits(rows_per_task=4)).collect()
     assert list(ranked) == pytest.approx(list(plain))
+
+
+@pytest.mark.parametrize("keys", [GAME_KEYS, PLAYER_KEYS])
+def test_two_player_shortcut_equals_general_pairing(skewed, keys):
+    sizes = measure(skewed)
+    assert sizes.players_per_game == 2
+    general = features(skewed, keys, replace(sizes, players_per_game=3))
+    assert rows_of(features(skewed, keys, sizes)) == rows_of(general)

@@ -10,7 +10,7 @@ from playseq.domain import MOVES
 from playseq.functions import cyclic_transition
 from playseq.operators.correlation import correlations
 from playseq.operators.distributions import DEPENDENCIES, LAPLACE, distribution
-from playseq.operators.regression import coefficient_table, f_tail, fit, fit_table
+from playseq.operators.regression import coefficient_table, f_tail, fit, fit_table, residuals
 from playseq.operators.win_differential import expected_wcd
 from playseq.plans.information_gain import (
     CORRECTIONS,
@@ -57,6 +57,17 @@ def test_least_squares(sample):
     assert abs(got.sum()) < 1e-9 and np.abs(design.T @ got).max() < 1e-7
 
 
+def test_residuals_of_several_models_in_one_pass(sample):
+    df, design, y = sample
+    df = df.withColumn("twice", F.col("a") * 2)
+    found = residuals(df, {"one": ("y", ["a", "c"]), "same": ("y", ["a", "twice", "c"]), "b": ("b", ["a"])})
+    rows = df.withColumns(found).orderBy("id").collect()
+    for name, target, on in (("one", y, [0, 1, 3]), ("same", y, [0, 1, 3]), ("b", design[:, 2], [0, 1])):
+        x = design[:, on]
+        want = target - x @ np.linalg.lstsq(x, target, rcond=None)[0]
+        assert [r[name if name != "b" else "b"] for r in rows] == pytest.approx(list(want), abs=1e-9)
+
+
 def test_collinear_predictors_have_no_errors(sample):
     df = sample[0].withColumn("twice", F.col("a") * 2)
     fitted = fit(df, "y", ["a", "twice"])
