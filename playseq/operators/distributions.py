@@ -29,6 +29,7 @@ class Distribution:
     context: tuple[str, ...] = ()
     moves: tuple[str, ...] = ()  # columns that must hold an actual move
     present: tuple[str, ...] = ()  # columns that must not be null
+    equal: tuple[tuple[str, str], ...] = ()  # columns that must have a value
     smoothed: bool = False
     domain: tuple[str, ...] = MOVES
     context_domains: tuple[tuple[str, ...], ...] = ()
@@ -36,7 +37,11 @@ class Distribution:
     def included(self) -> str:
         """SQL condition for a round to count; a missing move fails it like the no-move marker."""
         return " AND ".join(
-            [*(f"{c} <> '{NO_MOVE}'" for c in self.moves), *(f"{c} IS NOT NULL" for c in self.present)]
+            [
+                *(f"{c} <> '{NO_MOVE}'" for c in self.moves),
+                *(f"{c} IS NOT NULL" for c in self.present),
+                *(f"{c} = '{value}'" for c, value in self.equal),
+            ]
         )
 
     def grid(self) -> Iterable[tuple[str, ...]]:
@@ -124,6 +129,9 @@ CONTEXTS = _index(
     ),
 )
 
+# Rounds won, counted along with the others where both are needed.
+WINS = Distribution("wins", ("player_outcome",), equal=(("player_outcome", "win"),))
+
 # A cell's place: at most two context columns and two category columns.
 SLOTS = ("context_1", "context_2", "category_1", "category_2")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playseq.domain import GAME_KEYS, GAME_ROUNDS, PAYOFF
@@ -14,6 +14,7 @@ from playseq.operators.distributions import (
     DEPENDENCIES,
     REFERENCE,
     SLOTS,
+    WINS,
     Distribution,
     count_cells,
     probabilities,
@@ -58,10 +59,15 @@ def best_responses(
     payoff: Sequence[Sequence[float]] = PAYOFF,
     alignment: str = POSITIONAL,
     smoothing: str = REFERENCE,
+    also: Sequence[Distribution] = (),
 ) -> DataFrame:
-    """Best expected payoff per round against each key, dependency and context."""
+    """Best expected payoff per round against each key, dependency and context.
+
+    `n` counts the observations. Distributions in `also` are counted in the same pass.
+    """
     chosen = [DEPENDENCIES[name] for name in names]
-    cells = probabilities(count_cells(df, keys, chosen), keys, chosen, smoothing)
+    counted = [*chosen, *also]
+    cells = probabilities(count_cells(df, keys, counted), keys, counted, smoothing)
     orders: dict[tuple[str, ...], list[str]] = {}
     for i, d in enumerate(chosen):
         orders.setdefault(payoff_columns(d, alignment), []).append(str(i))
@@ -77,9 +83,10 @@ def best_responses(
             *(
                 payoff_of_choice("p", "position", row).alias(choice)
                 for choice, row in zip(choices, payoff)
-            )
+            ),
+            F.sum("n").alias("n"),
         )
-        .select(*keys, "distribution", *SLOTS[:2], F.greatest(*choices).alias("max_util"))
+        .select(*keys, "distribution", *SLOTS[:2], "n", F.greatest(*choices).alias("max_util"))
     )
 
 
@@ -90,14 +97,16 @@ def player_expected_wcd(
     *,
     game_rounds: int = GAME_ROUNDS,
     weights: Mapping[str, float] | None = None,
+    with_wins: bool = False,
     **options,
 ) -> DataFrame:
     """Expected win-count differential against each key, one column per dependency.
 
     Contexts weigh the same, one over the number of possible contexts, unless
     `weights` names another factor; contexts that never occur add nothing.
+    `with_wins` adds `n_wins`, the rounds each key won, null for none.
     """
-    best = best_responses(df, names, keys, **options)
+    best = best_responses(df, names, keys, also=[WINS] if with_wins else [], **options)
     factors = {name: 1 / _contexts(DEPENDENCIES[name]) for name in names} | dict(weights or {})
     return best.groupBy(*keys).agg(
         *(
@@ -105,7 +114,8 @@ def player_expected_wcd(
                 f"sum(max_util) FILTER (WHERE distribution = {i}) * {factors[name] * game_rounds}D"
             ).alias(EXPECTED_WCD[name])
             for i, name in enumerate(names)
-        )
+        ),
+        *[F.expr(f"sum(n) FILTER (WHERE distribution = {len(names)})").alias("n_wins")] * with_wins,
     )
 
 
@@ -138,6 +148,28 @@ def empirical_wcd(
     both = shift(
         wins, ["game_id"], ["player_id"], {"opponent_wins": ("n_wins", 1)}, range_count=slices
     )
-    return both.filter(F.col("opponent_wins").isNotNull()).select(
-        "game_id", F.abs(F.col("n_wins") - F.col("opponent_wins")).alias("empirical_wcd")
-    )
+    return both.filter(F.col("opponent_wins").isNotNull()).select("game_id", _difference())
+
+
+def _difference() -> Column:
+    return F.abs(F.col("n_wins") - F.col("opponent_wins")).alias("empirical_wcd")
+
+
+def expected_and_empirical_wcd(df: DataFrame, **options) -> DataFrame:
+    """All expected differentials of each game beside the empirical one.
+
+    The same rows as joining `expected_wcd` with `empirical_wcd`, but from a single
+    count of the feature table. The players of a game are windowed together, so
+    their number must be small, as it is by contract.
+    """
+    columns = list(EXPECTED_WCD.values())
+    game = Window.partitionBy("game_id")
+    # Players without a win form a window of their own, so none stands between two winners.
+    winners = Window.partitionBy("game_id", F.col("n_wins").isNull()).orderBy("player_id")
+    players = player_expected_wcd(df, list(EXPECTED_WCD), GAME_KEYS, with_wins=True, **options)
+    return players.select(
+        "game_id",
+        "n_wins",
+        F.lag("n_wins").over(winners).alias("opponent_wins"),
+        *(F.avg(c).over(game).alias(c) for c in columns),
+    ).filter("opponent_wins IS NOT NULL").select("game_id", _difference(), *columns)

@@ -12,7 +12,12 @@ from playseq.functions import label_of
 from playseq.operators.correlation import correlations
 from playseq.operators.regression import Fit, fit, residuals
 from playseq.operators.sequence import checkpoint
-from playseq.operators.win_differential import EXPECTED_WCD, empirical_wcd, expected_wcd
+from playseq.operators.win_differential import (
+    EXPECTED_WCD,
+    empirical_wcd,
+    expected_and_empirical_wcd,
+    expected_wcd,
+)
 from playseq.plans.study import Study
 
 EMPIRICAL = "empirical_wcd"
@@ -41,12 +46,13 @@ RESIDUAL_OF = {of: residual for residual, (of, _) in RESIDUALS.items()}
 
 def summary_win_diff(study: Study, **options) -> DataFrame:
     """Empirical and all nine expected differentials of each game that has every one."""
-    expected = expected_wcd(study.features(), **options)
-    empirical = empirical_wcd(study.rounds, study.sizes, study.limits)
     columns = list(EXPECTED_WCD.values())
-    return empirical.join(expected.dropna(subset=columns), "game_id").select(
-        "game_id", EMPIRICAL, *columns
-    )
+    if study.sizes.players_per_game <= study.limits.rows_per_task:
+        both = expected_and_empirical_wcd(study.features(), **options)
+    else:
+        empirical = empirical_wcd(study.rounds, study.sizes, study.limits)
+        both = empirical.join(expected_wcd(study.features(), **options), "game_id")
+    return both.dropna(subset=columns).select("game_id", EMPIRICAL, *columns)
 
 
 def residualise(summary: DataFrame, names: Sequence[str] = tuple(RESIDUALS)) -> DataFrame:

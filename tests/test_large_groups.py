@@ -11,6 +11,7 @@ from playseq.operators.regression import quantiles
 from playseq.operators.sequence import number_rows, range_slices, shift
 from playseq.operators.sizes import Limits, measure
 from playseq.plans.study import Study
+from playseq.plans.win_count import summary_win_diff
 from playseq.sources import rounds_from_events
 
 TINY = {
@@ -127,6 +128,17 @@ def test_incomplete_players_beyond_the_broadcast_limit(skewed):
     assert rows_of(Study.of(skewed, 10, few).rounds) == rows_of(Study.of(skewed, 10).rounds)
 
 
+def test_summary_of_games_with_many_players(skewed):
+    """Joining the two sides gives what counting them together gives."""
+    study = Study.of(skewed, 1)
+    many = Study(study.rounds, replace(study.sizes, players_per_game=100), Limits(rows_per_task=99, partitions=6))
+    want = {r.game_id: r for r in summary_win_diff(study).collect()}
+    got = {r.game_id: r for r in summary_win_diff(many).collect()}
+    assert len(want) > 3 and set(got) == set(want)
+    for game, row in want.items():
+        assert list(got[game])[1:] == pytest.approx(list(row)[1:])
+
+
 def test_quantiles_by_rank(spark):
     df = spark.range(1, 38).selectExpr("cast(id * id AS double) AS x")
     wanted = {"lo": 0.0, "q1": 0.25, "mid": 0.5, "p77": 0.77, "hi": 1.0}

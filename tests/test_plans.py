@@ -36,6 +36,7 @@ def test_one_shuffle_serves_all_features_and_differentials(study):
     assert study.sizes.incomplete_players == 0
     assert shuffles(study.features()) == 1
     assert shuffles(expected_wcd(study.features())) == 1
+    assert shuffles(summary_win_diff(study)) == 1
 
 
 def test_unused_windows_are_pruned(study):
