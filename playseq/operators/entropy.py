@@ -56,8 +56,11 @@ def entropies(
     """
     targets = list(dict.fromkeys(WEIGHTED_BY[n] for n in names if n in WEIGHTED_BY))
     chosen = [DEPENDENCIES[n] for n in names] + [CONTEXTS[t] for t in targets]
-    # One shuffle by key serves all the steps after counting.
-    cells = count_cells(df, keys, chosen).repartition(*keys)
+    cells = count_cells(df, keys, chosen)
+    if "game_id" not in keys:
+        # One shuffle by key serves all the steps after counting. Keys within a game
+        # need none: the feature table is already partitioned by game.
+        cells = cells.repartition(*keys)
     cells = probabilities(cells, keys, chosen, smoothing)
 
     # A context's share is stated under each dependency it weighs.

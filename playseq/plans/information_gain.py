@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from math import log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playseq.domain import LABELLED_DEPENDENCIES, LABELS, MOVES, PLAYER_KEYS
+from playseq.domain import GAME_KEYS, LABELLED_DEPENDENCIES, LABELS, MOVES, PLAYER_KEYS
 from playseq.functions import label_of, ordinal_of
 from playseq.operators.distributions import REFERENCE
 from playseq.operators.entropy import ENTROPY, entropies
@@ -36,10 +37,17 @@ CORRECTIONS = {
 FIGURE_LABELS = {ENTROPY[name]: label for name, label in zip(LABELLED_DEPENDENCIES, LABELS)}
 
 
-def player_entropies(study: Study, smoothing: str = REFERENCE) -> DataFrame:
-    """All nine entropies of every player who made at least one move."""
-    found = entropies(study.features(PLAYER_KEYS), smoothing=smoothing)
-    return found.filter(F.col(ENTROPY["move"]).isNotNull())
+def player_entropies(
+    study: Study, names: Sequence[str] = tuple(ENTROPY), smoothing: str = REFERENCE
+) -> DataFrame:
+    """The named entropies, over all games of every player who made at least one move."""
+    # Where nobody plays twice, keys within the game are the same players, and their
+    # counts can stay where the games are.
+    keys = GAME_KEYS if study.sizes.games_per_player <= 1 else PLAYER_KEYS
+    found = entropies(study.features(keys), names, keys, smoothing)
+    if "move" in names:
+        found = found.filter(F.col(ENTROPY["move"]).isNotNull())
+    return found.select("player_id", *(ENTROPY[name] for name in names))
 
 
 def gains(player_entropies: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Shapes of the physical plans: shuffles, pushed filters, no Python."""
 
 import re
+from dataclasses import replace
 
 import pytest
 
@@ -9,6 +10,7 @@ from playseq.operators.distributions import DEPENDENCIES, distribution
 from playseq.operators.entropy import entropies
 from playseq.operators.sizes import Sizes
 from playseq.operators.win_differential import empirical_wcd, expected_wcd
+from playseq.plans.information_gain import player_entropies
 from playseq.plans.study import Study
 from playseq.plans.win_count import summary_win_diff
 from playseq.sources import read_rounds, rounds_from_events
@@ -39,6 +41,12 @@ def test_one_shuffle_serves_all_features_and_differentials(study):
     assert shuffles(summary_win_diff(study)) == 1
 
 
+def test_a_wider_shuffle_is_still_the_only_one(study):
+    wide = Study(study.rounds, replace(study.sizes, rows=10**9))
+    assert shuffles(summary_win_diff(wide)) == 1
+    assert ", 250)" in plan(wide.features())
+
+
 def test_unused_windows_are_pruned(study):
     text = plan(distribution(study.features(), DEPENDENCIES["transition"]))
     assert len(re.findall(r"Window \[", text)) == 2  # the lag and the total
@@ -49,6 +57,8 @@ def test_entropies_shuffle_rounds_once_and_then_counts(study):
     df = entropies(study.features(PLAYER_KEYS))
     text = plan(df)
     assert shuffles(df) == 3
+    assert study.sizes.games_per_player == 1
+    assert shuffles(player_entropies(study)) == 1
     # The counts are combined before they leave the task that made them.
     assert text.index("partial_sum(n") > text.index("Exchange hashpartitioning(player_id")
 
