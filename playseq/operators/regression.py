@@ -43,7 +43,7 @@ class Fit:
     p_values: tuple[float | None, ...]
     rows: int
     r2: float
-    r2_adjusted: float
+    r2_adjusted: float | None
     degrees_of_freedom: int
     residual_std_error: float | None
 
@@ -80,7 +80,7 @@ def fit(df: DataFrame, target: str, predictors: Sequence[str]) -> Fit:
         p_values=p_values,
         rows=summary.numInstances,
         r2=summary.r2,
-        r2_adjusted=summary.r2adj,
+        r2_adjusted=summary.r2adj if degrees > 0 else None,
         degrees_of_freedom=degrees,
         residual_std_error=math.sqrt(squared / degrees) if degrees > 0 else None,
     )

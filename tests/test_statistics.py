@@ -78,7 +78,10 @@ def test_collinear_predictors_have_no_errors(sample):
 
 def test_more_predictors_than_rows(sample):
     df = sample[0].limit(3)
-    assert coefficient_table(df, fit(df, "y", ["a", "b", "c"])).count() == 4
+    fitted = fit(df, "y", ["a", "b", "c"])
+    assert coefficient_table(df, fitted).count() == 4
+    (row,) = fit_table(df, fitted).collect()
+    assert row.adj_r_squared is row.f_statistic is row.residual_std_error is None
 
 
 def test_f_tail():
