@@ -8,7 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playseq.llm.decontaminate import decontaminate
-from playseq.llm.tables import documents, table
+from playseq.llm.quality import judge, learn_lexicon
+from playseq.llm.tables import documents, on_workers, table
+
+
+def op5_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    judged = judge(docs, lexicon=learn_lexicon(docs, table(spark, sf_dir, "labels")))
+    return judged.rows.select(
+        "row.doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "good_probability",
+    )
 
 
 def op8_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +41,11 @@ def op8_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op8_fm_index_decontamination": op8_fm_index_decontamination,
-    }
+    found = (
+        op5_weak_supervision_quality,
+        op8_fm_index_decontamination,
+    )
+    return {query.__name__: on_workers(query) for query in found}
 
 
 def oracle_sql() -> dict[str, str]:

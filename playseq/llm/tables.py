@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playseq.operators.sequence import checkpoint
 
-__all__ = ["checkpoint", "documents", "row_key", "table", "width", "total_bytes"]
+__all__ = ["checkpoint", "on_workers", "documents", "row_key", "table", "width", "total_bytes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,3 +40,21 @@ def row_key(row: Column | str, text: Column | str) -> tuple[Column, Column]:
 
 def total_bytes(df: DataFrame, text: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
+def on_workers(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The query with this library on the Python workers' path, wherever the session was started.
+
+    Only for workers that see this folder; a cluster gets the library as a Python file of the session.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+    @wraps(query)
+    def run(spark: SparkSession, *args, **options) -> DataFrame:
+        environment = spark.sparkContext.environment
+        paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if root not in paths:
+            environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+        return query(spark, *args, **options)
+
+    return run
