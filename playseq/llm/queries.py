@@ -8,10 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playseq.llm.decontaminate import decontaminate
+from playseq.llm.mixing import mix
 from playseq.llm.quality import judge, learn_lexicon
 from playseq.llm.tables import documents, on_workers, table
 
 
+# How much more often than an unlabelled document a labelled one comes first.
+LABEL_WEIGHT = {1: 2.0, 0: 0.5}
+
+
+def quality_weights(labels: DataFrame) -> DataFrame:
+    """A weight for each labelled document: 2 if good, 0.5 if bad; several labels count as the worst."""
+    known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return known.select("doc_id", F.when(F.col("quality") == 1, LABEL_WEIGHT[1]).otherwise(LABEL_WEIGHT[0]).alias("weight"))
+
+
+def op1_mix_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(documents(spark, sf_dir), quality=quality_weights(table(spark, sf_dir, "labels")))
+    return mixed.select("row.doc_id", "size", "source_size", "target", "taken", "epochs", "cut_words")
+
+
 def op5_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     judged = judge(docs, lexicon=learn_lexicon(docs, table(spark, sf_dir, "labels")))
@@ -42,6 +58,7 @@ def op8_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        op1_mix_to_target_weights,
         op5_weak_supervision_quality,
         op8_fm_index_decontamination,
     )
