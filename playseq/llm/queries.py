@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from playseq.llm.decontaminate import decontaminate
 from playseq.llm.mixing import mix
 from playseq.llm.quality import judge, learn_lexicon
+from playseq.llm.substring_dedup import remove_repeats
 from playseq.llm.tables import documents, on_workers, table
 
 
@@ -28,6 +29,10 @@ def op1_mix_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken", "epochs", "cut_words")
 
 
+def op3_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir)).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     judged = judge(docs, lexicon=learn_lexicon(docs, table(spark, sf_dir, "labels")))
@@ -59,6 +64,7 @@ def op8_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_mix_to_target_weights,
+        op3_difference_cover_dedup,
         op5_weak_supervision_quality,
         op8_fm_index_decontamination,
     )
@@ -66,7 +72,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_fm_index_decontamination": OP8_SQL}
+    return {
+        "op3_difference_cover_dedup": OP3_SQL,
+        "op8_fm_index_decontamination": OP8_SQL,
+    }
+
+
+OP3_SQL = r"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM doc)),
+twice AS (SELECT doc_id, i FROM win JOIN (SELECT h FROM win GROUP BY h HAVING count(*) > 1) USING (h)),
+gone AS (SELECT doc_id, list(DISTINCT k) AS ks FROM (SELECT doc_id, unnest(range(i, i + 35)) AS k FROM twice) GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, w, coalesce(len(ks), 0) AS n_removed,
+    CASE WHEN ks IS NULL THEN w ELSE [x[1] for x in list_zip(w, range(1, len(w) + 1)) if NOT list_contains(ks, x[2])] END AS k
+  FROM doc LEFT JOIN gone USING (doc_id))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+  sha256(array_to_string(k, ' ')) AS kept_sha256
+FROM kept
+"""
 
 
 OP8_SQL = r"""
