@@ -11,6 +11,7 @@ from playseq.llm.decontaminate import decontaminate
 from playseq.llm.mixing import mix
 from playseq.llm.quality import judge, learn_lexicon
 from playseq.llm.substring_dedup import remove_repeats
+from playseq.llm import suffix_dedup
 from playseq.llm.tables import documents, on_workers, table
 
 
@@ -61,12 +62,18 @@ def op8_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_induced_sorting_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_mix_to_target_weights,
         op3_difference_cover_dedup,
         op5_weak_supervision_quality,
         op8_fm_index_decontamination,
+        op9_induced_sorting_dedup,
     )
     return {query.__name__: on_workers(query) for query in found}
 
