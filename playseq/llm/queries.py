@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from playseq.llm.decontaminate import decontaminate
 from playseq.llm.mixing import mix
+from playseq.llm.near_dedup import near_duplicates
 from playseq.llm.quality import judge, learn_lexicon
 from playseq.llm.substring_dedup import remove_repeats
 from playseq.llm import suffix_dedup
@@ -34,6 +35,11 @@ def op3_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir)).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_fast_similarity_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(documents(spark, sf_dir), shingle=2)
+    return found.rows.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def op5_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     judged = judge(docs, lexicon=learn_lexicon(docs, table(spark, sf_dir, "labels")))
@@ -71,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_mix_to_target_weights,
         op3_difference_cover_dedup,
+        op4_fast_similarity_near_dedup,
         op5_weak_supervision_quality,
         op8_fm_index_decontamination,
         op9_induced_sorting_dedup,
@@ -81,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_difference_cover_dedup": OP3_SQL,
+        "op4_fast_similarity_near_dedup": OP4_SQL,
         "op8_fm_index_decontamination": OP8_SQL,
     }
 
@@ -102,6 +110,30 @@ FROM kept
 """
 
 
+OP4_SQL = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 1], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS i FROM doc WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN size x ON x.doc_id = a.doc_id JOIN size y ON y.doc_id = b.doc_id
+  WHERE 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+  GROUP BY a.doc_id, b.doc_id
+  HAVING 100 * count(*) >= 80 * (any_value(x.n) + any_value(y.n) - count(*))),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM doc
+  UNION
+  SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+component AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM component LEFT JOIN size USING (doc_id)
+"""
+
 OP8_SQL = r"""
 WITH doc AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
