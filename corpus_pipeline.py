@@ -1,11 +1,97 @@
-"""A corpus pipeline of the training-data operators."""
+"""From raw documents to a mix: quality, near duplicates, repeated strings, benchmark passages, mixing.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns the
+columns of documents; the last returns the mix, with a row for each copy. Extra columns of the
+documents are carried along. A null or empty text fails the quality stage; empty tables stay empty.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from playseq.llm import suffix_dedup
+from playseq.llm.decontaminate import decontaminate
+from playseq.llm.mixing import copies, mix
+from playseq.llm.near_dedup import near_duplicates
+from playseq.llm.quality import judge, learn_lexicon
+from playseq.llm.queries import quality_weights
+from playseq.llm.tables import checkpoint, documents, on_workers, row_key, table
+
+#: Bytes of a repeated string. A passage of 50 words is longer.
+REPEAT_BYTES = 250
+
+
+def _rewritten(rows: DataFrame, text: str, columns: list[str], *added: str) -> DataFrame:
+    """The documents in `row` with another text, and n_chars to match."""
+    new = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
+    return rows.select(*((new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in columns), *added)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are probably good; the others go."""
+    lexicon = learn_lexicon(docs, table(spark, sf_dir, "labels"))
+    return judge(docs, carry=docs.columns, lexicon=lexicon).rows.filter("kept").select("row.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (5-word shingles, 80 %), that with the smallest id.
+
+    Of rows with equal id and text one stays.
+    """
+    kept = near_duplicates(docs).rows.filter("kept").select("k1", "k2").distinct()
+    keyed = docs.select(*row_key(F.struct("doc_id"), F.col("text")), F.struct("*").alias("row"))
+    return keyed.join(kept, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row.*")
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 250 bytes that occur twice are cut out of the texts."""
+    found = suffix_dedup.remove_repeats(docs, carry=docs.columns, length=REPEAT_BYTES, keep_text=True)
+    return _rewritten(found, "kept_text", docs.columns)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Runs of 10 benchmark words are cut out of the texts."""
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=docs.columns, clean=True)
+    return _rewritten(found, "clean_text", docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources mixed to their targets: a row for each copy of a document that the mix takes.
+
+    Adds mix_copy (from 1), mix_target (words, of the source) and mix_taken (words, of the document
+    in all its copies). The text of the copy at which a source's budget ends is cut.
+    """
+    mixed = mix(docs, quality=quality_weights(table(spark, sf_dir, "labels")), carry=docs.columns, keep_text=True)
+    rows = copies(mixed).withColumnsRenamed({"copy": "mix_copy", "target": "mix_target", "taken": "mix_taken"})
+    return _rewritten(rows, "copy_text", docs.columns, "mix_copy", "mix_target", "mix_taken")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", on_workers(quality)),
+    ("near_dedup", on_workers(near_dedup)),
+    ("repeated_strings", on_workers(repeated_strings)),
+    ("benchmark_passages", on_workers(benchmark_passages)),
+    ("mixture", on_workers(mixture)),
+]
+
+#: The first stage fits a model by iteration, which SQL can't express; tests compare each stage with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table, each on a checkpoint of the one before."""
+    docs = documents(spark, sf_dir)
+    for _, stage in STAGES[:-1]:
+        docs = checkpoint(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}
