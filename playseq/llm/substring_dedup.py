@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playseq.llm.spread import SENT, distinct, found_twice, join_words, member, send, words_of
+from playseq.llm.spread import SENT, found_twice, member, send, unpack
 from playseq.llm.tables import checkpoint, total_bytes, width
-from playseq.llm.text import NON_SPACE, WORDS, WORDS_AGAIN, Words, covered, flat, per_text, slices
+from playseq.llm.text import NON_SPACE, WORDS, Words, covered, flat, per_text, slices
 
 WINDOW = 35
 PERIOD = 21
@@ -63,16 +63,7 @@ class _Piece:
         return np.flatnonzero(near & (self.room >= window))
 
     def window_hashes(self, starts: np.ndarray, window: int) -> np.ndarray:
-        again = WORDS_AGAIN.prefix(self.hashes)
-        return join_words(
-            WORDS.between(self.prefix, starts, starts + window), WORDS_AGAIN.between(again, starts, starts + window)
-        )
-
-
-def _hashes(received: pa.Table, words: int) -> np.ndarray:
-    packed = received["hashes"].to_pylist()
-    values = [words_of(raw, words) for raw in packed]
-    return np.concatenate(values) if values else words_of(b"", words)
+        return WORDS.between(self.prefix, starts, starts + window)
 
 
 def remove_repeats(
@@ -94,10 +85,10 @@ def remove_repeats(
     1. Windows of `window - period + 1` words are hashed only at places whose number in the
        document, modulo `period`, is in a difference cover. Two equal runs anywhere have such
        anchors at equal distances from their starts, so the anchors' hashes repeat too.
-    2. Around repeated anchors, whole windows (128 bits) are compared.
+    2. Around repeated anchors, whole windows are compared by hash.
     3. Words covered by repeated windows go.
-    Documents are dealt to chunks by content. Chunks send distinct hashes only, so a passage in
-    every document costs each chunk one hash, and no task meets all its occurrences.
+    Documents are dealt to chunks by content, and hashes travel packed (see spread), so a passage
+    in every document costs each task one hash, and no task meets all its occurrences.
 
     Returns, one row for each document: `row` (a struct of the `carry` columns), n_words,
     n_removed, kept_sha256 (of the kept words joined by single spaces) and, with `keep_text`,
@@ -114,45 +105,44 @@ def remove_repeats(
     dealt = documents.select(
         F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"),
         F.col(text).alias("text"),
-        F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in carry), F.col(text)), F.lit(chunks)).alias("chunk"),
+        F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in carry), F.col(text)), F.lit(chunks)).cast("int").alias("chunk"),
     )
 
-    def anchors(key, chunk):
-        found = [_Piece(b, window, period).anchor_hashes() for b in slices(chunk.to_batches(), "text")]
-        return pa.Table.from_batches([send(key[0].as_py(), np.concatenate(found), buckets)])
+    def anchors(batches):
+        found, chunk = [], []
+        for batch in slices(batches, "text"):
+            piece = _Piece(batch, window, period)
+            found.append(piece.anchor_hashes())
+            chunk.append(batch.column("chunk").to_numpy()[piece.words.document[piece.anchors]])
+        if found:
+            yield send(np.concatenate(found), np.concatenate(chunk), buckets)
 
     def windows(key, chunk, received):
-        repeated = np.sort(_hashes(received, 1))
-        found = [words_of(b"", 2)]
+        repeated = np.sort(unpack(received["hashes"].to_pylist()))
+        found = []
         for batch in slices(chunk.to_batches() if len(repeated) else [], "text"):
             piece = _Piece(batch, window, period)
             found.append(piece.window_hashes(piece.candidates(repeated, window, period), window))
-        return pa.Table.from_batches([send(key[0].as_py(), np.concatenate(found), buckets)])
-
-    def remove(chunk, anchored, received):
-        repeated_anchors = np.sort(_hashes(anchored, 1))
-        repeated, _ = distinct(_hashes(received, 2))
-        return [
-            _removed(batch, repeated_anchors, repeated, window, period, keep_text)
-            for batch in slices(chunk.to_batches(), "text")
-        ]
-
-    by_chunk = dealt.groupBy("chunk")
-    repeated_anchors = checkpoint(found_twice(dealt.select("chunk", "text").groupBy("chunk").applyInArrow(anchors, SENT), 1))
-    sent = dealt.select("chunk", "text").groupBy("chunk").cogroup(repeated_anchors.groupBy("chunk")).applyInArrow(windows, SENT)
-    repeated = checkpoint(found_twice(sent, 2))
-    # What comes back is one row a chunk and bucket; both kinds go to the chunk together.
-    back = repeated_anchors.withColumn("kind", F.lit(1)).unionByName(repeated.withColumn("kind", F.lit(2)))
-    row_type = dealt.schema["row"].dataType.simpleString()
-    schema = f"row {row_type}, n_words long, n_removed long, kept_sha256 string, kept_text string"
-
-    def finish(key, chunk, both):
-        kinds = both["kind"].to_numpy()
-        parts = [both.filter(pa.array(kinds == k)) for k in (1, 2)]
-        batches = remove(chunk, *parts)
+        found = np.concatenate(found) if found else repeated[:0]
+        return pa.Table.from_batches([send(found, np.full(len(found), key[0].as_py()), buckets)])
+
+    def remove(chunk, back):
+        kinds = back["kind"].to_numpy()
+        anchored, repeated = (np.sort(unpack(back.filter(pa.array(kinds == k))["hashes"].to_pylist())) for k in (1, 2))
+        pieces = slices(chunk.to_batches(), "text")
+        batches = [_removed(batch, anchored, repeated, window, period, keep_text) for batch in pieces]
         return pa.Table.from_batches(batches) if batches else _nothing(chunk.schema.field("row").type)
 
-    out = by_chunk.cogroup(back.groupBy("chunk")).applyInArrow(finish, schema)
+    repeated_anchors = checkpoint(found_twice(dealt.select("chunk", "text").mapInArrow(anchors, SENT)))
+    # From here on it is one query, in which the exchange of texts by chunk is made once and read twice.
+    sent = dealt.groupBy("chunk").cogroup(repeated_anchors.groupBy("chunk")).applyInArrow(windows, SENT)
+    back = repeated_anchors.withColumn("kind", F.lit(1)).unionByName(found_twice(sent).withColumn("kind", F.lit(2)))
+    row_type = dealt.schema["row"].dataType.simpleString()
+    out = (
+        dealt.groupBy("chunk")
+        .cogroup(back.groupBy("chunk"))
+        .applyInArrow(remove, f"row {row_type}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    )
     return out if keep_text else out.drop("kept_text")
 
 

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playseq.llm.decontaminate import cut
-from playseq.llm.spread import SENT, distinct, found_twice, join_words, member, send, words_of
+from playseq.llm.spread import SENT, found_twice, member, send, unpack
 from playseq.llm.suffixes import permuted_common_prefixes, suffix_array
 from playseq.llm.tables import checkpoint, row_key, width
-from playseq.llm.text import BYTES, Rolling, covered, flat, per_text, runs, slices
+from playseq.llm.text import BYTES, covered, flat, per_text, runs, slices
 
 LENGTH = 400
 #: Bytes of the strings whose smallest hash within a window says where the window is compared.
@@ -27,7 +27,6 @@ SHARD_BYTES = 2 << 20
 #: A class with more different pieces than this is compared by window hashes, dealt to many tasks.
 CLASS_PIECES = 2048
 
-_AGAIN = Rolling(31)
 PIECES = "class long, content long, windows int, start int, recurs boolean, k1 long, k2 long"
 SPANS = "k1 long, k2 long, first int, past int"
 
@@ -102,7 +101,7 @@ def remove_repeats(
        pieces, or one that may repeat itself, goes to a shard: its pieces' text is sorted by induced sorting, and windows whose
        permuted common prefix with a neighbour reaches `length` repeat. A class with more than
        `class_pieces` different ones (a passage in ever new surroundings) would outgrow a shard;
-       the hashes (128 bits) of its windows are dealt to all tasks and compared there.
+       the hashes of its windows are dealt to all tasks and compared there.
     3. Bytes covered by repeated windows go.
 
     Returns, one row for each document: `row` (a struct of the `carry` columns), n_bytes,
@@ -170,7 +169,7 @@ def remove_repeats(
 
         found.append(fetched.filter(f"different <= {class_pieces}").groupBy("shard").applyInArrow(sort_shard, SPANS))
     if sizes["hot"]:
-        found.append(_repeats_by_hash(fetched.filter(f"different > {class_pieces}"), length, sizes["hot"] * 16))
+        found.append(_repeats_by_hash(fetched.filter(f"different > {class_pieces}"), length, sizes["hot"] * 8))
     spans = found[0]
     for more in found[1:]:
         spans = spans.unionByName(more)
@@ -274,7 +273,7 @@ def _repeats_by_hash(pieces: DataFrame, length: int, hash_bytes: int) -> DataFra
     spark = pieces.sparkSession
     chunks = max(2 * width(spark), math.ceil(hash_bytes / (8 << 20)))
     buckets = max(width(spark), math.ceil(hash_bytes / (16 << 20)))
-    dealt = pieces.withColumn("chunk", F.pmod(F.xxhash64("k1", "k2", "start"), F.lit(chunks)))
+    dealt = pieces.withColumn("chunk", F.pmod(F.xxhash64("k1", "k2", "start"), F.lit(chunks)).cast("int"))
 
     def hashed(chunk):
         chunk = chunk.combine_chunks()
@@ -289,20 +288,19 @@ def _repeats_by_hash(pieces: DataFrame, length: int, hash_bytes: int) -> DataFra
         piece = np.repeat(np.arange(len(windows)), windows)
         offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
         start = at[piece] + offset
-        one = BYTES.between(BYTES.prefix(BYTES.table[data]), start, start + length)
-        two = _AGAIN.between(_AGAIN.prefix(_AGAIN.table[data]), start, start + length)
-        return chunk, piece, offset, join_words(one, two)
+        return chunk, piece, offset, BYTES.between(BYTES.prefix(BYTES.table[data]), start, start + length)
 
     def spread(key, chunk):
-        return pa.Table.from_batches([send(key[0].as_py(), hashed(chunk)[3], buckets)])
+        values = hashed(chunk)[3]
+        return pa.Table.from_batches([send(values, np.full(len(values), key[0].as_py()), buckets)])
 
-    repeated = checkpoint(found_twice(dealt.groupBy("chunk").applyInArrow(spread, SENT), 2))
+    repeated = checkpoint(found_twice(dealt.groupBy("chunk").applyInArrow(spread, SENT)))
 
     def collect(key, chunk, received):
         if not len(received) or not len(chunk):
             return pa.table({"k1": pa.array([], pa.int64()), "k2": pa.array([], pa.int64()), "first": pa.array([], pa.int32()), "past": pa.array([], pa.int32())})
         chunk, piece, offset, values = hashed(chunk)
-        chosen, _ = distinct(np.concatenate([words_of(raw, 2) for raw in received["hashes"].to_pylist()]))
+        chosen = np.sort(unpack(received["hashes"].to_pylist()))
         once = chunk["times"].to_numpy()[piece] == 1
         first, past = runs(member(values, chosen) & once, np.flatnonzero(offset == 0))
         return _spans(chunk, piece[first], offset[first], offset[past - 1] + length)

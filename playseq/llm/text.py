@@ -85,8 +85,6 @@ class Rolling:
 
 BYTES = Rolling(11)
 WORDS = Rolling(12)
-#: A second, independent hash of word sequences, where 64 bits decide too little.
-WORDS_AGAIN = Rolling(13)
 
 
 def flat(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
