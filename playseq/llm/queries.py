@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playseq.llm.decontaminate import decontaminate
+from playseq.llm.chat import perspectives
+from playseq.llm import language, suffix_dedup
+from playseq.llm.licenses import scan
 from playseq.llm.mixing import mix
 from playseq.llm.near_dedup import near_duplicates
 from playseq.llm.quality import judge, learn_lexicon
 from playseq.llm.substring_dedup import remove_repeats
-from playseq.llm import suffix_dedup
 from playseq.llm.tables import documents, on_workers, table
+from playseq.llm.token_counts import count_tokens, token_stream
 
 
 # How much more often than an unlabelled document a labelled one comes first.
@@ -31,6 +34,10 @@ def op1_mix_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken", "epochs", "cut_words")
 
 
+def op2_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op3_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir)).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -56,6 +63,20 @@ def op5_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = count_tokens(token_stream(documents(spark, sf_dir)))
+    return found.select("row.doc_id", "stream", "number", "start", "n_tokens")
+
+
+def op7_language_identification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
+    held_out = F.coalesce(fold == 2, F.lit(False))
+    model = language.fit(docs, ~held_out, order=F.xxhash64("doc_id"))
+    found = language.identify(docs.withColumn("held_out", held_out), model, carry=["doc_id", "held_out"])
+    return found.select("row.doc_id", "row.held_out", "lang_pred", "score")
+
+
 def op8_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -73,26 +94,59 @@ def op9_induced_sorting_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op10_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(documents(spark, sf_dir))
+    return found.select("row.doc_id", F.concat_ws(",", "sentences").alias("sentences"), F.size("licences").cast("long").alias("n_licences"), "expression")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_mix_to_target_weights,
+        op2_perspective_rotation,
         op3_difference_cover_dedup,
         op4_fast_similarity_near_dedup,
         op5_weak_supervision_quality,
+        op6_separator_scan,
+        op7_language_identification,
         op8_fm_index_decontamination,
         op9_induced_sorting_dedup,
+        op10_license_sentences,
     )
     return {query.__name__: on_workers(query) for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_perspective_rotation": OP2_SQL,
         "op3_difference_cover_dedup": OP3_SQL,
         "op4_fast_similarity_near_dedup": OP4_SQL,
         "op8_fm_index_decontamination": OP8_SQL,
     }
 
 
+OP2_SQL = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, role IS NOT NULL AS named, text IS NOT NULL AS spoken,
+    replace(coalesce(text, ''), '<|', '< |') AS said
+  FROM conversations),
+speakers AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE named AND speaker <> 'system'),
+seen AS (
+  SELECT s.*, perspective, named AND speaker = perspective AS own,
+    '<|im_start|>' || CASE WHEN named AND speaker = perspective THEN 'assistant' WHEN named AND speaker = 'system' THEN 'system'
+      ELSE 'user name=' || speaker END || chr(10) AS head
+  FROM said s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
+numbered AS (
+  SELECT *, head || said || '<|im_end|>' || chr(10) AS segment,
+    row_number() OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker, said, spoken) AS position
+  FROM seen),
+placed AS (
+  SELECT *, CAST(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY position) AS BIGINT) AS past FROM numbered)
+SELECT conv_id, perspective, position, turn, speaker, segment, past - length(segment) AS first, past,
+  CASE WHEN own AND spoken THEN past - length(segment) + length(head) END AS train_first,
+  CASE WHEN own AND spoken THEN past - 1 END AS train_past
+FROM placed
+"""
+
 OP3_SQL = r"""
 WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (
