@@ -7,15 +7,11 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from playseq.operators.sequence import number_rows
+from playseq.operators.sequence import SLICE, range_slices
 from playseq.operators.sizes import LIMITS, Limits
 
 INTERCEPT = "(Intercept)"
@@ -31,107 +27,168 @@ COEFFICIENTS = T.StructType(
 )
 
 
+# A predictor with a smaller share of its variance left by those before it is redundant.
+TOLERANCE = 1e-11
+
+
 @dataclass(frozen=True)
 class Fit:
-    """A fitted model; only its fixed-size parameters live on the driver."""
+    """A fitted model; only its fixed-size parameters live on the driver.
+
+    A redundant predictor has no estimate, and degrees of freedom go by rank.
+    """
 
     target: str
     predictors: tuple[str, ...]
-    estimates: tuple[float, ...]  # predictors, then intercept
+    estimates: tuple[float | None, ...]  # predictors, then intercept
     std_errors: tuple[float | None, ...]
     t_values: tuple[float | None, ...]
     p_values: tuple[float | None, ...]
     rows: int
     r2: float
     r2_adjusted: float | None
+    degrees_of_model: int
     degrees_of_freedom: int
     residual_std_error: float | None
 
-    def residual(self) -> Column:
-        fitted = F.lit(self.estimates[-1])
+    def fitted(self) -> Column:
+        value = F.lit(self.estimates[-1]).cast("double")
         for name, estimate in zip(self.predictors, self.estimates):
-            fitted = fitted + F.col(name) * estimate
-        return F.col(self.target) - fitted
+            if estimate is not None:
+                value = value + F.col(name) * estimate
+        return value
+
+    def residual(self) -> Column:
+        return F.col(self.target) - self.fitted()
+
+
+@dataclass(frozen=True)
+class Moments:
+    """Means and population covariances of columns, over the rows that have all of them."""
+
+    columns: tuple[str, ...]
+    rows: int
+    means: np.ndarray
+    covariances: np.ndarray
+
+    @classmethod
+    def of(cls, df: DataFrame, columns: Sequence[str]) -> Moments:
+        return cls.several(df, {"": columns})[""]
+
+    @classmethod
+    def several(cls, df: DataFrame, groups: Mapping[str, Sequence[str]]) -> dict[str, Moments]:
+        """Moments of several groups of columns, each over its own complete rows, in one aggregation."""
+        found: list[Column] = []
+        for columns in groups.values():
+            complete = F.lit(True)
+            for c in columns:
+                complete = complete & F.col(c).isNotNull()
+            kept = [F.when(complete, F.col(c)) for c in columns]
+            found.append(F.count_if(complete))
+            found += [F.avg(c) for c in kept]
+            found += [F.covar_pop(a, b) for i, a in enumerate(kept) for b in kept[: i + 1]]
+        values = iter(df.agg(*(v.alias(f"_{i}") for i, v in enumerate(found))).first())
+        moments = {}
+        for name, columns in groups.items():
+            n, k = next(values), len(columns)
+            means = np.array([next(values) or 0.0 for _ in columns])
+            covariances = np.zeros((k, k))
+            for i in range(k):
+                for j in range(i + 1):
+                    covariances[i, j] = covariances[j, i] = next(values) or 0.0
+            moments[name] = cls(tuple(columns), n, means, covariances)
+        return moments
+
+    def among(self, rows: Sequence[str], columns: Sequence[str]) -> np.ndarray:
+        place = self.columns.index
+        return self.covariances[np.ix_([place(c) for c in rows], [place(c) for c in columns])]
+
+    def with_residual(self, name: str, fit: Fit) -> Moments:
+        """With one more column, the residual of a model of these columns: it is linear in them."""
+        weights = np.zeros(len(self.columns))
+        weights[self.columns.index(fit.target)] = 1.0
+        for predictor, estimate in zip(fit.predictors, fit.estimates):
+            weights[self.columns.index(predictor)] -= estimate or 0.0
+        with_it = self.covariances @ weights
+        return Moments(
+            (*self.columns, name),
+            self.rows,
+            np.append(self.means, self.means @ weights - (fit.estimates[-1] or 0.0)),
+            np.block([[self.covariances, with_it[:, None]], [with_it[None], weights @ with_it]]),
+        )
+
+    def correlation(self, a: str, b: str) -> float | None:
+        scale = math.sqrt(self.among([a], [a])[0, 0] * self.among([b], [b])[0, 0])
+        return float(self.among([a], [b])[0, 0] / scale) if scale > 0 else None
+
+    def fit(self, target: str, predictors: Sequence[str]) -> Fit:
+        """Least squares with an intercept, by the normal equations of the correlations."""
+        chosen: list[str] = []
+        for c in predictors:
+            own = self.among([c], [c])[0, 0]
+            with_chosen = self.among(chosen, [c])[:, 0]
+            explained = with_chosen @ np.linalg.solve(self.among(chosen, chosen), with_chosen) if chosen else 0.0
+            if own > 0 and own - explained > TOLERANCE * own:
+                chosen.append(c)
+        k, degrees = len(chosen), self.rows - len(chosen) - 1
+        total = self.among([target], [target])[0, 0]
+        scale = np.sqrt(np.diag(self.among(chosen, chosen)))
+        inverse = np.linalg.inv(self.among(chosen, chosen) / np.outer(scale, scale)) / np.outer(scale, scale)
+        slopes = inverse @ self.among(chosen, [target])[:, 0]
+        means = np.array([self.means[self.columns.index(c)] for c in chosen])
+        intercept = self.means[self.columns.index(target)] - slopes @ means
+        left = max(float(total - slopes @ self.among(chosen, [target])[:, 0]), 0.0)
+        r2 = 1 - left / total if total > 0 else math.nan
+        estimates = dict(zip(chosen, map(float, slopes))) | {INTERCEPT: float(intercept) if self.rows else None}
+        errors: dict[str, float] = {}
+        if degrees > 0:
+            variance = left * self.rows / degrees
+            spread = [*np.diag(inverse) / self.rows, 1 / self.rows + means @ inverse @ means / self.rows]
+            errors = dict(zip([*chosen, INTERCEPT], (math.sqrt(variance * v) for v in spread)))
+        terms = [*predictors, INTERCEPT]
+        t_values = {c: estimates[c] / e for c, e in errors.items() if e > 0}
+        return Fit(
+            target=target,
+            predictors=tuple(predictors),
+            estimates=tuple(estimates.get(c) for c in terms),
+            std_errors=tuple(errors.get(c) for c in terms),
+            t_values=tuple(t_values.get(c) for c in terms),
+            p_values=tuple(f_tail(t_values[c] ** 2, 1, degrees) if c in t_values else None for c in terms),
+            rows=self.rows,
+            r2=r2,
+            r2_adjusted=1 - (1 - r2) * (self.rows - 1) / degrees if degrees > 0 else None,
+            degrees_of_model=k,
+            degrees_of_freedom=degrees,
+            residual_std_error=math.sqrt(left * self.rows / degrees) if degrees > 0 else None,
+        )
 
 
 def fit(df: DataFrame, target: str, predictors: Sequence[str]) -> Fit:
-    """Least squares with an intercept by normal equations, aggregated in one pass."""
-    assembler = VectorAssembler(inputCols=list(predictors), outputCol="_predictors")
-    table = assembler.transform(df.select(F.col(target).cast("double").alias(target), *predictors))
-    model = LinearRegression(
-        featuresCol="_predictors", labelCol=target, solver="normal", regParam=0.0
-    ).fit(table)
-    summary = model.summary
-    unknown = (None,) * (len(predictors) + 1)
-    try:
-        std_errors = tuple(summary.coefficientStandardErrors)
-        t_values, p_values = tuple(summary.tValues), tuple(summary.pValues)
-    except (Py4JJavaError, PySparkException):
-        # Collinear predictors: the fit stands, but single coefficients have no error.
-        std_errors = t_values = p_values = unknown
-    degrees = summary.degreesOfFreedom
-    squared = summary.meanSquaredError * summary.numInstances
-    return Fit(
-        target=target,
-        predictors=tuple(predictors),
-        estimates=(*map(float, model.coefficients), float(model.intercept)),
-        std_errors=std_errors,
-        t_values=t_values,
-        p_values=p_values,
-        rows=summary.numInstances,
-        r2=summary.r2,
-        r2_adjusted=summary.r2adj if degrees > 0 else None,
-        degrees_of_freedom=degrees,
-        residual_std_error=math.sqrt(squared / degrees) if degrees > 0 else None,
-    )
+    """Least squares with an intercept over the complete rows, aggregated in one pass."""
+    return Moments.of(df, [target, *predictors]).fit(target, predictors)
 
 
 def residuals(df: DataFrame, models: Mapping[str, tuple[str, Sequence[str]]]) -> dict[str, Column]:
     """Residual of each named model, (target, predictors), as a column expression.
 
-    One aggregation gives the means and covariances that all the models need.
+    Each model is fitted on the rows that have all of its columns; one aggregation serves all.
     """
-    columns = sorted({c for target, on in models.values() for c in (target, *on)})
-    pairs = sorted({tuple(sorted((a, b))) for target, on in models.values()
-                    for a in (target, *on) for b in on})
-    moments = df.agg(
-        *(F.avg(c).alias(c) for c in columns),
-        *(F.covar_pop(a, b).alias(f"{a}|{b}") for a, b in pairs),
-    ).first()
-
-    def covariance(a: str, b: str) -> float:
-        return moments["|".join(sorted((a, b)))]
-
-    found = {}
-    for name, (target, on) in models.items():
-        if moments[target] is None:
-            found[name] = F.lit(None).cast("double")
-            continue
-        among = np.array([[covariance(a, b) for b in on] for a in on])
-        with_target = np.array([covariance(a, target) for a in on])
-        # Scaled to correlations, and by least squares, so collinear predictors share the effect.
-        scale = np.sqrt(np.diag(among))
-        scale[scale == 0] = 1.0
-        slopes = np.linalg.lstsq(among / np.outer(scale, scale), with_target / scale)[0] / scale
-        fitted = F.lit(moments[target])
-        for predictor, slope in zip(on, slopes):
-            fitted = fitted + (F.col(predictor) - moments[predictor]) * float(slope)
-        found[name] = F.col(target) - fitted
-    return found
-
-
-def coefficient_table(df: DataFrame, fitted: Fit) -> DataFrame:
-    """One row per term, intercept first."""
+    moments = Moments.several(df, {name: (target, *on) for name, (target, on) in models.items()})
+    return {name: moments[name].fit(target, on).residual() for name, (target, on) in models.items()}
+
+
+def coefficient_table(spark: SparkSession, fitted: Fit) -> DataFrame:
+    """One row per term, intercept first; a redundant term has no values."""
     columns = (fitted.estimates, fitted.std_errors, fitted.t_values, fitted.p_values)
     rows = list(zip((*fitted.predictors, INTERCEPT), *columns))
-    return df.sparkSession.createDataFrame([rows[-1], *rows[:-1]], COEFFICIENTS)
+    return spark.createDataFrame([rows[-1], *rows[:-1]], COEFFICIENTS)
 
 
 def fit_table(df: DataFrame, fitted: Fit, limits: Limits = LIMITS) -> DataFrame:
     """One row on the whole fit: R squared, residual error, F test, residual quartiles."""
-    k, degrees = len(fitted.predictors), fitted.degrees_of_freedom
+    k, degrees = fitted.degrees_of_model, fitted.degrees_of_freedom
     f_value = p_value = None
-    if degrees > 0 and fitted.r2 < 1:
+    if degrees > 0 and k and fitted.r2 < 1:
         f_value = (fitted.r2 / k) / ((1 - fitted.r2) / degrees)
         p_value = f_tail(f_value, k, degrees)
     quartiles = quantiles(
@@ -162,17 +219,29 @@ def quantiles(
     df: DataFrame, column: str, probabilities: dict[str, float], rows: int, limits: Limits = LIMITS
 ) -> DataFrame:
     """Exact quantiles of `rows` values, interpolated between neighbours, as one row."""
+    values = df.select(column).filter(F.col(column).isNotNull())
     if rows <= limits.rows_per_task:
-        return df.agg(*(F.percentile(column, p).alias(n) for n, p in probabilities.items()))
-    # The built-in exact percentile holds all values in one place; rank them instead.
-    slices = limits.tasks_for(rows)
-    ranked = number_rows(df.select(column), [], [column], "rank", range_count=slices)
+        found = values.agg(F.percentile(column, list(probabilities.values())).alias("found"))
+        return found.select(*(F.col("found")[i].alias(n) for i, n in enumerate(probabilities)))
+    # The built-in exact percentile holds all values in one place. Rank distinct values instead:
+    # equal ones are counted before anything is ordered, so they can't fill a slice.
+    counted = values.groupBy(column).count()
+    sliced = range_slices(counted, [], [column], limits.tasks_for(rows))
+    before = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sliced.groupBy(SLICE).agg(F.sum("count").alias("held")).select(
+        F.col(SLICE).alias("_of"), F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before")
+    )
+    within = Window.partitionBy(SLICE).orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    # One offset a slice, so their number is bounded by that of partitions.
+    ranked = sliced.withColumn("upto", F.sum("count").over(within)).join(F.broadcast(offsets), F.col(SLICE) == F.col("_of"))
+    last = F.col("before") + F.col("upto")
+    first = last - F.col("count") + 1
 
     def at(p: float) -> Column:
         place = (rows - 1) * p
         below = math.floor(place)
         share = place - below
-        value = [F.max(F.when(F.col("rank") == below + i, F.col(column))) for i in (1, 2)]
+        value = [F.max(F.when((first <= below + i) & (last >= below + i), F.col(column))) for i in (1, 2)]
         return value[0] if share == 0 else value[0] + (value[1] - value[0]) * share
 
     return ranked.agg(*(at(p).alias(n) for n, p in probabilities.items()))
@@ -180,19 +249,48 @@ def quantiles(
 
 def f_tail(f_value: float, k: int, degrees: int) -> float:
     """Upper tail of the F distribution with k and `degrees` degrees of freedom."""
-    return _beta_share(degrees / (degrees + k * f_value), degrees / 2, k / 2)
+    total = degrees + k * f_value
+    if degrees > 100_000:
+        return _large_tail(k * f_value / total, k / 2, degrees / 2)
+    return _beta_share(degrees / total, k * f_value / total, degrees / 2, k / 2)
 
 
-def _beta_share(x: float, a: float, b: float) -> float:
-    """Regularized incomplete beta function I_x(a, b), by its continued fraction."""
-    if x <= 0.0 or x >= 1.0:
-        return float(x >= 1.0)
+def _large_tail(y: float, b: float, a: float) -> float:
+    """1 - I_y(b, a) for large a, where the continued fraction is slow: a series of positive terms."""
+    if a * y > 700 + 10 * b:
+        return 0.0  # below what a float tells from nothing
+    term = total = 1.0
+    for i in range(1_000_000):
+        term *= (a + b + i) * y / (b + 1 + i)
+        total += term
+        if term <= 1e-17 * total:
+            log_front = (b * math.log(y) if y > 0 else -math.inf) + a * math.log1p(-y) - _log_beta(a, b) - math.log(b)
+            return max(1.0 - math.exp(log_front + math.log(total)), 0.0)
+    raise ArithmeticError(f"the F tail did not converge: {y}, {b}, {a}")
+
+
+def _log_beta(a: float, b: float) -> float:
+    """Logarithm of the beta function; differences of large log-gammas are taken by their series."""
+    a, b = max(a, b), min(a, b)
+    if a < 50:
+        return math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+
+    def rest(x: float) -> float:
+        return 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+
+    growth = (a + b - 0.5) * math.log1p(b / a) + b * math.log(a) - b + rest(a + b) - rest(a)
+    return math.lgamma(b) - growth
+
+
+def _beta_share(x: float, y: float, a: float, b: float) -> float:
+    """Regularized incomplete beta function I_x(a, b), by its continued fraction; y is 1 - x, exactly."""
+    if x <= 0.0 or y <= 0.0:
+        return float(y <= 0.0)
     if x > (a + 1) / (a + b + 2):
-        return 1.0 - _beta_share(1.0 - x, b, a)
-    log_front = (
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-        + a * math.log(x) + b * math.log1p(-x)
-    )
+        return 1.0 - _beta_share(y, x, b, a)
+    log_x = math.log(x) if x < 0.5 else math.log1p(-y)
+    log_y = math.log(y) if y < 0.5 else math.log1p(-x)
+    log_front = a * log_x + b * log_y - _log_beta(a, b)
     # Convergents by the fundamental recurrence, rescaled so they stay in range.
     before, now = (1.0, 0.0), (1.0, 1.0)
     share = 1.0
@@ -205,6 +303,6 @@ def _beta_share(x: float, a: float, b: float) -> float:
         after = tuple(n + term * o for n, o in zip(now, before))
         before, now = tuple(n / after[1] for n in now), (after[0] / after[1], 1.0)
         if abs(now[0] - share) <= 1e-15 * abs(now[0]):
-            break
+            return math.exp(log_front) / (a * now[0])
         share = now[0]
-    return math.exp(log_front) / (a * now[0])
+    raise ArithmeticError(f"the F tail did not converge: I_{x}({a}, {b})")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from playseq.domain import LABELLED_DEPENDENCIES, LABELS
 from playseq.functions import label_of
-from playseq.operators.correlation import correlations
-from playseq.operators.regression import Fit, fit, residuals
+from playseq.operators.regression import Fit, Moments, fit, residuals
 from playseq.operators.sequence import checkpoint
 from playseq.operators.win_differential import (
     EXPECTED_WCD,
@@ -22,7 +23,7 @@ from playseq.plans.study import Study
 
 EMPIRICAL = "empirical_wcd"
 
-# Each residual: the dependency it is of, and the simpler ones regressed out of it.
+# Fixed values. Each residual: the dependency it is of, and the simpler ones regressed out of it.
 RESIDUALS = {
     "opponent_prev_move_resid": ("opponent_prev_move", ("move", "cournot_transition")),
     "player_prev_move_resid": ("prev_move", ("move", "transition")),
@@ -34,7 +35,7 @@ RESIDUALS = {
     ),
 }
 
-# Predictors of the full model: the base rates as they are, then what the composed
+# Predictors of the full model: the base rates as they are, then what the composed
 # dependencies add to them.
 FULL_MODEL = (
     *(EXPECTED_WCD[name] for name in ("move", "transition", "cournot_transition")),
@@ -51,7 +52,9 @@ def summary_win_diff(study: Study, **options) -> DataFrame:
         both = expected_and_empirical_wcd(study.features(), **options)
     else:
         empirical = empirical_wcd(study.rounds, study.sizes, study.limits)
-        both = empirical.join(expected_wcd(study.features(), **options), "game_id")
+        expected = expected_wcd(study.features(), **options).withColumnRenamed("game_id", "_game_id")
+        # A missing game id is a game like any other.
+        both = empirical.join(expected, F.col("game_id").eqNullSafe(F.col("_game_id")))
     return both.dropna(subset=columns).select("game_id", EMPIRICAL, *columns)
 
 
@@ -74,24 +77,40 @@ def full_model(residualised: DataFrame) -> Fit:
     return fit(residualised, EMPIRICAL, FULL_MODEL)
 
 
-def correlation_table(residualised: DataFrame) -> DataFrame:
-    """Correlation of each dependency with the empirical differential, raw and residual."""
-    rows = [
-        (column, label, correction)
-        for name, label in zip(LABELLED_DEPENDENCIES, LABELS)
-        for column, correction in (
-            (EXPECTED_WCD[name], "Uncorrected"),
-            (RESIDUAL_OF.get(name), "Corrected"),
-        )
-        if column
+def moments(summary: DataFrame) -> Moments:
+    """What all fits and correlations need, from one aggregation of the per-game table.
+
+    Residuals are linear in the differentials, so their moments follow from those of the raw columns.
+    """
+    found = Moments.of(summary, [EMPIRICAL, *EXPECTED_WCD.values()])
+    for name, (of, on) in RESIDUALS.items():
+        found = found.with_residual(name, found.fit(EXPECTED_WCD[of], [EXPECTED_WCD[n] for n in on]))
+    return found
+
+
+CORRELATIONS = T.StructType(
+    [
+        T.StructField("dependency", T.StringType()),
+        T.StructField("correction", T.StringType()),
+        T.StructField("corr", T.DoubleType()),
+        T.StructField("se", T.DoubleType()),
     ]
-    found = correlations(residualised, [r[0] for r in rows], EMPIRICAL, "game_id")
-    return found.select(
-        label_of("metric", {r[0]: r[1] for r in rows}).alias("dependency"),
-        label_of("metric", {r[0]: r[2] for r in rows}).alias("correction"),
-        "corr",
-        "se",
-    )
+)
+
+
+def correlation_table(spark: SparkSession, games: Moments) -> DataFrame:
+    """Correlation of each dependency with the empirical differential, raw and residual.
+
+    The standard error counts the games, of which the table has one row each.
+    """
+    rows = []
+    for name, label in zip(LABELLED_DEPENDENCIES, LABELS):
+        for column, correction in ((EXPECTED_WCD[name], "Uncorrected"), (RESIDUAL_OF.get(name), "Corrected")):
+            if column:
+                corr = games.correlation(column, EMPIRICAL)
+                known = corr is not None and games.rows > 2
+                rows.append((label, correction, corr, math.sqrt(max(1 - corr * corr, 0.0) / (games.rows - 2)) if known else None))
+    return spark.createDataFrame(rows, CORRELATIONS)
 
 
 def correlation_figure(table: DataFrame) -> DataFrame:
