@@ -10,6 +10,11 @@ MIN_ROUNDS = 60
 SERIES_ROUNDS = 20
 SERIES_MIN_ROUNDS = 20
 
+# Another payoff of each choice (row) against each opponent's, and weights of some dependencies.
+OTHER_PAYOFF = ((1.0, -2.0, 3.0), (4.0, 0.5, -1.0), (-3.0, 2.0, 0.0))
+PLAIN_PAYOFF = ((0, -1, 1), (1, 0, -1), (-1, 1, 0))
+OTHER_WEIGHTS = {"prev_move": 0.25, "prev_2move": 0.5}
+
 GAME = ("game_id", "player_id")
 PLAYER = ("player_id",)
 
@@ -78,8 +83,9 @@ feats AS (
   LEFT JOIN strict c ON s.game_id = c.game_id AND s.round_index = c.round_index AND s.player_id <> c.player_id)"""
 
 
-# name: (category columns, context columns, population)
+# By name: category columns, context columns, population.
 MOVED = "player_move <> 'none'"
+# Fixed values, as in the library.
 OBSERVED = {
     "move": ("player_move", "", MOVED),
     "transition": ("transition", "", f"prev_move <> 'none' AND {MOVED}"),
@@ -96,6 +102,7 @@ OBSERVED = {
         "transition", "prev_transition, prev_outcome",
         f"prev_outcome IS NOT NULL AND prev_move <> 'none' AND prev_move2 <> 'none' AND {MOVED}"),
 }
+# Fixed values, as in the library.
 CONTEXTS = {
     "prev_move": ("prev_move", "prev_move <> 'none'"),
     "opponent_prev_move": ("opponent_prev_move", "prev_move IS NOT NULL AND opponent_prev_move <> 'none'"),
@@ -105,6 +112,7 @@ CONTEXTS = {
         "prev_transition, prev_outcome",
         f"prev_outcome IS NOT NULL AND prev_move <> 'none' AND prev_move2 <> 'none' AND {MOVED}"),
 }
+# Fixed values, as in the library.
 GRIDS = {
     "prev_2move": (("rock", "paper", "scissors"), ("rock", "paper", "scissors"), ("rock", "paper", "scissors")),
     "prev_transition_prev_outcome": (("+", "-", "0"), ("win", "loss", "tie"), ("+", "-", "0")),
@@ -150,6 +158,7 @@ def rounded_distribution(body: str, prelude: str) -> str:
     return f"WITH {prelude} SELECT * EXCLUDE (p), {r('p')} AS p FROM ({body})"
 
 
+# Fixed values, as in the library.
 EWCD = {
     "move": "max_exp_wcd_move_dist",
     "transition": "max_exp_wcd_transition",
@@ -163,7 +172,9 @@ EWCD = {
 }
 
 
-def best_response(name: str, alignment: str = "positional", smoothing: str = "reference") -> str:
+def best_response(
+    name: str, alignment: str = "positional", smoothing: str = "reference", payoff=PLAIN_PAYOFF
+) -> str:
     """Best expected payoff per player and context."""
     category, context, _ = OBSERVED[name]
     if "transition" in category:
@@ -173,17 +184,18 @@ def best_response(name: str, alignment: str = "positional", smoothing: str = "re
     else:
         a, b, c = "paper", "rock", "scissors"
     groups = ", ".join(x for x in ("game_id, player_id", context) if x)
-    # Choosing the first, second or third option wins against the third, first, second.
-    return f"""SELECT {groups}, greatest(z - y, x - z, y - x) AS max_util FROM (
+    choices = ", ".join(f"x * {p} + y * {q} + z * {s}" for p, q, s in payoff)
+    return f"""SELECT {groups}, greatest({choices}) AS max_util FROM (
       SELECT {groups}, coalesce(sum(p) FILTER ({category} = '{a}'), 0) AS x,
              coalesce(sum(p) FILTER ({category} = '{b}'), 0) AS y,
              coalesce(sum(p) FILTER ({category} = '{c}'), 0) AS z
       FROM ({distribution(name, GAME, smoothing)}) GROUP BY {groups})"""
 
 
-def player_wcd(name: str, **options) -> str:
+def player_wcd(name: str, weights=None, **options) -> str:
     contexts = len([c for c in OBSERVED[name][1].split(",") if c])
-    return f"""SELECT game_id, player_id, sum(max_util) * 300.0 / {3 ** contexts} AS win_diff
+    factor = (weights or {}).get(name, f"1.0 / {3 ** contexts}")
+    return f"""SELECT game_id, player_id, sum(max_util) * 300.0 * {factor} AS win_diff
       FROM ({best_response(name, **options)}) GROUP BY game_id, player_id"""
 
 
@@ -207,6 +219,7 @@ def summary_ctes(variant: str = "ragged", **options) -> str:
     )
 
 
+# Fixed values, as in the library.
 ENTROPY = {
     "move": "entropy_move_dist",
     "prev_move": "entropy_prev_move",
@@ -266,6 +279,7 @@ gain_summary AS (
   FROM combined GROUP BY corrected, entropy_type)"""
 
 
+# Fixed values, as in the library.
 LABELS = (
     ("move", "Choice base rate (R/P/S)"),
     ("transition", "Transition base rate (+/−/0)"),
@@ -285,6 +299,7 @@ def label_values(names: dict[str, str]) -> str:
     return f"(VALUES {rows}) AS labels(metric, label, ordinal)"
 
 
+# Fixed values, as in the library.
 RESIDUALS = {
     "opponent_prev_move_resid": ("opponent_prev_move", ("move", "cournot_transition")),
     "player_prev_move_resid": ("prev_move", ("move", "transition")),
@@ -414,6 +429,7 @@ def build() -> dict[str, str]:
         sql[f"player_dist_{name}"] = rounded_distribution(distribution(name, PLAYER), series)
     for name in CONTEXTS:
         sql[f"context_dist_{name}"] = rounded_distribution(context_distribution(name), player)
+        sql[f"player_context_dist_{name}"] = rounded_distribution(context_distribution(name), series)
     for name in GRIDS:
         sql[f"dist_{name}_laplace"] = rounded_distribution(distribution(name, GAME, "laplace"), game)
     for name, column in EWCD.items():
@@ -425,20 +441,25 @@ def build() -> dict[str, str]:
         columns = ", ".join(f"{r(c)} AS {c}" for c in EWCD.values())
         name = alignment if alignment == "aligned" else smoothing
         sql[f"summary_win_diff_{name}"] = f"WITH {ctes} SELECT game_id, empirical_wcd, {columns} FROM summary"
+    ctes = summary_ctes("ragged", payoff=OTHER_PAYOFF, weights=OTHER_WEIGHTS)
+    columns = ", ".join(f"{r(c)} AS {c}" for c in EWCD.values())
+    sql["summary_win_diff_payoff"] = f"WITH {ctes} SELECT game_id, empirical_wcd, {columns} FROM summary"
     sql["empirical_wcd"] = f"WITH {rounds_ctes()} {EMPIRICAL}"
     for suffix, variant in (("", "ragged"), ("_paired", "paired")):
         columns = ", ".join(f"{r(c)} AS {c}" for c in EWCD.values())
         sql[f"summary_win_diff{suffix}"] = (
             f"WITH {summary_ctes(variant)} SELECT game_id, empirical_wcd, {columns} FROM summary")
     for name, column in ENTROPY.items():
-        sql[f"entropy_{name}"] = f"WITH {player} SELECT player_id, {r(column)} AS {column} FROM ({entropy(name)})"
+        for prefix, prelude in (("", player), ("player_", series)):
+            sql[f"{prefix}entropy_{name}"] = (
+                f"WITH {prelude} SELECT player_id, {r(column)} AS {column} FROM ({entropy(name)})")
     gain = "player_id, entropy_type, corrected, " + r("information_gain") + " AS information_gain"
     for table in ("uncorrected", "corrected", "combined"):
         sql[f"info_gain_{table}"] = f"WITH {gain_ctes()} SELECT {gain} FROM {table}"
     sql["info_gain_combined_series"] = f"WITH {gain_ctes('series')} SELECT {gain} FROM combined"
     sql["info_gain_combined_paired"] = f"WITH {gain_ctes('paired')} SELECT {gain} FROM combined"
     mean, se = "mean_information_gain", "se_information_gain"
-    for suffix, variant in (("", "ragged"), ("_paired", "paired")):
+    for suffix, variant in (("", "ragged"), ("_paired", "paired"), ("_series", "series")):
         ctes = gain_ctes(variant)
         sql[f"info_gain_summary{suffix}"] = f"""WITH {ctes}
           SELECT corrected, entropy_type, {r(mean)} AS {mean}, {r(se)} AS {se} FROM gain_summary"""

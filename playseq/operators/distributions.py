@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from playseq.domain import GAME_KEYS, MOVES, NO_MOVE, OUTCOMES, TRANSITIONS
-from playseq.operators.features import FOLLOWS
+from playseq.operators.features import follows
 
 REFERENCE, LAPLACE = "reference", "laplace"
 
@@ -150,7 +150,8 @@ def count_cells(
     """Count the cells of all distributions: keys, `distribution` (its index), slots, `n`.
 
     The first round of each sequence also emits the empty cells of smoothed
-    distributions, so these are complete for every key without a join.
+    distributions, so these are complete for every key without a join. The features must
+    have been made for the same keys.
     """
     if len(distributions) == 1 and not distributions[0].smoothed:
         # The condition can then reach the scan, or at least stand before the counting.
@@ -168,8 +169,11 @@ def count_cells(
         for cell in d.grid()
     ]
     if empty:
+        first = follows(keys)
+        if first not in df.columns:
+            raise ValueError(f"smoothed distributions by {tuple(keys)} need features of these keys")
         grid = f"array({', '.join(empty)})"
-        cells = f"concat({cells}, CASE WHEN {FOLLOWS} THEN slice({grid}, 1, 0) ELSE {grid} END)"
+        cells = f"concat({cells}, CASE WHEN {first} THEN slice({grid}, 1, 0) ELSE {grid} END)"
     emitted = df.select(*keys, F.explode(F.expr(cells)).alias("cell"))
     return _count(emitted.filter("cell.distribution is not null"), keys)
 

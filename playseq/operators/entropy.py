@@ -17,6 +17,7 @@ from playseq.operators.distributions import (
     count_cells,
     probabilities,
 )
+from playseq.operators.sizes import LIMITS, Limits, spread
 
 # The column each dependency's entropy goes by, in table order.
 ENTROPY = {
@@ -31,7 +32,7 @@ ENTROPY = {
     "prev_transition_prev_outcome": "entropy_prev_transition_prev_outcome",
 }
 
-# Which context distribution weighs each conditional dependency.
+# Which context distribution weighs each conditional dependency.
 WEIGHTED_BY = {
     "prev_move": "prev_move",
     "opponent_prev_move": "opponent_prev_move",
@@ -47,12 +48,15 @@ def entropies(
     names: Sequence[str] = tuple(ENTROPY),
     keys: Sequence[str] = PLAYER_KEYS,
     smoothing: str = REFERENCE,
+    rows: int = 0,
+    limits: Limits = LIMITS,
 ) -> DataFrame:
     """Entropy in bits of each dependency, one column each.
 
     Conditional entropies weigh each context by how often it occurs on its own. A
     context without any conditional observation is left out, and the remaining
-    weights are not rescaled. A key lacking a dependency altogether gets null.
+    weights are not rescaled. A key lacking a dependency altogether gets null. `rows` is
+    the number of rounds, if known, which bounds the counts.
     """
     targets = list(dict.fromkeys(WEIGHTED_BY[n] for n in names if n in WEIGHTED_BY))
     chosen = [DEPENDENCIES[n] for n in names] + [CONTEXTS[t] for t in targets]
@@ -60,7 +64,7 @@ def entropies(
     if "game_id" not in keys:
         # One shuffle by key serves all the steps after counting. Keys within a game
         # need none: the feature table is already partitioned by game.
-        cells = cells.repartition(*keys)
+        cells = spread(cells, list(keys), rows, limits)
     cells = probabilities(cells, keys, chosen, smoothing)
 
     # A context's share is stated under each dependency it weighs.

@@ -17,8 +17,13 @@ from playseq.operators.sequence import shift
 from playseq.operators.sizes import LIMITS, Limits, Sizes, measure, spread
 
 BLOCK = "_block"
-# True except on the first row of each sequence.
-FOLLOWS = "follows"
+# Puts rows that share a player and a round in an order that doesn't depend on how they were read.
+TIES = ("prev_move", "prev_move2", "prev_outcome", "player_move", "player_outcome")
+
+
+def follows(keys: Sequence[str]) -> str:
+    """The column that is true except on the first row of each sequence of these keys."""
+    return f"follows_in_{'_'.join(keys)}"
 
 
 def features(
@@ -46,34 +51,37 @@ def with_lags(rounds: DataFrame, keys: tuple[str, ...], sizes: Sizes, limits: Li
         "prev_move": ("player_move", 1),
         "prev_move2": ("player_move", 2),
         "prev_outcome": ("player_outcome", 1),
-        FOLLOWS: (F.lit(True), 1),
+        follows(keys): (F.lit(True), 1),
     }
     if keys == PLAYER_KEYS and sizes.games_per_player <= 1:
         # Nobody plays twice, so a player's sequence is that of their only game.
         keys = GAME_KEYS
+        outputs[follows(keys)] = (F.lit(True), 1)
+
+    order = ["round_index"] if keys == GAME_KEYS else ["game_id", "round_index"]
+    if sizes.unnumbered_per_game > limits.rows_per_task:
+        # Rounds without a number fall into no block, so the sequence is cut by range.
+        return shift(rounds, keys, order, outputs, range_count=limits.tasks_for(sizes.rows))
 
     blocks = rounds.withColumn(BLOCK, F.floor(F.col("round_index") / limits.rounds_per_block))
     if keys == GAME_KEYS:
-        order = ["round_index"]
         if sizes.rows_per_game <= limits.rows_per_task:
             return shift(spread(rounds, ["game_id"], sizes.rows, limits), keys, order, outputs)
         if sizes.rows_per_sequence <= limits.rows_per_task:
-            return shift(rounds, keys, order, outputs)
+            return shift(spread(rounds, list(keys), sizes.rows, limits), keys, order, outputs)
         # Round numbers are 32-bit and unique in a sequence, so blocks and their number are bounded.
-        return shift(blocks, keys, order, outputs, slice_by=[BLOCK]).drop(BLOCK)
+        near = spread(blocks, [*keys, BLOCK], sizes.rows, limits)
+        return shift(near, keys, order, outputs, slice_by=[BLOCK]).drop(BLOCK)
 
-    order = ["game_id", "round_index"]
     if sizes.rows_per_player <= limits.rows_per_task:
-        return shift(rounds, keys, order, outputs)
+        return shift(spread(rounds, ["player_id"], sizes.rows, limits), keys, order, outputs)
     edges_per_player = 4 * sizes.games_per_player * sizes.blocks_per_sequence
     edge_slices = 0 if edges_per_player <= limits.rows_per_task else limits.tasks_for(sizes.rows)
     if sizes.rows_per_sequence <= limits.rows_per_task:
-        return shift(
-            rounds, keys, order, outputs, slice_by=["game_id"], range_count=edge_slices
-        )
-    return shift(
-        blocks, keys, order, outputs, slice_by=["game_id", BLOCK], range_count=edge_slices
-    ).drop(BLOCK)
+        near = spread(rounds, ["player_id", "game_id"], sizes.rows, limits)
+        return shift(near, keys, order, outputs, slice_by=["game_id"], range_count=edge_slices)
+    near = spread(blocks, ["player_id", "game_id", BLOCK], sizes.rows, limits)
+    return shift(near, keys, order, outputs, slice_by=["game_id", BLOCK], range_count=edge_slices).drop(BLOCK)
 
 
 def with_opponent(lagged: DataFrame, sizes: Sizes, limits: Limits) -> DataFrame:
@@ -91,50 +99,22 @@ def with_opponent(lagged: DataFrame, sizes: Sizes, limits: Limits) -> DataFrame:
     complete = (
         F.col("prev_outcome").isNotNull() & is_move("prev_move") & is_move("player_move")
     )
-    if sizes.players_per_game <= 2:
-        return _pair_of_two(near, complete)
     near = _pair(near, "opponent_prev_move", everything, sizes, limits)
     return _pair(near, "opponent_prev_move_both", complete, sizes, limits)
 
 
-def _pair_of_two(df: DataFrame, complete: Column) -> DataFrame:
-    """Both populations from one window: with two rows a round, the other row is in or out."""
-    columns = df.columns
-    neighbours = shift(
-        df.withColumn("_complete", F.coalesce(complete, F.lit(False))),
-        ["game_id", "round_index"],
-        ["player_id"],
-        {
-            "_move_above": ("player_move", 1),
-            "_prev_above": ("prev_move", 1),
-            "_prev_below": ("prev_move", -1),
-            "_complete_above": ("_complete", 1),
-            "_complete_below": ("_complete", -1),
-        },
-    )
-    return neighbours.select(
-        *columns,
-        F.expr(
-            "CASE WHEN prev_move IS NOT NULL THEN"
-            " IF(_move_above IS NULL, _prev_below, _prev_above) END"
-        ).alias("opponent_prev_move"),
-        F.expr(
-            "CASE WHEN _complete AND _complete_above THEN _prev_above"
-            " WHEN _complete AND _complete_below THEN _prev_below END"
-        ).alias("opponent_prev_move_both"),
-    )
-
-
 def _pair(df: DataFrame, name: str, included: Column, sizes: Sizes, limits: Limits) -> DataFrame:
     """Each included row's neighbour in its round: the row before it, or after for the first row."""
     columns = df.columns
     # The flag joins the key, so excluded rows never stand between included ones.
     flagged = df.withColumn("_included", F.coalesce(included, F.lit(False)))
-    slices = 0 if sizes.players_per_game <= limits.rows_per_task else limits.tasks_for(sizes.rows)
+    # Rounds of a game without a number are one round here, however many they are.
+    largest = max(sizes.players_per_game, sizes.unnumbered_per_game)
+    slices = 0 if largest <= limits.rows_per_task else limits.tasks_for(sizes.rows)
     neighbours = shift(
         flagged,
         ["game_id", "round_index", "_included"],
-        ["player_id"],
+        ["player_id", *TIES],
         {
             "_move_above": ("player_move", 1),
             "_prev_above": ("prev_move", 1),

@@ -8,7 +8,7 @@ across slices. No row is dropped and the result equals the plain window.
 
 from __future__ import annotations
 
-import tempfile
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -33,9 +33,10 @@ def _set_checkpoint_dir(spark: SparkSession) -> None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not context.master.startswith("local"):
+        # The warehouse is shared by all executors wherever it isn't a local folder.
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+        if not context.master.startswith("local") and re.match(r"file:|/", folder):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="playseq-checkpoint-")
     context.setCheckpointDir(folder)
 
 

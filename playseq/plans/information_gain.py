@@ -18,7 +18,7 @@ UNCORRECTED, CORRECTED = "Uncorrected", "Corrected"
 # Not reported, but needed to correct another dependency.
 UNREPORTED = "outcome_cournot_transition"
 
-# What is subtracted from each dependency's gain, in the order it is done. A name that
+# What is subtracted from each dependency's gain, in the order it is done. A name that
 # was corrected further up stands for its corrected gain.
 CORRECTIONS = {
     "opponent_prev_move": ("cournot_transition", "move"),
@@ -44,7 +44,7 @@ def player_entropies(
     # Where nobody plays twice, keys within the game are the same players, and their
     # counts can stay where the games are.
     keys = GAME_KEYS if study.sizes.games_per_player <= 1 else PLAYER_KEYS
-    found = entropies(study.features(keys), names, keys, smoothing)
+    found = entropies(study.features(keys), names, keys, smoothing, study.sizes.rows, study.limits)
     if "move" in names:
         found = found.filter(F.col(ENTROPY["move"]).isNotNull())
     return found.select("player_id", *(ENTROPY[name] for name in names))

@@ -42,12 +42,14 @@ def rounds_from_events(
     *,
     paired: bool = False,
     rounds_per_game: int | None = None,
+    by_game: bool = True,
     limits: Limits = LIMITS,
 ) -> DataFrame:
     """One row per event; `paired` keeps only rounds that both players reached.
 
     With `rounds_per_game` a pair's rounds are cut into consecutive games, so each
-    player takes part in several.
+    player takes part in several. `by_game` deals the rounds to tasks by game, which all windows
+    within games then share; without it, what only counts moves can combine before any shuffle.
     """
     rows, largest = group_sizes(events, ["user_id"])
     slices = limits.tasks_for(rows) if largest > limits.rows_per_task else 0
@@ -59,7 +61,7 @@ def rounds_from_events(
         "event_id",
         label_of("event_type", EVENT_MOVES).alias("player_move"),
     )
-    if not slices:
+    if by_game and not slices:
         # A game is then two small users, so numbering, pairing and any later
         # windows within games share this one shuffle.
         moves = spread(moves, ["game_id"], rows, limits)
@@ -77,12 +79,13 @@ def rounds_from_events(
 
     # At most two rows share a round: a game has two users and numbers are unique per user.
     pair = Window.partitionBy("game_id", "round_index").orderBy("player_id")
-    other = F.coalesce(F.lag("player_move").over(pair), F.lead("player_move").over(pair))
-    rounds = numbered.select(
-        "game_id", "player_id", "round_index", "player_move", other.alias("other_move")
-    )
+    neighbour = F.struct("player_move")
+    other = F.coalesce(F.lag(neighbour).over(pair), F.lead(neighbour).over(pair))
+    rounds = numbered.select("game_id", "player_id", "round_index", "player_move", other.alias("other"))
     if paired:
-        rounds = rounds.filter(F.col("other_move").isNotNull())
+        # The opponent's row counts, whatever its move.
+        rounds = rounds.filter(F.col("other").isNotNull())
+    rounds = rounds.withColumn("other_move", F.col("other.player_move"))
     return rounds.select(
         "game_id",
         "player_id",

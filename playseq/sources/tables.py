@@ -2,24 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from playseq.domain import MIN_ROUNDS, ROUNDS
 from playseq.operators.sizes import LIMITS, Limits, Sizes, measure
 
 
 def read_rounds(spark: SparkSession, path: str, format: str = "csv") -> DataFrame:
-    """Read a rounds table with its declared schema; "NA" and empty text become null."""
+    """Read a rounds table with its declared schema.
+
+    In CSV files, blanks around a value are dropped, "NA" and empty text become null, and a
+    round number may be written as a whole decimal number.
+    """
     if format == "csv":
         # The header may name further columns and any order, so bind by name.
-        raw = spark.read.csv(path, header=True, nullValue="NA", inferSchema=False)
-        return raw.select(
-            *(F.expr(f"nullif(`{f.name}`, '')").cast(f.dataType).alias(f.name) for f in ROUNDS)
-        )
+        raw = spark.read.csv(path, header=True, inferSchema=False)
+        return raw.select(*(_parsed(f).alias(f.name) for f in ROUNDS))
     return spark.read.format(format).load(path).select(*ROUNDS.fieldNames())
 
 
+def _parsed(field: T.StructField) -> Column:
+    text = f"nullif(nullif(btrim(`{field.name}`, ' \\t'), ''), 'NA')"
+    if field.dataType == T.StringType():
+        return F.expr(text)
+    number = f"CAST({text} AS DOUBLE)"
+    # A fraction is no round number, so it fails like other text.
+    return F.expr(f"CAST(IF({number} = floor({number}), CAST({number} AS BIGINT), {text}) AS {field.dataType.simpleString()})")
+
+
 def complete_rounds(
     rounds: DataFrame,
     min_rounds: int = MIN_ROUNDS,
@@ -34,15 +46,7 @@ def complete_rounds(
     sizes = sizes or measure(rounds, min_rounds, limits)
     if sizes.incomplete_players == 0:
         return rounds
-    incomplete = (
-        rounds.groupBy("player_id")
-        .agg(
-            F.max("round_index").alias("last"),
-            F.count_if(F.col("round_index").isNull()).alias("unknown"),
-        )
-        .filter((F.col("last") < min_rounds) & (F.col("unknown") == 0))
-        .select(F.col("player_id").alias("incomplete_id"))
-    )
+    incomplete = sizes.incomplete
     # Beyond the broadcast limit this is a shuffled join, whose large keys AQE can split.
     if sizes.incomplete_players <= limits.broadcast_rows:
         incomplete = F.broadcast(incomplete)

@@ -87,7 +87,7 @@ def test_entropy_of_smoothed_context(feats):
         after_rp = after_pp  # one observed cell in either context
         got = {
             r.player_id: r.entropy_prev_2move
-            for r in entropies(feats, ["prev_2move"], PLAYER_KEYS, smoothing).collect()
+            for r in entropies(feats, ["prev_2move"], GAME_KEYS, smoothing).collect()
         }
         # b's two-move contexts: (paper, paper) before round 3 and (rock, paper) before round 4.
         assert got["b"] == pytest.approx((after_pp + after_rp) / 2)

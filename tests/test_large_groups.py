@@ -6,6 +6,7 @@ from dataclasses import replace
 import pytest
 
 from playseq.domain import GAME_KEYS, PLAYER_KEYS, ROUNDS
+from playseq.operators.distributions import DEPENDENCIES, distribution
 from playseq.operators.features import features
 from playseq.operators.regression import quantiles
 from playseq.operators.sequence import number_rows, range_slices, shift
@@ -147,9 +148,49 @@ def test_quantiles_by_rank(spark):
     assert list(ranked) == pytest.approx(list(plain))
 
 
+def test_equal_values_do_not_fill_a_slice(spark):
+    df = spark.range(1000).selectExpr("if(id < 900, 5.0D, cast(id AS double)) AS x")
+    wanted = {"lo": 0.0, "q1": 0.25, "mid": 0.5, "q91": 0.91, "hi": 1.0}
+    (plain,) = quantiles(df, "x", wanted, 1000).collect()
+    (ranked,) = quantiles(df, "x", wanted, 1000, Limits(rows_per_task=40)).collect()
+    assert list(ranked) == pytest.approx(list(plain))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Unknown round numbers, repeated rounds, an unknown game, three players."""
+    rng = random.Random(8)
+    rows = []
+    for game, players in (("g1", "ab"), ("g2", "abc"), (None, "de"), ("g3", "a")):
+        for number in [*range(1, 9), 3, None, None, None]:
+            for player in players:
+                # Moves follow from the place, so rows that tie in the order are alike.
+                move = "rock paper scissors none".split()[(number or 0) % 4 if number != 3 else 0]
+                rows.append((game, player, number, move, "win" if (number or 0) % 2 else "loss"))
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, ROUNDS).cache()
+
+
 @pytest.mark.parametrize("keys", [GAME_KEYS, PLAYER_KEYS])
-def test_two_player_shortcut_equals_general_pairing(skewed, keys):
-    sizes = measure(skewed)
-    assert sizes.players_per_game == 2
-    general = features(skewed, keys, replace(sizes, players_per_game=3))
-    assert rows_of(features(skewed, keys, sizes)) == rows_of(general)
+@pytest.mark.parametrize("limits", TINY.values(), ids=TINY)
+def test_odd_rounds_equal_plain_windows(odd, keys, limits):
+    assert measure(odd).unnumbered_per_game == 9
+    assert rows_of(features(odd, keys, limits=limits)) == rows_of(features(odd, keys))
+
+
+def test_opponents_without_a_round_number_are_paired(odd):
+    """Two players, several rows without a number: each row has a neighbour."""
+    two = features(odd.filter("game_id = 'g1'")).filter("round_index IS NULL AND prev_move IS NOT NULL")
+    assert two.count() > 0 and two.filter("opponent_prev_move IS NULL").count() == 0
+
+
+def test_games_without_an_id_stay_in_the_summary(odd):
+    study = Study.of(odd, 1)
+    many = Study(study.rounds, replace(study.sizes, players_per_game=100), Limits(rows_per_task=99, partitions=6))
+    games = {r.game_id for r in summary_win_diff(study).collect()}
+    assert None in games and {r.game_id for r in summary_win_diff(many).collect()} == games
+
+
+def test_smoothed_grids_need_features_of_their_keys(odd):
+    with pytest.raises(ValueError, match="need features"):
+        distribution(features(odd, PLAYER_KEYS), DEPENDENCIES["prev_2move"], GAME_KEYS)

@@ -5,6 +5,7 @@ from dataclasses import replace
 
 import pytest
 
+import __spark_entry__ as entry
 from playseq.domain import GAME_KEYS, PLAYER_KEYS
 from playseq.operators.distributions import DEPENDENCIES, distribution
 from playseq.operators.entropy import entropies
@@ -71,6 +72,32 @@ def test_move_distribution_counts_before_shuffling(study):
     assert "round_index" not in text[text.index("ReadSchema") :]
 
 
+MOVE_ONLY = ("dist_move", "player_dist_move", "player_wcd_move", "ewcd_move", "entropy_move")
+
+
+@pytest.mark.parametrize("name", MOVE_ONLY)
+def test_registered_move_queries_count_before_shuffling(spark, name):
+    text = plan(entry.queries()[name](spark, "/root/testdata/sf0.001"))
+    # The deepest exchange of the main branch stands above the partial count.
+    main = text[: text.index("BroadcastExchange")] if "BroadcastExchange" in text else text
+    assert "partial_sum" in main[main.rindex("Exchange hash") :]
+
+
+def test_registered_summary_reads_events_once(spark):
+    text = plan(entry.queries()["summary_win_diff"](spark, "/root/testdata/sf0.001"))
+    assert text.count("FileScan") == 1
+
+
+@pytest.mark.parametrize("keys", [GAME_KEYS, PLAYER_KEYS])
+@pytest.mark.parametrize("largest", [100, 10**11])
+def test_no_exchange_of_rounds_at_the_session_default(study, keys, largest):
+    sizes = Sizes(10**12, largest, largest, largest, 2, 1000, 763, 0)
+    text = plan(Study(study.rounds, sizes).features(keys))
+    narrow = re.findall(r"Exchange hashpartitioning\(([^)]*), 8\)", text)
+    # Only edge rows of slices, which are few, go by the session's width.
+    assert all("_across" in text or "edge" in n for n in narrow) and "50000)" in text
+
+
 def test_empirical_differential_reads_three_columns(study):
     text = plan(empirical_wcd(study.rounds, study.sizes))
     schema = re.search(r"ReadSchema: struct<([^>]*)>", text).group(1)

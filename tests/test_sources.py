@@ -25,6 +25,13 @@ def test_csv_binds_by_name_and_reads_missing_values(spark, tmp_path):
     )
 
 
+def test_csv_drops_blanks_and_reads_whole_decimals(spark, tmp_path):
+    file = tmp_path / "rounds.csv"
+    file.write_text("game_id,player_id,round_index,player_move,player_outcome\n g1 ,a,1.0, rock,win\ng1,a, 2 ,paper , NA\n")
+    got = read_rounds(spark, str(file)).orderBy("round_index").collect()
+    assert [tuple(r) for r in got] == [("g1", "a", 1, "rock", "win"), ("g1", "a", 2, "paper", None)]
+
+
 @pytest.mark.parametrize("limit", [None, 0])
 def test_incomplete_players_are_dropped_over_all_their_games(spark, limit):
     from playseq.operators.sizes import Limits

@@ -10,7 +10,7 @@ from playseq.domain import MOVES
 from playseq.functions import cyclic_transition
 from playseq.operators.correlation import correlations
 from playseq.operators.distributions import DEPENDENCIES, LAPLACE, distribution
-from playseq.operators.regression import coefficient_table, f_tail, fit, fit_table, residuals
+from playseq.operators.regression import Moments, coefficient_table, f_tail, fit, fit_table, residuals
 from playseq.operators.win_differential import expected_wcd
 from playseq.plans.information_gain import (
     CORRECTIONS,
@@ -41,7 +41,7 @@ def test_least_squares(sample):
     resid = y - design @ beta
     variance = resid @ resid / 56
     errors = np.sqrt(variance * np.diag(np.linalg.inv(design.T @ design)))
-    table = {r.term: r for r in coefficient_table(df, fitted).collect()}
+    table = {r.term: r for r in coefficient_table(df.sparkSession, fitted).collect()}
     for i, term in enumerate(["(Intercept)", "a", "b", "c"]):
         assert table[term].estimate == pytest.approx(beta[i], rel=1e-9)
         assert table[term].std_error == pytest.approx(errors[i], rel=1e-9)
@@ -68,18 +68,42 @@ def test_residuals_of_several_models_in_one_pass(sample):
         assert [r[name if name != "b" else "b"] for r in rows] == pytest.approx(list(want), abs=1e-9)
 
 
-def test_collinear_predictors_have_no_errors(sample):
+def test_only_the_redundant_term_is_unknown(sample):
     df = sample[0].withColumn("twice", F.col("a") * 2)
-    fitted = fit(df, "y", ["a", "twice"])
-    assert set(fitted.std_errors) == set(fitted.p_values) == {None}
-    assert fitted.r2 == pytest.approx(fit(df, "y", ["a"]).r2, abs=1e-6)
-    assert coefficient_table(df, fitted).count() == 3
+    fitted, plain = fit(df, "y", ["a", "twice", "b"]), fit(df, "y", ["a", "b"])
+    for name in ("estimates", "std_errors", "t_values", "p_values"):
+        a, twice, b, intercept = getattr(fitted, name)
+        assert twice is None
+        assert (a, b, intercept) == pytest.approx(getattr(plain, name))
+    assert fitted.degrees_of_freedom == plain.degrees_of_freedom == 57
+    assert coefficient_table(df.sparkSession, fitted).count() == 4
+
+
+def test_each_model_uses_its_own_complete_rows(spark):
+    rows = [(1.0, 2.0, 5.0), (2.0, None, 1.0), (3.0, 7.0, None), (5.0, 1.0, 2.0), (4.0, 3.0, 9.0), (2.5, 0.0, 4.0)]
+    df = spark.createDataFrame(rows, "x double, y double, z double")
+    got = df.withColumns(residuals(df, {"of_y": ("y", ["x"]), "of_z": ("z", ["x"])})).collect()
+    for name, place in (("of_y", 1), ("of_z", 2)):
+        whole = np.array([(r[0], r[place]) for r in rows if r[place] is not None])
+        x = np.column_stack([np.ones(len(whole)), whole[:, 0]])
+        want = whole[:, 1] - x @ np.linalg.lstsq(x, whole[:, 1], rcond=None)[0]
+        assert [r[name] for r in got if r[name] is not None] == pytest.approx(list(want))
+
+
+def test_moments_of_residuals_follow_from_raw_columns(sample):
+    df, _, _ = sample
+    moments = Moments.of(df, ["y", "a", "b", "c"])
+    moments = moments.with_residual("left", moments.fit("c", ["a", "b"]))
+    table = df.withColumn("left", fit(df, "c", ["a", "b"]).residual())
+    direct = fit(table, "y", ["a", "left"])
+    assert moments.fit("y", ["a", "left"]).estimates == pytest.approx(direct.estimates, rel=1e-6)
+    assert moments.correlation("left", "y") == pytest.approx(table.corr("left", "y"))
 
 
 def test_more_predictors_than_rows(sample):
     df = sample[0].limit(3)
     fitted = fit(df, "y", ["a", "b", "c"])
-    assert coefficient_table(df, fitted).count() == 4
+    assert coefficient_table(df.sparkSession, fitted).count() == 4
     (row,) = fit_table(df, fitted).collect()
     assert row.adj_r_squared is row.f_statistic is row.residual_std_error is None
 
@@ -89,6 +113,12 @@ def test_f_tail():
     for t in (0.3, 1.0, 5.0):
         assert f_tail(t * t, 1, 1) == pytest.approx(1 - 2 * math.atan(t) / math.pi)
     assert f_tail(0.0, 3, 9) == pytest.approx(1.0)
+    # With ever more denominator degrees, k times F is chi-square; for k = 8 its tail is a finite sum.
+    for degrees in (10**10, 10**12):
+        for f in (0.2, 1.0, 2.5):
+            half = 8 * f / 2
+            limit = math.exp(-half) * sum(half**i / math.factorial(i) for i in range(4))
+            assert f_tail(f, 8, degrees) == pytest.approx(limit, abs=1e-9)
 
 
 def test_correlations(sample):
