@@ -18,10 +18,10 @@ SHINGLE = 5
 PERCENT = 80
 #: A pair at 80 % agrees in all rows of some band but for 1.3e-7 of pairs: (1 - 0.8 ** 5) ** 40.
 BANDS, ROWS = 40, 5
-#: Estimates this far (in hundredths) below the threshold are still verified: five deviations at 200 coordinates.
-SLACK = 14
+#: Pairs that a set proposes with each other component of a bucket, likeliest first.
+PROPOSED = 3
 #: Members of one bucket that are compared with each other in one task; larger buckets go in blocks.
-BLOCK = 2048
+BLOCK = 1024
 
 _ROUND = np.uint64(54)
 _VALUE = np.uint64((1 << 54) - 1)
@@ -129,7 +129,10 @@ def near_duplicates(
        its bucket. Every member is paired with the bucket's smallest set only.
     3. Pairs are verified on the full sets, and links make components.
     4. Where members of different components still share a bucket without having been compared,
-       their sketches are, block by block, and likely pairs are verified like the others.
+       they are, block by block: each set outside the bucket's commonest component counts what it
+       has in common with all others at once, over 24 bits of each shingle's hash. That can only
+       overstate, so no link is missed, and the best few pairs with each component are verified.
+    Sets go by a hash of 64 bits: among n different ones, about n * n / 2 ** 65 pairs are mixed up.
 
     rows, one for each document: `row` (a struct of the `carry` columns), k1, k2 (a hash of the row's
     id and text), id, n_shingles, component_id (the smallest id reachable; null ids count as none)
@@ -143,8 +146,6 @@ def near_duplicates(
     )
     row_type = named.schema["row"].dataType.simpleString()
     id_type = named.schema["id"].dataType.simpleString()
-    node = "struct<s1:long,s2:long>"
-
     def sketch(batches):
         for batch in slices(batches, "text"):
             sets = ShingleSets.of(batch.column("text"), shingle)
@@ -152,39 +153,37 @@ def near_duplicates(
             some = sets.sizes > 0
             keys = _bands(sketches, bands, band_rows).view(np.int64)
             ends = np.concatenate([[0], np.cumsum(np.where(some, bands, 0))])
-            low = mix(sketches).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in ("row", "id", "k1", "k2")),
                     pa.array(sets.sizes, pa.int64()),
-                    pa.StructArray.from_arrays(
-                        [pa.array(sets.sums(seed).view(np.int64)) for seed in (1, 2)], ["s1", "s2"], mask=pa.array(~some)
-                    ),
+                    pa.array(sets.sums(1).view(np.int64), mask=~some),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[some].ravel())),
-                    pa.array([x.tobytes() for x in low], pa.binary()),
                 ],
-                ["row", "id", "k1", "k2", "n_shingles", "node", "bands", "sketch"],
+                ["row", "id", "k1", "k2", "n_shingles", "node", "bands"],
             )
 
     base = checkpoint(
         named.mapInArrow(
             sketch,
-            f"row {row_type}, id {id_type}, k1 long, k2 long, n_shingles long, node {node}, bands array<long>, sketch binary",
+            f"row {row_type}, id {id_type}, k1 long, k2 long, n_shingles long, node long, bands array<long>",
         )
     )
     # One row for each distinct set, with a document that has it.
     sets = checkpoint(
         base.filter("n_shingles > 0")
         .groupBy("node")
-        .agg(F.min("id").alias("least_id"), F.min(F.struct("k1", "k2")).alias("place"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        .agg(F.min("id").alias("least_id"), F.min(F.struct("k1", "k2")).alias("place"), F.first("bands").alias("bands"))
     )
     banded = sets.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("members")).filter("members > 1")
     shared = checkpoint(banded.join(buckets, "band").filter("node <> lead"))
-    pairs = shared.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    links = checkpoint(_verified(pairs, sets, named, shingle, percent))
+    pairs = checkpoint(shared.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
+    # Every set that shares a bucket is in a pair, so these serve all rounds.
+    full = _full_sets(pairs, sets, named, shingle)
+    links = checkpoint(_verified(pairs, full, percent))
     labels = components(links)
-    more = checkpoint(_verified(_between(shared, labels, sets, percent), sets, named, shingle, percent))
+    more = checkpoint(_verified(_between(shared, labels, full, percent), full, percent))
     if more.limit(1).count():
         links = links.unionByName(more)
         labels = components(links)
@@ -198,23 +197,31 @@ def near_duplicates(
     return NearDuplicates(rows, links)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, named: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Those pairs a, b whose full shingle sets are similar enough."""
-    pairs = checkpoint(pairs)
+def _full_sets(pairs: DataFrame, sets: DataFrame, named: DataFrame, shingle: int) -> DataFrame:
+    """The shingles of every set in a pair, from the text of one document that has it."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     places = sets.select("node", "place").join(nodes, "node").select("node", "place.*")
 
     def collect(batches):
         for batch in slices(batches, "text"):
             found = ShingleSets.of(batch.column("text"), shingle)
-            raw = [found.values[a:b].tobytes() for a, b in zip(found.first[:-1], found.first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(raw, pa.binary())], ["node", "shingles"])
+            short = np.ascontiguousarray((found.values & np.uint64(0xFFFFFF)).astype("<u4")).view(np.uint8).reshape(-1, 4)[:, :3]
+            raw = [
+                [x[a:b].tobytes() for a, b in zip(found.first[:-1], found.first[1:], strict=True)]
+                for x in (found.values, short)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), *(pa.array(r, pa.binary()) for r in raw)], ["node", "shingles", "short"]
+            )
 
     full = named.select("k1", "k2", "text").join(places, ["k1", "k2"]).select("node", "text")
     # Rows repeated in full bring the same set again.
-    full = checkpoint(
-        full.mapInArrow(collect, "node struct<s1:long,s2:long>, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    )
+    found = full.mapInArrow(collect, "node long, shingles binary, short binary")
+    return checkpoint(found.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("short").alias("short")))
+
+
+def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Those pairs a, b whose full shingle sets are similar enough."""
     both = (
         pairs.join(full.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
         .join(full.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
@@ -232,44 +239,57 @@ def _verified(pairs: DataFrame, sets: DataFrame, named: DataFrame, shingle: int,
                 similar.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(similar))
 
-    return both.mapInArrow(verify, "a struct<s1:long,s2:long>, b struct<s1:long,s2:long>")
+    return both.mapInArrow(verify, "a long, b long")
 
 
-def _between(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of different components within a bucket; each bucket's smallest set was compared with all."""
+def _between(shared: DataFrame, labels: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components within a bucket that may be links; each bucket's smallest set was compared with all."""
     member = shared.select("band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = member.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"))
     mixed = mixed.filter("low <> high").select("band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    member = member.join(mixed, "band").join(sets.select("node", "sketch"), "node")
+    member = member.join(mixed, "band").join(full.select("node", "short"), "node")
     # Each pair of blocks meets once; a bucket within one block is one group.
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     member = member.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.withColumn("low_block", F.least("mine", "other")).withColumn("high_block", F.greatest("mine", "other"))
-    least = percent - SLACK
+    member = member.select(
+        "band", "node", "label", "short", "mine", F.least("mine", "other").alias("low_block"), F.greatest("mine", "other").alias("high_block")
+    )
 
     def compare(group):
-        group = group.combine_chunks()
-        n = len(group)
-        data, at = flat(group["sketch"])
-        sketch = data.reshape(n, -1)
-        label = group["label"].combine_chunks() if isinstance(group["label"], pa.ChunkedArray) else group["label"]
-        label = np.stack([c.to_numpy() for c in label.flatten()], 1)
-        mine = group["mine"].to_numpy()
+        n = group.num_rows
+        data, at = flat(group["short"])
+        parts = np.zeros((len(data) // 3, 4), np.uint8)
+        parts[:, :3] = data.reshape(-1, 3)
+        sizes = np.diff(at) // 3
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        owner = np.repeat(np.arange(n), sizes)
+        # For every distinct value, the sets that hold it.
+        _, value, times = np.unique(parts.view("<u4").ravel(), return_inverse=True, return_counts=True)
+        holders = owner[np.argsort(value, kind="stable")]
+        first = np.cumsum(times) - times
+        label, mine = group["label"].to_numpy(), group["mine"].to_numpy()
         apart = group["low_block"][0].as_py() != group["high_block"][0].as_py()
+        _, kind, members = np.unique(label, return_inverse=True, return_counts=True)
         a, b = [], []
-        for i in range(n):
-            other = sketch[i + 1 :]
-            likely = (other == sketch[i]).sum(1) * 100 >= least * sketch.shape[1]
-            likely &= (label[i + 1 :] != label[i]).any(1)
+        for i in np.flatnonzero(kind != members.argmax()):
+            held = value[ends[i] : ends[i + 1]]
+            count = times[held]
+            places = np.repeat(first[held] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            common = np.minimum(np.bincount(holders[places], minlength=n), np.minimum(sizes, sizes[i]))
+            union = sizes + sizes[i] - common
+            likely = (100 * common >= percent * union) & (kind != kind[i])
             if apart:
-                likely &= mine[i + 1 :] != mine[i]
-            found = np.flatnonzero(likely) + i + 1
-            a.extend([i] * len(found))
-            b.extend(found.tolist())
+                likely &= mine != mine[i]
+            found = np.flatnonzero(likely)
+            found = found[np.argsort(-common[found] / union[found], kind="stable")]
+            taken: dict[int, int] = {}
+            for j in found:
+                taken[kind[j]] = taken.get(kind[j], 0) + 1
+                if taken[kind[j]] <= PROPOSED:
+                    a.append(i)
+                    b.append(j)
         nodes = group["node"]
         return pa.table({"a": nodes.take(pa.array(a, pa.int64())), "b": nodes.take(pa.array(b, pa.int64()))})
 
-    pairs = member.groupBy("band", "low_block", "high_block").applyInArrow(
-        compare, "a struct<s1:long,s2:long>, b struct<s1:long,s2:long>"
-    )
+    pairs = member.groupBy("band", "low_block", "high_block").applyInArrow(compare, "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
