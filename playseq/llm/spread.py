@@ -37,6 +37,8 @@ def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _by_chunk(hashes: np.ndarray, chunks: np.ndarray) -> tuple[list[int], list[bytes]]:
+    if not len(chunks):
+        return [], []
     order = np.argsort(chunks, kind="stable")
     hashes, chunks = hashes[order], chunks[order]
     first = np.flatnonzero(np.append(True, chunks[1:] != chunks[:-1])[: len(chunks)])
