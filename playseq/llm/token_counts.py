@@ -139,7 +139,7 @@ def count_tokens(stream: DataFrame, *, end: int = END) -> DataFrame:
 
     blocks = checkpoint(stream.mapInArrow(search, f"stream {types['stream']}, block long, n long, ends array<int>{rows_type}"))
     blocks = blocks.withColumn("group", F.floor(F.col("block") / GROUP_BLOCKS))
-    n_ends, last = F.size("ends"), F.element_at("ends", -1)
+    n_ends, last = F.size("ends"), F.try_element_at("ends", F.lit(-1))
     inner = Window.partitionBy("stream", "group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy("of").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     placed = blocks.withColumn("before", F.coalesce(F.sum("n").over(inner), F.lit(0)))
@@ -175,7 +175,7 @@ def count_tokens(stream: DataFrame, *, end: int = END) -> DataFrame:
     closed = stitched.select("*", F.posexplode("ends").alias("k", "end")).select(
         "stream", (F.col("number") + F.col("k")).alias("number"), start.alias("start"), (end_at - start).alias("n_tokens"), F.lit(True).alias("ended"), *row
     )
-    tail = F.coalesce(F.col("begin") + F.element_at("ends", -1), F.col("open")) + 1
+    tail = F.coalesce(F.col("begin") + F.try_element_at("ends", F.lit(-1)), F.col("open")) + 1
     size = F.col("begin") + F.col("n") - tail
     left = stitched.filter("is_last").filter(size > 0).select(
         "stream",
