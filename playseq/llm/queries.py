@@ -121,6 +121,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_difference_cover_dedup": OP3_SQL,
         "op4_fast_similarity_near_dedup": OP4_SQL,
         "op8_fm_index_decontamination": OP8_SQL,
+        "op9_induced_sorting_dedup": OP9_SQL,
     }
 
 
@@ -214,3 +215,28 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN words_hit USING (doc_id) LEFT JOIN items_hit USING (doc_id)
 """
+
+OP9_SQL = r"""
+WITH doc AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (
+  SELECT doc_id, i, md5(substring(h, 2 * i + 1, 800)) AS m
+  FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 399, 0))) AS i FROM doc)),
+twice AS (SELECT doc_id, i FROM win JOIN (SELECT m FROM win GROUP BY m HAVING count(*) > 1) USING (m)),
+start AS (
+  SELECT doc_id, i, i + 400 AS past,
+    coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, true) AS opens
+  FROM twice),
+span AS (
+  SELECT doc_id, min(i) AS first, max(past) AS past
+  FROM (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM start) GROUP BY doc_id, k),
+edge AS (
+  SELECT doc_id, coalesce(lag(past) OVER w, 0) AS kept_from, first AS kept_to FROM span WINDOW w AS (PARTITION BY doc_id ORDER BY first)
+  UNION ALL SELECT doc_id, max(past), NULL FROM span GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(substring(h, 2 * kept_from + 1, 2 * (coalesce(kept_to, len(h) // 2) - kept_from)), '' ORDER BY kept_from) AS k
+  FROM edge JOIN doc USING (doc_id) GROUP BY doc_id),
+cut AS (SELECT doc_id, count(*) AS n_spans, sum(past - first) AS n_removed FROM span GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM doc LEFT JOIN kept USING (doc_id) LEFT JOIN cut USING (doc_id)
+"""
