@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playseq.llm.quality_features import FEATURES, beginnings, measure, plain_words
-from playseq.llm.text import flat, slices
+from playseq.llm.quality_features import ENTRY, FEATURES, beginnings, measure, plain_words
+from playseq.llm.text import flat, mix, slices
 
 ABSTAIN, GOOD, BAD = 0, 1, 2
 Features = dict[str, np.ndarray]
@@ -140,27 +140,31 @@ def learn_lexicon(documents: DataFrame, labels: DataFrame, text: str = "text", s
     )
 
     def choose(batches):
-        keys = _choose_beginnings(list(slices(batches, "text")))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
+        entries = _choose_beginnings(list(slices(batches, "text")))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(entries["size"]), pa.array(entries["level"]), pa.array(entries["hash"].astype(np.int64))],
+            ["size", "level", "hash"],
+        )
 
-    found = rows.repartition(1).mapInArrow(choose, "key long").collect()
-    return np.sort(np.array([r["key"] for r in found], np.int64).view(np.uint64))
+    found = rows.repartition(1).mapInArrow(choose, "size int, level int, hash long").collect()
+    return np.array([(r["size"], r["level"], r["hash"] & (1 << 64) - 1) for r in found], ENTRY)
 
 
 def _choose_beginnings(pieces: list[pa.RecordBatch]) -> np.ndarray:
     if not pieces:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, ENTRY)
     toxic = np.concatenate([p.column("toxic").to_numpy(zero_copy_only=False) for p in pieces]) == 1
-    texts, keys, seen = [], [], 0
+    texts, entries, seen = [], [], 0
     for p in pieces:
-        who, key = beginnings(plain_words(*flat(p.column("text"))))
+        who, found = beginnings(plain_words(*flat(p.column("text"))))
         texts.append(who + seen)
-        keys.append(key)
+        entries.append(found)
         seen += p.num_rows
-    texts, keys = np.concatenate(texts), np.concatenate(keys)
+    texts, entries = np.concatenate(texts), np.concatenate(entries)
+    keys = mix(entries["hash"] + entries["size"].astype(np.uint64) * np.uint64(8) + entries["level"].astype(np.uint64))
     n_toxic, n_other = int(toxic.sum()), int((~toxic).sum())
     least = max(3, 0.01 * n_toxic)
-    kinds, which = np.unique(keys, return_inverse=True)
+    kinds, example, which = np.unique(keys, return_index=True, return_inverse=True)
     in_toxic = np.bincount(which[toxic[texts]], minlength=len(kinds))
     in_other = np.bincount(which[~toxic[texts]], minlength=len(kinds))
     telling = (in_toxic >= least) & (in_other <= 0.003 * n_other) & (in_toxic / max(n_toxic, 1) > 30 * (in_other + 0.5) / max(n_other, 1))
@@ -174,7 +178,7 @@ def _choose_beginnings(pieces: list[pa.RecordBatch]) -> np.ndarray:
             break
         out.append(best)
         left[texts[which == best]] = False
-    return kinds[out]
+    return entries[example[np.array(out, np.int64)]]
 
 
 @dataclass
@@ -192,13 +196,14 @@ def judge(
     lexicon: np.ndarray | None = None,
     rules: Sequence[Rule] = RULES,
     least_good: float = 0.5,
+    keep_text: bool = False,
 ) -> Judged:
     """Features, votes, posterior and verdict of every document.
 
     Returns the rows, one for each document: `row` (a struct of the `carry` columns), the
     features (counts, see quality_features), votes (by rule: 0 abstains, 1 good, 2 bad),
     base_failed (under 20 words, or over 30 % of them in repeated 8-word windows),
-    good_probability and kept. Null and empty texts have no words, so they fail the base.
+    good_probability, kept and, with `keep_text`, text. Null and empty texts have no words, so they fail the base.
     Equal texts get equal results, whatever else their rows hold. The documents are read twice:
     once to count patterns of votes (at most 3 to the number of rules come to the driver), once to judge.
     """
@@ -229,11 +234,13 @@ def judge(
                     pa.array(failed),
                     pa.array(good),
                     pa.array(~failed & (good >= least_good)),
+                    *([batch.column("text")] if keep_text else []),
                 ],
-                ["row", *FEATURES, "votes", "base_failed", "good_probability", "kept"],
+                ["row", *FEATURES, "votes", "base_failed", "good_probability", "kept", *(["text"] if keep_text else [])],
             )
 
     row_type = words.schema["row"].dataType.simpleString()
     columns = ", ".join(f"{name} long" for name in FEATURES)
-    rows = words.mapInArrow(score, f"row {row_type}, {columns}, votes array<int>, base_failed boolean, good_probability double, kept boolean")
+    columns += ", votes array<int>, base_failed boolean, good_probability double, kept boolean"
+    rows = words.mapInArrow(score, f"row {row_type}, {columns}" + ", text string" * keep_text)
     return Judged(rows, model, rules)

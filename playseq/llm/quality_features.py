@@ -109,37 +109,52 @@ def plain_words(data: np.ndarray, at: np.ndarray) -> Words:
     return Words(data, at, letters, lower=True)
 
 
+#: An entry of a lexicon: words that begin with so many bytes (0: whole words) of this hash, so often in a text.
+ENTRY = np.dtype([("size", np.int32), ("level", np.int32), ("hash", np.uint64)])
+
+
+def _of_size(plain: Words, prefix: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts and hashes of beginnings of one size; 0: of whole words."""
+    end = plain.start + size if size else plain.end
+    long = end <= plain.end
+    return plain.document[long], BYTES.between(prefix, plain.start[long], end[long])
+
+
 def beginnings(plain: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Per text and distinct beginning of its words (whole words of other lengths included):
-    the text and a hash of beginning and level, for every level that its count reaches."""
+    """Every entry that a text matches, once for each text: the text, and the entry."""
+    prefix = BYTES.prefix(BYTES.table[plain.data])
+    texts, entries = [], []
+    for size in (*PREFIXES, 0):
+        text, key = _of_size(plain, prefix, size)
+        order = np.lexsort((key, text))
+        text, key = text[order], key[order]
+        first = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (key[1:] != key[:-1]))[: len(key)])
+        times = np.diff(np.append(first, len(key)))
+        for level in LEVELS:
+            reached = first[times >= level]
+            found = np.empty(len(reached), ENTRY)
+            found["size"], found["level"], found["hash"] = size, level, key[reached]
+            texts.append(text[reached])
+            entries.append(found)
+    return np.concatenate(texts), np.concatenate(entries)
+
+
+def matches(plain: Words, lexicon: np.ndarray) -> np.ndarray:
+    """How many entries of the lexicon each text matches."""
+    n = len(plain.first) - 1
+    total = np.zeros(n, np.int64)
     prefix = BYTES.prefix(BYTES.table[plain.data])
-    size = plain.end - plain.start
-    document = plain.document
-    texts, keys = [], []
-    for length in PREFIXES:
-        long = size >= length
-        texts.append(document[long])
-        keys.append(BYTES.between(prefix, plain.start[long], plain.start[long] + length))
-    texts.append(document)
-    keys.append(~BYTES.between(prefix, plain.start, plain.end))
-    texts, keys = np.concatenate(texts), np.concatenate(keys)
-    order = np.lexsort((keys, texts))
-    texts, keys = texts[order], keys[order]
-    new = np.append(True, (texts[1:] != texts[:-1]) | (keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    times = np.diff(np.append(first, len(keys)))
-    texts, keys = texts[first], keys[first]
-    reached = [times >= level for level in LEVELS]
-    return (
-        np.concatenate([texts[r] for r in reached]),
-        np.concatenate([mix(keys[r] + np.uint64(level)) for r, level in zip(reached, LEVELS, strict=True)]),
-    )
+    for size in np.unique(lexicon["size"]):
+        text, key = _of_size(plain, prefix, size)
+        for entry in lexicon[lexicon["size"] == size]:
+            total += np.bincount(text[key == entry["hash"]], minlength=n) >= entry["level"]
+    return total
 
 
 def measure(
     texts: pa.Array, repeat_window: int = REPEAT_WINDOW, lexicon: np.ndarray | None = None
 ) -> dict[str, np.ndarray]:
-    """Every feature of every text; a null text counts as empty. `lexicon`: sorted hashes of `beginnings`."""
+    """Every feature of every text; a null text counts as empty. `lexicon`: an array of ENTRY."""
     data, at = flat(texts)
     words = Words(data, at, NON_SPACE)
     n_lines, n_dup_lines = _repeated_lines(data, at, words)
@@ -157,9 +172,7 @@ def measure(
     n = len(at) - 1
     n_learned = np.zeros(n, np.int64)
     if lexicon is not None and len(lexicon):
-        who, key = beginnings(plain)
-        place = np.minimum(np.searchsorted(lexicon, key), len(lexicon) - 1)
-        n_learned = np.bincount(who[lexicon[place] == key], minlength=n)
+        n_learned = matches(plain, lexicon)
     return {
         "n_words": words.counts,
         "word_chars": per_text(NON_SPACE[data] & ((data & 0xC0) != 0x80), at),
