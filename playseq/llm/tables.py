@@ -14,6 +14,10 @@ from playseq.operators.sequence import checkpoint
 __all__ = ["checkpoint", "on_workers", "documents", "row_key", "table", "width", "total_bytes"]
 
 
+BATCH_ROWS = 1000
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,6 +50,7 @@ def on_workers(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """The query with this library on the Python workers' path, wherever the session was started.
 
     Only for workers that see this folder; a cluster gets the library as a Python file of the session.
+    Rows are whole texts here, so Arrow batches are cut to `BATCH_ROWS`, unless the session says otherwise.
     """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -55,6 +60,8 @@ def on_workers(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
         if root not in paths:
             environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+        if spark.conf.get(_BATCHES) == "10000":  # Spark's default
+            spark.conf.set(_BATCHES, str(BATCH_ROWS))
         return query(spark, *args, **options)
 
     return run

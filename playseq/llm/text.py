@@ -12,7 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
+#: Powers that a worker keeps for the next slice.
+KEPT_POWERS = SLICE_BYTES + (1 << 18)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -55,23 +57,29 @@ class Rolling:
         self._powers = np.ones(1, np.uint64)
         self._inverse = np.ones(1, np.uint64)
 
-    def _grow(self, n: int) -> None:
-        if len(self._powers) < n:
-            steps = np.full(n, self.base, np.uint64)
-            steps[0] = 1
-            self._powers = np.cumprod(steps)
-            steps[1:] = self.back
-            self._inverse = np.cumprod(steps)
+    def _table(self, n: int, inverse: bool) -> np.ndarray:
+        """The powers of the base, or of its inverse; only those for texts of usual size are kept."""
+        known = self._inverse if inverse else self._powers
+        if len(known) >= n:
+            return known
+        steps = np.full(max(n, KEPT_POWERS), self.back if inverse else self.base, np.uint64)
+        steps[0] = 1
+        np.cumprod(steps, out=steps)
+        if n <= KEPT_POWERS:
+            if inverse:
+                self._inverse = steps
+            else:
+                self._powers = steps
+        return steps
 
     def prefix(self, values: np.ndarray) -> np.ndarray:
         n = len(values)
-        self._grow(n + 1)
         out = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * self._powers[:n], out=out[1:])
+        np.cumsum(values * self._table(n, False)[:n], out=out[1:])
         return out
 
     def between(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (prefix[end] - prefix[start]) * self._inverse[start]
+        raw = (prefix[end] - prefix[start]) * self._table(len(prefix), True)[start]
         return mix(raw + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def windows(self, prefix: np.ndarray, length: int) -> np.ndarray:
@@ -79,7 +87,7 @@ class Rolling:
         n = len(prefix) - length
         if n <= 0:
             return np.zeros(0, np.uint64)
-        raw = (prefix[length:] - prefix[:n]) * self._inverse[:n]
+        raw = (prefix[length:] - prefix[:n]) * self._table(len(prefix), True)[:n]
         return mix(raw + np.uint64(length * 0x9E3779B97F4A7C15 & _MASK))
 
 
