@@ -25,15 +25,22 @@ REPEAT_BYTES = 250
 
 
 def _rewritten(rows: DataFrame, text: str, columns: list[str], *added: str) -> DataFrame:
-    """The documents in `row` with another text, and n_chars to match."""
+    """The documents whose other columns are in `row` with another text, and n_chars to match."""
     new = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
     return rows.select(*((new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in columns), *added)
 
 
+def _others(docs: DataFrame) -> list[str]:
+    """What an operator carries along: all but the text, which it has anyway, and its length."""
+    return [c for c in docs.columns if c not in ("text", "n_chars")] or ["n_chars"]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are probably good; the others go."""
     lexicon = learn_lexicon(docs, table(spark, sf_dir, "labels"))
-    return judge(docs, carry=docs.columns, lexicon=lexicon).rows.filter("kept").select("row.*")
+    carried = [c for c in docs.columns if c != "text"]
+    kept = judge(docs, carry=carried, lexicon=lexicon, keep_text=True).rows.filter("kept")
+    return kept.select(*((F.col("text") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,13 +55,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 250 bytes that occur twice are cut out of the texts."""
-    found = suffix_dedup.remove_repeats(docs, carry=docs.columns, length=REPEAT_BYTES, keep_text=True)
+    found = suffix_dedup.remove_repeats(docs, carry=_others(docs), length=REPEAT_BYTES, keep_text=True)
     return _rewritten(found, "kept_text", docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of 10 benchmark words are cut out of the texts."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=docs.columns, clean=True)
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=_others(docs), clean=True)
     return _rewritten(found, "clean_text", docs.columns)
 
 
@@ -64,7 +71,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Adds mix_copy (from 1), mix_target (words, of the source) and mix_taken (words, of the document
     in all its copies). The text of the copy at which a source's budget ends is cut.
     """
-    mixed = mix(docs, quality=quality_weights(table(spark, sf_dir, "labels")), carry=docs.columns, keep_text=True)
+    mixed = mix(docs, quality=quality_weights(table(spark, sf_dir, "labels")), carry=_others(docs), keep_text=True)
     rows = copies(mixed).withColumnsRenamed({"copy": "mix_copy", "target": "mix_target", "taken": "mix_taken"})
     return _rewritten(rows, "copy_text", docs.columns, "mix_copy", "mix_target", "mix_taken")
 
