@@ -15,19 +15,18 @@ def components(links: DataFrame) -> DataFrame:
     so the distance covered about doubles. Rounds end when no label changes.
     """
     edges = links.select(F.col("a").alias("node"), F.col("b").alias("other"))
-    edges = checkpoint(edges.unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
-    labels = checkpoint(edges.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("label")))
+    edges = edges.unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
+    nodes = edges.groupBy("node").agg(F.min("other").alias("least"))
+    labels = checkpoint(nodes.select("node", F.least("node", "least").alias("label")))
+    # With an edge to itself, a node's own label is among its neighbours'.
+    edges = checkpoint(edges.unionByName(labels.select("node", F.col("node").alias("other"))))
     while True:
         theirs = labels.select(F.col("node").alias("other"), F.col("label").alias("their"))
-        near = edges.join(theirs, "other").groupBy("node").agg(F.min("their").alias("their"))
-        hooked = labels.join(near, "node").select(
-            "node", F.least("label", "their").alias("label"), (F.col("their") < F.col("label")).alias("moved")
+        near = edges.join(theirs, "other").groupBy("node").agg(
+            F.min("their").alias("label"), F.max(F.when(F.col("node") == F.col("other"), F.col("their"))).alias("before")
         )
         roots = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        jumped = hooked.join(roots, "label").select(
-            "node", F.least("label", "root").alias("label"), (F.col("moved") | (F.col("root") < F.col("label"))).alias("moved")
-        )
-        jumped = checkpoint(jumped)
+        jumped = checkpoint(near.join(roots, "label").select("node", F.col("root").alias("label"), "before"))
         labels = jumped.select("node", "label")
-        if not jumped.filter("moved").limit(1).count():
+        if not jumped.filter("label <> before").limit(1).count():
             return labels
