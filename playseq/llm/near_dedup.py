@@ -18,7 +18,8 @@ SHINGLE = 5
 PERCENT = 80
 #: A pair at 80 % agrees in all rows of some band but for 1.3e-7 of pairs: (1 - 0.8 ** 5) ** 40.
 BANDS, ROWS = 40, 5
-#: Pairs that a set proposes with each other component of a bucket, likeliest first.
+#: Pairs that a set proposes with each other component of a bucket at first, likeliest first. Where they
+#: fail and there are others, four times as many are proposed, until none is left out.
 PROPOSED = 3
 #: Members of one bucket that are compared with each other in one task; larger buckets go in blocks.
 BLOCK = 1024
@@ -183,10 +184,17 @@ def near_duplicates(
     full = _full_sets(pairs, sets, named, shingle)
     links = checkpoint(_verified(pairs, full, percent))
     labels = components(links)
-    more = checkpoint(_verified(_between(shared, labels, full, percent), full, percent))
-    if more.limit(1).count():
-        links = links.unionByName(more)
-        labels = components(links)
+    proposed = PROPOSED
+    while True:
+        between = checkpoint(_between(shared, labels, full, percent, proposed))
+        more = checkpoint(_verified(between.select("a", "b").distinct(), full, percent))
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            labels = components(links)
+        unsure = between.filter("rest")
+        if not unsure.limit(1).count() or not _apart(unsure, labels).limit(1).count():
+            break
+        proposed *= 4
     grouped = sets.select("node", "least_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = grouped.groupBy("label").agg(F.min("least_id").alias("component_id"))
     of_node = checkpoint(grouped.join(least, "label").select("node", "component_id"))
@@ -242,8 +250,18 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(verify, "a long, b long")
 
 
-def _between(shared: DataFrame, labels: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within a bucket that may be links; each bucket's smallest set was compared with all."""
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs a, b whose sets are in different components; a set without a label is one of its own."""
+    for end in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end, "left")
+    return pairs.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
+
+
+def _between(shared: DataFrame, labels: DataFrame, full: DataFrame, percent: int, proposed: int) -> DataFrame:
+    """Pairs of different components within a bucket that may be links; each bucket's smallest set was compared with all.
+
+    `rest` tells that the same set may have more links than `proposed` with the other's component.
+    """
     member = shared.select("band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = member.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"))
     mixed = mixed.filter("low <> high").select("band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
@@ -270,7 +288,7 @@ def _between(shared: DataFrame, labels: DataFrame, full: DataFrame, percent: int
         label, mine = group["label"].to_numpy(), group["mine"].to_numpy()
         apart = group["low_block"][0].as_py() != group["high_block"][0].as_py()
         _, kind, members = np.unique(label, return_inverse=True, return_counts=True)
-        a, b = [], []
+        a, b, rest = [], [], []
         for i in np.flatnonzero(kind != members.argmax()):
             held = value[ends[i] : ends[i + 1]]
             count = times[held]
@@ -283,13 +301,15 @@ def _between(shared: DataFrame, labels: DataFrame, full: DataFrame, percent: int
             found = np.flatnonzero(likely)
             found = found[np.argsort(-common[found] / union[found], kind="stable")]
             taken: dict[int, int] = {}
+            candidates = np.bincount(kind[found], minlength=len(members))
             for j in found:
                 taken[kind[j]] = taken.get(kind[j], 0) + 1
-                if taken[kind[j]] <= PROPOSED:
+                if taken[kind[j]] <= proposed:
                     a.append(i)
                     b.append(j)
+                    rest.append(bool(candidates[kind[j]] > proposed))
         nodes = group["node"]
-        return pa.table({"a": nodes.take(pa.array(a, pa.int64())), "b": nodes.take(pa.array(b, pa.int64()))})
+        return pa.table({"a": nodes.take(pa.array(a, pa.int64())), "b": nodes.take(pa.array(b, pa.int64())), "rest": pa.array(rest, pa.bool_())})
 
-    pairs = member.groupBy("band", "low_block", "high_block").applyInArrow(compare, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = member.groupBy("band", "low_block", "high_block").applyInArrow(compare, "a long, b long, rest boolean")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "rest").distinct()

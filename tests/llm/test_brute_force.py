@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from playseq.llm import substring_dedup, suffix_dedup
+from playseq.llm import near_dedup, substring_dedup, suffix_dedup
 from playseq.llm.decontaminate import decontaminate
 from playseq.llm.language import best_temperature, fit, identify, softmax
 from playseq.llm.licenses import known_sentences, match_rules, normalise, scan
@@ -96,8 +96,21 @@ def test_near_duplicates(awkward, shingle):
     assert Counter((r.id, r.n_shingles, r.component_id, r.kept) for r in rows) == want
 
 
-def test_links_beyond_the_smallest_set(spark):
-    """Chains and groups around the threshold: members that only link to others than their bucket's smallest."""
+@pytest.mark.parametrize("loose", [0, 20])
+def test_links_beyond_the_smallest_set(spark, monkeypatch, loose):
+    """Chains and groups around the threshold: members that only link to others than their bucket's smallest.
+
+    With `loose`, pairs that fail the exact check are proposed too, one at first, so that rounds must follow.
+    """
+    between, rounds = near_dedup._between, []
+
+    def loosened(shared, labels, full, percent, proposed):
+        rounds.append(proposed)
+        return between(shared, labels, full, percent - loose, proposed)
+
+    monkeypatch.setattr(near_dedup, "_between", loosened)
+    if loose:
+        monkeypatch.setattr(near_dedup, "PROPOSED", 1)
     rng = np.random.default_rng(2)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -118,6 +131,7 @@ def test_links_beyond_the_smallest_set(spark):
     found = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=2).rows.collect()
     assert {r.id: r.component_id for r in found} == {k: label[k] for k in range(len(rows))}
     assert len(set(label)) > 3
+    assert (len(rounds) > 1) == bool(loose)
 
 
 def test_sketches_estimate_similarity():
