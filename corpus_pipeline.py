@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playseq.llm import suffix_dedup
+from playseq.llm import substring_dedup, suffix_dedup
 from playseq.llm.decontaminate import decontaminate
 from playseq.llm.mixing import copies, mix
 from playseq.llm.near_dedup import near_duplicates
@@ -20,8 +20,9 @@ from playseq.llm.quality import judge, learn_lexicon
 from playseq.llm.queries import quality_weights
 from playseq.llm.tables import checkpoint, documents, on_workers, row_key, table
 
-#: Bytes of a repeated string. A passage of 50 words is longer.
+#: Bytes of a repeated string, and words of a repeated passage, which may have fewer bytes.
 REPEAT_BYTES = 250
+REPEAT_WORDS = 51
 
 
 def _rewritten(rows: DataFrame, text: str, columns: list[str], *added: str) -> DataFrame:
@@ -54,8 +55,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 250 bytes that occur twice are cut out of the texts."""
-    found = suffix_dedup.remove_repeats(docs, carry=_others(docs), length=REPEAT_BYTES, keep_text=True)
+    """Strings of 250 bytes and passages of over 50 words that occur twice are cut out of the texts.
+
+    Passages are compared word by word, whatever white space stands between.
+    """
+    passages = checkpoint(substring_dedup.repeated_spans(docs, window=REPEAT_WORDS))
+    found = suffix_dedup.remove_repeats(docs, carry=_others(docs), length=REPEAT_BYTES, keep_text=True, also=passages)
     return _rewritten(found, "kept_text", docs.columns)
 
 

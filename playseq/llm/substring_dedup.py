@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Sequence
-from functools import lru_cache
+from functools import lru_cache, partial
 from itertools import combinations
 
 import numpy as np
@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playseq.llm.spread import SENT, found_twice, member, send, unpack
-from playseq.llm.tables import checkpoint, total_bytes, width
-from playseq.llm.text import NON_SPACE, WORDS, Words, covered, flat, per_text, slices
+from playseq.llm.tables import checkpoint, row_key, total_bytes, width
+from playseq.llm.text import NON_SPACE, WORDS, Words, covered, flat, per_text, runs, slices
 
 WINDOW = 35
 PERIOD = 21
@@ -95,18 +95,40 @@ def remove_repeats(
     kept_text. Null, empty and short texts lose nothing; a null text's kept text is null.
     Rows repeated in full are other places: they lose all words in runs.
     """
+    dealt = documents.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), F.col(text).alias("text"))
+    schema = "n_words long, n_removed long, kept_sha256 string, kept_text string"
+    out = _compared(dealt, window, period, chunk_bytes, bucket_bytes, partial(_removed, keep_text=keep_text), _nothing, schema)
+    return out if keep_text else out.drop("kept_text")
+
+
+def repeated_spans(
+    documents: DataFrame,
+    *,
+    text: str = "text",
+    identity: Sequence[str] = ("doc_id",),
+    window: int = WINDOW,
+    period: int = PERIOD,
+    chunk_bytes: int = CHUNK_BYTES,
+    bucket_bytes: int = BUCKET_BYTES,
+) -> DataFrame:
+    """The bytes from the first word to the last of what `remove_repeats` removes: k1 and k2 (see row_key), first, past."""
+    keys = row_key(F.struct(*(F.col(f"`{c}`") for c in identity)), F.col(text))
+    dealt = documents.select(F.struct(*keys).alias("row"), F.col(text).alias("text"))
+    schema = "spans array<struct<first:int,past:int>>"
+    out = _compared(dealt, window, period, chunk_bytes, bucket_bytes, _spans, _no_spans, schema)
+    return out.select("row.k1", "row.k2", F.explode("spans").alias("span")).select("k1", "k2", "span.first", "span.past")
+
+
+def _compared(dealt, window, period, chunk_bytes, bucket_bytes, finish, nothing, schema) -> DataFrame:
+    """What `finish` makes of every slice (row, text) and the repeated hashes of its chunk."""
     if not 1 <= period <= window:
         raise ValueError("the period must lie between 1 and the window")
-    spark = documents.sparkSession
-    size = total_bytes(documents, text)
+    spark = dealt.sparkSession
+    size = total_bytes(dealt)
     chunks = max(2 * width(spark), math.ceil(size / chunk_bytes))
     anchor_bytes = size / 6 * len(difference_cover(period)) / period * 8
     buckets = max(width(spark), math.ceil(anchor_bytes / bucket_bytes))
-    dealt = documents.select(
-        F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"),
-        F.col(text).alias("text"),
-        F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in carry), F.col(text)), F.lit(chunks)).cast("int").alias("chunk"),
-    )
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("row.*", "text"), F.lit(chunks)).cast("int"))
 
     def anchors(batches):
         found, chunk = [], []
@@ -130,20 +152,15 @@ def remove_repeats(
         kinds = back["kind"].to_numpy()
         anchored, repeated = (np.sort(unpack(back.filter(pa.array(kinds == k))["hashes"].to_pylist())) for k in (1, 2))
         pieces = slices(chunk.to_batches(), "text")
-        batches = [_removed(batch, anchored, repeated, window, period, keep_text) for batch in pieces]
-        return pa.Table.from_batches(batches) if batches else _nothing(chunk.schema.field("row").type)
+        batches = [finish(batch, anchored, repeated, window, period) for batch in pieces]
+        return pa.Table.from_batches(batches) if batches else nothing(chunk.schema.field("row").type)
 
     repeated_anchors = checkpoint(found_twice(dealt.select("chunk", "text").mapInArrow(anchors, SENT)))
     # From here on it is one query, in which the exchange of texts by chunk is made once and read twice.
     sent = dealt.groupBy("chunk").cogroup(repeated_anchors.groupBy("chunk")).applyInArrow(windows, SENT)
     back = repeated_anchors.withColumn("kind", F.lit(1)).unionByName(found_twice(sent).withColumn("kind", F.lit(2)))
     row_type = dealt.schema["row"].dataType.simpleString()
-    out = (
-        dealt.groupBy("chunk")
-        .cogroup(back.groupBy("chunk"))
-        .applyInArrow(remove, f"row {row_type}, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    )
-    return out if keep_text else out.drop("kept_text")
+    return dealt.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(remove, f"row {row_type}, {schema}")
 
 
 def _nothing(row_type: pa.DataType) -> pa.Table:
@@ -152,14 +169,41 @@ def _nothing(row_type: pa.DataType) -> pa.Table:
     return pa.table([pa.array([], k) for k in kinds], names=names)
 
 
+def _no_spans(row_type: pa.DataType) -> pa.Table:
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))
+    keys = pa.struct([(f.name, f.type) for f in row_type])
+    return pa.table([pa.array([], keys), pa.array([], kind)], names=["row", "spans"])
+
+
+def _gone(piece: _Piece, repeated_anchors, repeated, window, period) -> np.ndarray:
+    """Which words lie in repeated windows."""
+    if not len(repeated):
+        return np.zeros(len(piece.words), bool)
+    starts = piece.candidates(repeated_anchors, window, period)
+    starts = starts[member(piece.window_hashes(starts, window), repeated)]
+    return covered(starts, window, len(piece.words))
+
+
+def _spans(batch, repeated_anchors, repeated, window, period) -> pa.RecordBatch:
+    piece = _Piece(batch, window, period)
+    words = piece.words
+    first, past = runs(_gone(piece, repeated_anchors, repeated, window, period), words.first)
+    document = words.document[first]
+    spans = pa.ListArray.from_arrays(
+        pa.array(np.searchsorted(document, np.arange(batch.num_rows + 1)), pa.int32()),
+        pa.StructArray.from_arrays(
+            [pa.array(x - words.at[document], pa.int32()) for x in (words.start[first], words.end[past - 1])], ["first", "past"]
+        ),
+    )
+    # Spark's fields that are never null aren't those of the result.
+    row = pa.StructArray.from_arrays(batch.column("row").flatten(), ["k1", "k2"])
+    return pa.RecordBatch.from_arrays([row, spans], ["row", "spans"])
+
+
 def _removed(batch, repeated_anchors, repeated, window, period, keep_text) -> pa.RecordBatch:
     piece = _Piece(batch, window, period)
     words = piece.words
-    gone = np.zeros(len(words), bool)
-    if len(repeated):
-        starts = piece.candidates(repeated_anchors, window, period)
-        starts = starts[member(piece.window_hashes(starts, window), repeated)]
-        gone = covered(starts, window, len(words))
+    gone = _gone(piece, repeated_anchors, repeated, window, period)
     kept, at = joined(words, ~gone)
     raw = [kept[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
     texts = pa.nulls(batch.num_rows, pa.string())

@@ -89,6 +89,7 @@ def remove_repeats(
     keep_text: bool = False,
     shard_bytes: int = SHARD_BYTES,
     class_pieces: int = CLASS_PIECES,
+    also: DataFrame | None = None,
 ) -> DataFrame:
     """Remove each byte inside a string of `length` bytes that also starts anywhere else.
 
@@ -102,7 +103,7 @@ def remove_repeats(
        permuted common prefix with a neighbour reaches `length` repeat. A class with more than
        `class_pieces` different ones (a passage in ever new surroundings) would outgrow a shard;
        the hashes of its windows are dealt to all tasks and compared there.
-    3. Bytes covered by repeated windows go.
+    3. Bytes covered by repeated windows go, and those in the spans `also` (k1 and k2 of the row, first, past).
 
     Returns, one row for each document: `row` (a struct of the `carry` columns), n_bytes,
     n_removed, n_spans (maximal removed runs), kept_sha256, spans (their byte ranges) and, with
@@ -170,6 +171,8 @@ def remove_repeats(
         found.append(fetched.filter(f"different <= {class_pieces}").groupBy("shard").applyInArrow(sort_shard, SPANS))
     if sizes["hot"]:
         found.append(_repeats_by_hash(fetched.filter(f"different > {class_pieces}"), length, sizes["hot"] * 8))
+    if also is not None:
+        found.append(also)
     spans = found[0]
     for more in found[1:]:
         spans = spans.unionByName(more)

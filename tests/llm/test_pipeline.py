@@ -68,6 +68,20 @@ def test_repeated_strings_are_cut(spark, awkward, folder):
     assert all(r.n_chars == (len(r.text) if r.text is not None else None) for r in found.collect())
 
 
+def test_repeated_passages_of_short_words_are_cut(spark):
+    passage = [chr(97 + k % 26) + "xyz"[k % 3] * (k % 2) for k in range(51)]
+    assert len(" ".join(passage)) < corpus_pipeline.REPEAT_BYTES
+    texts = [
+        "first words " + " ".join(passage) + " then others",
+        "é\n" + "\n ".join(passage),
+        "start " + " ".join(passage[:50]) + " end",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    docs = docs.selectExpr("*", "'en' AS lang", "'a' AS source", "length(text) AS n_chars")
+    found = {r.doc_id: r.text for r in STAGES["repeated_strings"](spark, docs, None).collect()}
+    assert found == {0: "first words  then others", 1: "é\n", 2: texts[2]}
+
+
 def test_benchmark_passages_are_cut(spark, awkward, folder):
     found = STAGES["benchmark_passages"](spark, awkward, folder)
     item = next(r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect() if r.item_id == 1)
