@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from playseq.llm.decontaminate import decontaminate
 from playseq.llm.chat import perspectives
 from playseq.llm import language, suffix_dedup
+from playseq.llm.lexical_search import search
 from playseq.llm.licenses import scan
+from playseq.llm.main_text import extract
 from playseq.llm.mixing import mix
 from playseq.llm.near_dedup import near_duplicates
 from playseq.llm.quality import judge, learn_lexicon
 from playseq.llm.substring_dedup import remove_repeats
 from playseq.llm.tables import documents, on_workers, table
 from playseq.llm.token_counts import count_tokens, token_stream
+from playseq.llm.whitening import whitened_components
 
 
 # How much more often than an unlabelled document a labelled one comes first.
@@ -99,6 +102,20 @@ def op10_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", F.concat_ws(",", "sentences").alias("sentences"), F.size("licences").cast("long").alias("n_licences"), "expression")
 
 
+def op11_shifted_cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitened_components(table(spark, sf_dir, "embeddings"))
+    deviation = F.col("deviation").cast("long").alias("deviation")
+    return found.select("row.vec_id", "component", "n", deviation, "whitened", "explained", "identity_error")
+
+
+def op12_class_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op13_composite_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).select("row.page_id", "row.url", "text", "n_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_mix_to_target_weights,
@@ -111,6 +128,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_fm_index_decontamination,
         op9_induced_sorting_dedup,
         op10_license_sentences,
+        op11_shifted_cholesky_whitening,
+        op12_class_ranked_search,
+        op13_composite_text_density,
     )
     return {query.__name__: on_workers(query) for query in found}
 
@@ -122,6 +142,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_fast_similarity_near_dedup": OP4_SQL,
         "op8_fm_index_decontamination": OP8_SQL,
         "op9_induced_sorting_dedup": OP9_SQL,
+        "op12_class_ranked_search": OP12_SQL,
     }
 
 
@@ -240,3 +261,29 @@ SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed,
   coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
 FROM doc LEFT JOIN kept USING (doc_id) LEFT JOIN cut USING (doc_id)
 """
+
+OP12_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+item AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+corpus AS (
+  SELECT count(*) AS big_n, CAST(sum(len(w)) AS BIGINT) AS big_l FROM doc WHERE len(w) > 0),
+tf AS (
+  SELECT r, term, count(*) AS tf
+  FROM (SELECT r, unnest(w) AS term FROM doc) WHERE term IN (SELECT term FROM item) GROUP BY r, term),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(big_n) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight
+  FROM tf, corpus GROUP BY term),
+length AS (
+  SELECT r, doc_id, 10 + (90 * len(w) * big_n) // big_l AS m FROM doc, corpus WHERE len(w) > 0),
+scored AS (
+  SELECT item_id, r, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM item JOIN tf USING (term) JOIN weight USING (term) JOIN length USING (r) GROUP BY item_id, r, doc_id),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
