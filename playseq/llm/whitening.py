@@ -30,6 +30,8 @@ BLOCK_ROWS = 1024
 MOST_DIMENSIONS = 4096
 #: A dimension with a smaller share of its length left, after the first pass, depends on those before it.
 DEPENDENT = 1e-10
+#: So does one with less left than this many roundings, for each dimension, of the longest one's length.
+ROUNDINGS = 100
 #: A pass is the last if no entry of its Gram matrix is further from the identity's: its factor mends the rest.
 ORTHONORMAL = 1e-9
 MOST_PASSES = 8
@@ -94,9 +96,10 @@ def factorise(gram: np.ndarray, shift: float, tolerance: float) -> tuple[np.ndar
     d = len(gram)
     left = gram + shift * np.eye(d)
     length = np.diag(left).copy()
+    least = ROUNDINGS * d * _EPS * length.max(initial=0.0) if tolerance else 0.0
     kept, rows = [], []
     for j in range(d):
-        if left[j, j] > tolerance * max(length[j], 1e-300) and left[j, j] > 0:
+        if left[j, j] > max(tolerance * length[j], least):
             row = left[j] / math.sqrt(left[j, j])
             row[kept] = 0.0
             left = left - np.outer(row, row)
@@ -162,8 +165,9 @@ def _symmetric(upper: np.ndarray, d: int) -> np.ndarray:
 def fit(vectors: DataFrame, vector: str = "embedding", components: int = COMPONENTS) -> Whitening | None:
     """Fit on every usable vector of the commonest length; None if they don't vary at all.
 
-    Takes a pass for lengths and sums and one for each Gram matrix, of which three are usual. Dimensions that depend on others (constant or repeated ones, or all beyond the
-    number of vectors) get no row in the factor; there are as many components as the rank at most.
+    Takes a pass for lengths and sums and one for each Gram matrix, of which three are usual.
+    Dimensions that depend on others, but for rounding (constant or repeated ones, or all beyond the
+    number of vectors), get no row in the factor; there are as many components as the rank at most.
     """
     usable_ones = vectors.select(F.col(f"`{vector}`").alias("vector")).filter(usable("vector"))
     n, sums = exact_sums(usable_ones)
