@@ -12,31 +12,34 @@ from pyspark.sql import functions as F
 
 from playseq.llm.text import slices
 
+# How a sentence that names a licence begins.
+_NAMED = r"((this|the) \w+ is )?(released|licensed|distributed|available|provided) under (a |the )?(terms of the )?"
+
 # Sentences of common licences, as patterns over normalised text (lower case,
 # letters, digits and dots within numbers; everything else one space). A group named v is the version.
 SENTENCES: tuple[tuple[str, str], ...] = (
-    ("mit-name", r"(released|licensed|distributed|available|provided) under (the )?(terms of the )?mit licen[sc]e"),
-    ("mit-title", r"the mit licen[sc]e( mit)?"),
+    ("mit-name", _NAMED + r"mit licen[sc]e"),
+    ("mit-title", r"(the )?mit licen[sc]e( mit)?"),
     ("mit-grant", r"permission is hereby granted free of charge to any person obtaining a copy of this software .*"),
     ("mit-notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mit-warranty", r"the software is provided as is without warranty of any kind express or implied .*"),
     ("isc-grant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted .*"),
-    ("apache-name", r"(this \w+ is )?(released|licensed|distributed) under (the )?(terms of the )?apache licen[sc]e( version)? ?(?P<v>\d[\d.]*)?( the licen[sc]e)?"),
+    ("apache-name", _NAMED + r"apache licen[sc]e( version)? ?(?P<v>\d[\d.]*)?( the licen[sc]e)?"),
     ("apache-use", r"you may not use this file except in compliance with the licen[sc]e"),
-    ("apache-copy", r"you may obtain a copy of the licen[sc]e at .*"),
+    ("apache-copy", r"you may obtain a copy of the licen[sc]e at( .*)?"),
     ("apache-warranty", r"unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis .*"),
-    ("gpl-name", r"(this \w+ is )?(released|licensed|distributed) under (the )?(terms of the )?(gnu )?(general public licen[sc]e|gpl)( version)? ?v?(?P<v>\d[\d.]*)?( only)?"),
-    ("gpl-or-later", r"(this \w+ is )?(released|licensed|distributed) under (the )?(terms of the )?(gnu )?(general public licen[sc]e|gpl)( version)? ?v?(?P<v>\d[\d.]*) or (at your option )?any later version"),
+    ("gpl-name", _NAMED + r"(gnu )?(general public licen[sc]e|gpl)( version)? ?v?(?P<v>\d[\d.]*)?( only)?"),
+    ("gpl-or-later", _NAMED + r"(gnu )?(general public licen[sc]e|gpl)( version)? ?v?(?P<v>\d[\d.]*) or (at your option )?any later version"),
     ("gpl-free", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e .* version (?P<v>\d[\d.]*) .*"),
-    ("lgpl-name", r"(this \w+ is )?(released|licensed|distributed) under (the )?(terms of the )?(gnu )?(lesser general public licen[sc]e|lgpl)( version)? ?v?(?P<v>\d[\d.]*)?"),
+    ("lgpl-name", _NAMED + r"(gnu )?(lesser general public licen[sc]e|lgpl)( version)? ?v?(?P<v>\d[\d.]*)?"),
     ("gpl-hope", r"this program is distributed in the hope that it will be useful but without any warranty .*"),
     ("mpl-name", r"this source code form is subject to the terms of the mozilla public licen[sc]e v(ersion)? ?\.? ?(?P<v>\d[\d.]*)"),
     ("bsd-grant", r"redistribution and use in source and binary forms with or without modification are permitted .*"),
     ("bsd-source", r"(\d |.* )?redistributions of source code must retain the above copyright notice .*"),
     ("bsd-binary", r"(\d |.* )?redistributions in binary form must reproduce the above copyright notice .*"),
     ("bsd-endorse", r"(\d |.* )?neither the name of .* may be used to endorse or promote products .*"),
-    ("bsd-name", r"(this \w+ is )?(released|licensed|distributed) under (the )?(?P<v>[23]) clause bsd licen[sc]e"),
-    ("cc-name", r"(this \w+ is )?(released|licensed|distributed) under (a |the )?(creative commons|cc) (?P<v>(by|zero|0)[a-z ]*( \d[\d.]*)?)( licen[sc]e)?"),
+    ("bsd-name", _NAMED + r"(?P<v>[23]) clause bsd licen[sc]e"),
+    ("cc-name", _NAMED + r"(creative commons|cc) (?P<v>(by|zero|0)[a-z ]*( \d[\d.]*)?)( licen[sc]e)?"),
     ("public-domain", r"this (work|software|file) (is|has been) (placed |released )?(in|into|to) the public domain"),
     ("all-rights", r"all rights reserved"),
 )
@@ -66,9 +69,16 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("unknown-GPL-style", ("gpl-free",)),
 )
 
-#: Sentences without any of these are no licence sentences, so they are not normalised.
-_TELLS = re.compile(r"licen[sc]e|copyright|permission|redistribut|warranty|public domain|rights reserved|endorse|applicable law|compliance", re.I)
-_END = re.compile(r"[!?;\n]|\.(?=\s|$)")
+#: Every known sentence holds one of these, so texts are normalised around them only.
+TELLS = re.compile(
+    r"licen[sc]e|gpl|creative\s+commons|\bcc\b|copyright|permission|redistribut|warranty|public\W+domain"
+    r"|rights\W+reserved|endorse|applicable\W+law|compliance",
+    re.IGNORECASE,
+)
+#: A sentence ends at a full stop (but for that of "v. 2"), ! or ? before white space, and at a line without words.
+_END = re.compile(r"(?:(?<!\bv)\.|[!?])(?=\s|\Z)|\n(?=[^\w\n]*+(?:\n|\Z))")
+#: Where the whole isn't known, its clauses may be, and then its lines. Semicolons may also lead comments.
+_SMALLER = (re.compile(r"(?<=[^\s;]);|[!?]"), re.compile(r"\n"))
 _OTHER = re.compile(r"[^a-z0-9.]+|(?<![0-9])\.|\.(?![0-9])")
 
 
@@ -84,27 +94,42 @@ def normalise(sentence: str) -> str:
     return " ".join(_OTHER.sub(" ", sentence.lower()).split())
 
 
+def _recognised(text: str, begin: int, past: int, sentences: Sequence[tuple[str, re.Pattern]], smaller: Sequence[re.Pattern]) -> list[Known]:
+    """The sentence between two places if it is known, or those of its parts that are."""
+    plain = normalise(text[begin:past])
+    for name, pattern in sentences:
+        match = pattern.fullmatch(plain)
+        if match:
+            version = match.groupdict().get("v") or ""
+            first = begin + len(text[begin:past]) - len(text[begin:past].lstrip())
+            return [Known(name, "-".join(version.upper().split()), first, past)]
+    if not smaller:
+        return []
+    cuts = [(m.start(), m.end()) for m in smaller[0].finditer(text, begin, past)]
+    if not cuts:
+        return _recognised(text, begin, past, sentences, smaller[1:]) if smaller[1:] else []
+    starts, ends = [begin, *(b for _, b in cuts)], [*(a for a, _ in cuts), past]
+    parts = [(a, b) for a, b in zip(starts, ends, strict=True) if TELLS.search(text, a, b)]
+    return [k for a, b in parts for k in _recognised(text, a, b, sentences, smaller[1:])]
+
+
 def known_sentences(text: str, sentences: Sequence[tuple[str, re.Pattern]]) -> list[Known]:
-    """The licence sentences of a text in order, with their characters' places."""
+    """The licence sentences of a text in order, with their characters' places.
+
+    A sentence may be wrapped over lines and stand in a comment; a known line or clause inside an
+    unknown sentence counts as well. However long a sentence is, it is looked at from its beginning.
+    """
     found, looked = [], 0
-    for tell in _TELLS.finditer(text):
+    for tell in TELLS.finditer(text):
         if tell.start() < looked:
             continue
-        # Only the sentence around a tell is cut out, between the nearest ends on both sides.
         begin = looked
-        for end in _END.finditer(text, max(looked, tell.start() - 2000), tell.start()):
+        for end in _END.finditer(text, looked, tell.start()):
             begin = end.end()
         end = _END.search(text, tell.end())
         past = end.start() if end else len(text)
         looked = end.end() if end else len(text)
-        plain = normalise(text[begin:past])
-        for name, pattern in sentences:
-            match = pattern.fullmatch(plain)
-            if match:
-                version = match.groupdict().get("v") or ""
-                first = begin + len(text[begin:past]) - len(text[begin:past].lstrip())
-                found.append(Known(name, "-".join(version.upper().split()), first, past))
-                break
+        found += _recognised(text, begin, past, sentences, _SMALLER)
     return found
 
 
