@@ -474,6 +474,11 @@ def build() -> dict[str, str]:
     sql["ols_fit"] = fit_row()
     sql["corr_table"] = f"""WITH {correlation_cte()}
       SELECT dependency, correction, {r('corr', 6)} AS corr, {r('se', 6)} AS se FROM cors"""
+    # The z-score of a two-sided interval of 95 %.
+    reach = "1.959963984540054 / sqrt(n - 3)"
+    sql["corr_test"] = f"""WITH {correlation_cte()}
+      SELECT dependency, correction, {r('corr', 6)} AS corr, {r('corr * sqrt((n - 2) / (1 - corr * corr))', 6)} AS t_value,
+             n - 2 AS df, {r(f'tanh(atanh(corr) - {reach})', 6)} AS lower, {r(f'tanh(atanh(corr) + {reach})', 6)} AS upper FROM cors"""
     sql["corr_figure"] = f"""WITH {correlation_cte()}
       SELECT dependency, ordinal, correction, {r('corr', 6)} AS corr, {r('corr - se', 6)} AS lower,
              {r('corr + se', 6)} AS upper FROM cors"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -62,6 +63,16 @@ class Fit:
         return F.col(self.target) - self.fitted()
 
 
+@dataclass(frozen=True)
+class CorrelationTest:
+    corr: float | None
+    t_value: float | None
+    degrees_of_freedom: int
+    p_value: float | None
+    lower: float | None
+    upper: float | None
+
+
 @dataclass(frozen=True)
 class Moments:
     """Means and population covariances of columns, over the rows that have all of them."""
@@ -121,6 +132,24 @@ class Moments:
         scale = math.sqrt(self.among([a], [a])[0, 0] * self.among([b], [b])[0, 0])
         return float(self.among([a], [b])[0, 0] / scale) if scale > 0 else None
 
+    def correlation_test(self, a: str, b: str, level: float = 0.95) -> CorrelationTest:
+        """Whether two columns are correlated, by Student's t; the interval is Fisher's.
+
+        The interval takes four rows at least; a column that doesn't vary has no correlation.
+        """
+        corr, degrees = self.correlation(a, b), self.rows - 2
+        if corr is None or degrees < 1:
+            return CorrelationTest(corr, None, max(degrees, 0), None, None, None)
+        left = max(1 - corr * corr, 0.0)
+        t_value = corr * math.sqrt(degrees / left) if left else math.copysign(math.inf, corr)
+        p_value = f_tail(t_value * t_value, 1, degrees) if left else 0.0
+        lower = upper = None
+        if self.rows > 3:
+            z = math.atanh(corr) if left else math.copysign(math.inf, corr)
+            reach = NormalDist().inv_cdf((1 + level) / 2) / math.sqrt(self.rows - 3)
+            lower, upper = math.tanh(z - reach), math.tanh(z + reach)
+        return CorrelationTest(corr, t_value, degrees, p_value, lower, upper)
+
     def fit(self, target: str, predictors: Sequence[str]) -> Fit:
         """Least squares with an intercept, by the normal equations of the correlations."""
         chosen: list[str] = []

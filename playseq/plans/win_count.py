@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import astuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,6 +114,30 @@ def correlation_table(spark: SparkSession, games: Moments) -> DataFrame:
     return spark.createDataFrame(rows, CORRELATIONS)
 
 
+CORRELATION_TESTS = T.StructType(
+    [
+        T.StructField("dependency", T.StringType()),
+        T.StructField("correction", T.StringType()),
+        T.StructField("corr", T.DoubleType()),
+        T.StructField("t_value", T.DoubleType()),
+        T.StructField("df", T.LongType()),
+        T.StructField("p_value", T.DoubleType()),
+        T.StructField("lower", T.DoubleType()),
+        T.StructField("upper", T.DoubleType()),
+    ]
+)
+
+
+def correlation_tests(spark: SparkSession, games: Moments, level: float = 0.95) -> DataFrame:
+    """The test of each correlation of the correlation table, with its confidence interval."""
+    rows = []
+    for name, label in zip(LABELLED_DEPENDENCIES, LABELS):
+        for column, correction in ((EXPECTED_WCD[name], "Uncorrected"), (RESIDUAL_OF.get(name), "Corrected")):
+            if column:
+                rows.append((label, correction, *astuple(games.correlation_test(column, EMPIRICAL, level))))
+    return spark.createDataFrame(rows, CORRELATION_TESTS)
+
+
 def correlation_figure(table: DataFrame) -> DataFrame:
     """The correlation table with label order and one standard error to each side."""
     return table.select(

@@ -182,3 +182,32 @@ def test_summary_null_policy(spark):
     assert [r.entropy_type for r in gone] == ["entropy_prev_transition_prev_outcome"]
     skipped = information_gain_summary(combined, "skip")
     assert skipped.filter("mean_information_gain IS NULL").count() == 0
+
+
+def test_correlation_test_of_published_values(spark):
+    """Nine pairs whose test is printed to seven digits in textbooks."""
+    x = [44.4, 45.9, 41.9, 53.3, 44.7, 44.1, 50.7, 45.2, 60.1]
+    y = [2.6, 3.1, 2.5, 5.0, 3.6, 4.0, 5.2, 2.8, 3.8]
+    rows = [*zip(x, y, strict=True), (1.0, None), (None, 2.0)]
+    moments = Moments.of(spark.createDataFrame(rows, "x double, y double"), ["x", "y"])
+    found = moments.correlation_test("x", "y")
+    assert found.degrees_of_freedom == 7
+    assert found.corr == pytest.approx(0.5711816, abs=5e-8)
+    assert found.t_value == pytest.approx(1.8411, abs=5e-5)
+    assert found.p_value == pytest.approx(0.1082, abs=5e-5)
+    assert (found.lower, found.upper) == pytest.approx((-0.1497426, 0.8955795), abs=5e-8)
+    narrow = moments.correlation_test("x", "y", level=0.5)
+    assert found.lower < narrow.lower < found.corr < narrow.upper < found.upper
+
+
+@pytest.mark.parametrize(
+    "rows,want",
+    [
+        ([], (None, None, 0, None, None, None)),
+        ([(1.0, 1.0), (1.0, 2.0), (1.0, 3.0)], (None, None, 1, None, None, None)),
+        ([(1.0, 1.0), (2.0, 0.0)], (-1.0, None, 0, None, None, None)),
+    ],
+)
+def test_correlation_test_of_too_little(spark, rows, want):
+    found = Moments.of(spark.createDataFrame(rows, "x double, y double"), ["x", "y"]).correlation_test("x", "y")
+    assert (found.corr, found.t_value, found.degrees_of_freedom, found.p_value, found.lower, found.upper) == pytest.approx(want)
