@@ -20,6 +20,8 @@ TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 END = 50256
 BLOCK_TOKENS = 1 << 16
+#: The largest id that 16 bits hold.
+MOST_TOKEN = (1 << 16) - 1
 #: Blocks that are stitched in one window; sums of such groups are stitched in a second one.
 GROUP_BLOCKS = 4096
 
@@ -50,7 +52,8 @@ def token_stream(
 
     Rows are blocks: stream, block, tokens (little-endian; a stream's last block may be short) and
     rows (the `carry` columns of the documents that end in the block, which a reader of the stream
-    doesn't have). A null text is an empty document.
+    doesn't have). A null text is an empty document. Ids that 16 bits can't hold, and texts whose
+    tokens include `end`, are refused.
     """
     named = documents.select(
         F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), F.col(text).alias("text"), F.spark_partition_id().alias("stream")
@@ -79,6 +82,8 @@ def token_stream(
             texts = batch.column("text").to_pylist()
             for row, value in zip(batch.column("row").to_pylist(), texts, strict=True):
                 tokens = np.array([*encoding.encode_ordinary(value or ""), end], np.int64)
+                if tokens.max() > MOST_TOKEN or (tokens[:-1] == end).any():
+                    raise ValueError(f"a text has the id {end} of the separator, or an id beyond {MOST_TOKEN}")
                 pending.append(tokens)
                 ended.append(row)
                 held += len(tokens)

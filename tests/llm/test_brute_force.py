@@ -16,7 +16,7 @@ from playseq.llm.licenses import known_sentences, match_rules, normalise, scan
 from playseq.llm.mixing import copies, mix
 from playseq.llm.near_dedup import ShingleSets, near_duplicates
 from playseq.llm.quality import RULES, judge, learn_lexicon
-from playseq.llm.token_counts import END, count_tokens, read_stream, token_stream
+from playseq.llm.token_counts import END, TOKENIZERS, VOCABULARY, _encoding, count_tokens, read_stream, token_stream
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LETTERS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -304,6 +304,16 @@ def test_token_counts(spark, awkward, tmp_path):
         assert [(r.start, r.n_tokens, r.ended) for r in found] == [(0, 2, True), (3, 0, True), (4, 1, True), (6, 3, False)]
 
 
+@pytest.mark.parametrize("end", [70_000, None])
+def test_tokens_that_a_stream_cannot_hold(spark, end):
+    """An id beyond 16 bits, and a separator that the vocabulary uses itself."""
+    docs = spark.createDataFrame([(1, "".join(map(chr, range(33, 127))))], "doc_id int, text string")
+    if end is None:
+        end = _encoding(TOKENIZERS, VOCABULARY).encode_ordinary(docs.first().text)[0]
+    with pytest.raises(Exception, match="separator"):
+        count_tokens(token_stream(docs, end=end), end=end).collect()
+
+
 def test_licence_sentences(spark, awkward):
     bsd = (
         "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that:"
