@@ -6,6 +6,8 @@ regressions by Gram-Schmidt, so the two sides share no method.
 
 from __future__ import annotations
 
+import math
+
 MIN_ROUNDS = 60
 SERIES_ROUNDS = 20
 SERIES_MIN_ROUNDS = 20
@@ -15,6 +17,34 @@ OTHER_PAYOFF = ((1.0, -2.0, 3.0), (4.0, 0.5, -1.0), (-3.0, 2.0, 0.0))
 PLAIN_PAYOFF = ((0, -1, 1), (1, 0, -1), (-1, 1, 0))
 OTHER_WEIGHTS = {"prev_move": 0.25, "prev_2move": 0.5}
 
+# Games of other numbers of choices: paper and well beat two of the others; of twenty choices each beats
+# the nine before it on a circle. Their transitions pay off as those of the plain game.
+FOUR = ("rock", "paper", "scissors", "well")
+FOUR_PAYOFF = ((0, -1, 1, -1), (1, 0, -1, 1), (-1, 1, 0, -1), (1, -1, 1, 0))
+TWENTY = tuple(f"c{i:02}" for i in range(20))
+TWENTY_PAYOFF = tuple(tuple((0, *[1] * 9, 0, *[-1] * 9)[(i - j) % 20] for j in range(20)) for i in range(20))
+
+# By variant: choices, payoff, and the move of an event in SQL.
+PLAIN = (
+    ("rock", "paper", "scissors"),
+    PLAIN_PAYOFF,
+    """CASE event_type WHEN 'click' THEN 'rock' WHEN 'signup' THEN 'rock' WHEN 'view' THEN 'paper'
+                         WHEN 'purchase' THEN 'scissors' WHEN 'error' THEN 'none' END""",
+)
+PLAYED = {
+    "four": (
+        FOUR,
+        FOUR_PAYOFF,
+        """CASE event_type WHEN 'click' THEN 'rock' WHEN 'signup' THEN 'well' WHEN 'view' THEN 'paper'
+                         WHEN 'purchase' THEN 'scissors' WHEN 'error' THEN 'none' END""",
+    ),
+    "twenty": (
+        TWENTY,
+        TWENTY_PAYOFF,
+        "CASE event_type WHEN 'error' THEN 'none' ELSE 'c' || lpad(CAST(event_id % 20 AS VARCHAR), 2, '0') END",
+    ),
+}
+
 GAME = ("game_id", "player_id")
 PLAYER = ("player_id",)
 
@@ -32,18 +62,25 @@ def rounds_ctes(variant: str = "ragged") -> str:
     )
     number = f"(a.rn - 1) % {SERIES_ROUNDS} + 1" if series else "a.rn"
     least = SERIES_MIN_ROUNDS if series else MIN_ROUNDS
+    choices, payoff, move = PLAYED.get(variant, PLAIN)
+
+    def paying(sign: int) -> str:
+        return ", ".join(
+            f"'{a}|{b}'" for a, row in zip(choices, payoff) for b, x in zip(choices, row)
+            if (x > 0) - (x < 0) == sign)
+
     return f"""
 ev AS (
   SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn,
-         CASE event_type WHEN 'click' THEN 'rock' WHEN 'signup' THEN 'rock' WHEN 'view' THEN 'paper'
-                         WHEN 'purchase' THEN 'scissors' WHEN 'error' THEN 'none' END AS move
+         {move} AS move
   FROM events),
 all_rounds AS (
   SELECT CAST({game} AS BIGINT) AS game_id, a.user_id AS player_id,
          CAST({number} AS INTEGER) AS round_index, a.move AS player_move,
          CASE WHEN b.move IS NULL THEN NULL WHEN a.move = b.move THEN 'tie'
               WHEN a.move = 'none' THEN 'loss' WHEN b.move = 'none' THEN 'win'
-              WHEN a.move || b.move IN ('rockscissors', 'paperrock', 'scissorspaper') THEN 'win'
+              WHEN a.move || '|' || b.move IN ({paying(1)}) THEN 'win'
+              WHEN a.move || '|' || b.move IN ({paying(0)}) THEN 'tie'
               ELSE 'loss' END AS player_outcome
   FROM ev a {join} ev b ON a.user_id // 2 = b.user_id // 2 AND a.user_id <> b.user_id AND a.rn = b.rn),
 rounds AS (
@@ -51,15 +88,18 @@ rounds AS (
     SELECT player_id FROM all_rounds GROUP BY player_id HAVING max(round_index) < {least}))"""
 
 
-def transition(before: str, after: str) -> str:
+def transition(before: str, after: str, choices=PLAIN[0]) -> str:
+    near = list(zip(choices, (*choices[1:], choices[0])))
+    up, down = (", ".join(f"'{a}|{b}'" for a, b in pairs) for pairs in (near, [(b, a) for a, b in near]))
     return f"""CASE WHEN {before} = {after} THEN '0'
-      WHEN {before} || {after} IN ('rockpaper', 'paperscissors', 'scissorsrock') THEN '+'
-      WHEN {before} || {after} IN ('rockscissors', 'paperrock', 'scissorspaper') THEN '-' END"""
+      WHEN {before} || '|' || {after} IN ({up}) THEN '+'
+      WHEN {before} || '|' || {after} IN ({down}) THEN '-' END"""
 
 
 def features_ctes(keys=GAME, variant: str = "ragged") -> str:
     part = ", ".join(keys)
     order = "round_index" if keys == GAME else "game_id, round_index"
+    choices = PLAYED.get(variant, PLAIN)[0]
     both = "prev_outcome IS NOT NULL AND prev_move <> 'none' AND player_move <> 'none'"
     return rounds_ctes(variant) + f""",
 lagged AS (
@@ -74,10 +114,10 @@ paired AS (
 strict AS (SELECT * FROM lagged WHERE {both}),
 feats AS (
   SELECT a.*, c.prev_move AS opponent_prev_move_both,
-         {transition('a.prev_move', 'a.player_move')} AS transition,
-         {transition('a.prev_move2', 'a.prev_move')} AS prev_transition,
-         {transition('a.opponent_prev_move', 'a.player_move')} AS cournot_transition,
-         {transition('c.prev_move', 'a.player_move')} AS cournot_transition_both
+         {transition('a.prev_move', 'a.player_move', choices)} AS transition,
+         {transition('a.prev_move2', 'a.prev_move', choices)} AS prev_transition,
+         {transition('a.opponent_prev_move', 'a.player_move', choices)} AS cournot_transition,
+         {transition('c.prev_move', 'a.player_move', choices)} AS cournot_transition_both
   FROM paired a
   LEFT JOIN strict s ON a.game_id = s.game_id AND a.round_index = s.round_index AND a.player_id = s.player_id
   LEFT JOIN strict c ON s.game_id = c.game_id AND s.round_index = c.round_index AND s.player_id <> c.player_id)"""
@@ -113,17 +153,23 @@ CONTEXTS = {
         f"prev_outcome IS NOT NULL AND prev_move <> 'none' AND prev_move2 <> 'none' AND {MOVED}"),
 }
 # Fixed values, as in the library.
-GRIDS = {
-    "prev_2move": (("rock", "paper", "scissors"), ("rock", "paper", "scissors"), ("rock", "paper", "scissors")),
-    "prev_transition_prev_outcome": (("+", "-", "0"), ("win", "loss", "tie"), ("+", "-", "0")),
-}
+GRIDS = ("prev_2move", "prev_transition_prev_outcome")
+SIGNS = ("+", "-", "0")
+OUTCOMES = ("win", "loss", "tie")
+
+
+def categories(columns: str, choices) -> list[tuple[str, ...]]:
+    return [
+        SIGNS if "transition" in c else OUTCOMES if "outcome" in c else choices
+        for c in columns.split(", ") if c
+    ]
 
 
 def _values(items) -> str:
     return "(VALUES " + ", ".join(f"('{i}')" for i in items) + ")"
 
 
-def distribution(name: str, keys=GAME, smoothing: str = "reference") -> str:
+def distribution(name: str, keys=GAME, smoothing: str = "reference", choices=PLAIN[0]) -> str:
     """A SELECT over feats: keys, contexts, category, n, total, p."""
     category, context, where = OBSERVED[name]
     k = ", ".join(keys)
@@ -132,14 +178,14 @@ def distribution(name: str, keys=GAME, smoothing: str = "reference") -> str:
       FROM (SELECT {groups}, {category}, count(*) AS n FROM feats WHERE {where} GROUP BY {groups}, {category})"""
     if name not in GRIDS:
         return f"SELECT *, n / total AS p FROM ({counted})"
-    one, two, last = GRIDS[name]
+    one, two, last = categories(f"{context}, {category}", choices)
     c1, c2 = context.split(", ")
     cells = f"{k}, {c1}, {c2}, {category}"
     seen = "coalesce(o.total, 0)"
     if smoothing == "laplace":
         seen = f"coalesce(max(o.total) OVER (PARTITION BY {k}, {c1}, {c2}), 0)"
     return f"""SELECT {cells}, n, total, n / total AS p FROM (
-      SELECT {cells}, CAST(1 + coalesce(o.n, 0) AS BIGINT) AS n, CAST(3 + {seen} AS BIGINT) AS total
+      SELECT {cells}, CAST(1 + coalesce(o.n, 0) AS BIGINT) AS n, CAST({len(last)} + {seen} AS BIGINT) AS total
       FROM (SELECT DISTINCT {k} FROM rounds) p
       CROSS JOIN {_values(one)} g1({c1}) CROSS JOIN {_values(two)} g2({c2})
       CROSS JOIN {_values(last)} g3({category})
@@ -173,28 +219,27 @@ EWCD = {
 
 
 def best_response(
-    name: str, alignment: str = "positional", smoothing: str = "reference", payoff=PLAIN_PAYOFF
+    name: str, alignment: str = "positional", smoothing: str = "reference", payoff=PLAIN_PAYOFF,
+    signs_payoff=None, choices=PLAIN[0],
 ) -> str:
-    """Best expected payoff per player and context."""
+    """Best expected payoff per player and context, each possible cell stated."""
     category, context, _ = OBSERVED[name]
     if "transition" in category:
-        a, b, c = "+", "-", "0"
-    elif alignment == "aligned" or name == "move":
-        a, b, c = "rock", "paper", "scissors"
+        order, payoff = SIGNS, signs_payoff or payoff
     else:
-        a, b, c = "paper", "rock", "scissors"
+        order = choices if alignment == "aligned" or name == "move" else sorted(choices)
     groups = ", ".join(x for x in ("game_id, player_id", context) if x)
-    choices = ", ".join(f"x * {p} + y * {q} + z * {s}" for p, q, s in payoff)
-    return f"""SELECT {groups}, greatest({choices}) AS max_util FROM (
-      SELECT {groups}, coalesce(sum(p) FILTER ({category} = '{a}'), 0) AS x,
-             coalesce(sum(p) FILTER ({category} = '{b}'), 0) AS y,
-             coalesce(sum(p) FILTER ({category} = '{c}'), 0) AS z
-      FROM ({distribution(name, GAME, smoothing)}) GROUP BY {groups})"""
+    against = ", ".join(" + ".join(f"x{i} * {p}" for i, p in enumerate(row)) for row in payoff)
+    columns = ", ".join(
+        f"coalesce(sum(p) FILTER ({category} = '{value}'), 0) AS x{i}" for i, value in enumerate(order))
+    return f"""SELECT {groups}, greatest({against}) AS max_util FROM (
+      SELECT {groups}, {columns}
+      FROM ({distribution(name, GAME, smoothing, choices)}) GROUP BY {groups})"""
 
 
 def player_wcd(name: str, weights=None, **options) -> str:
-    contexts = len([c for c in OBSERVED[name][1].split(",") if c])
-    factor = (weights or {}).get(name, f"1.0 / {3 ** contexts}")
+    contexts = math.prod(len(c) for c in categories(OBSERVED[name][1], options.get("choices", PLAIN[0])))
+    factor = (weights or {}).get(name, f"1.0 / {contexts}")
     return f"""SELECT game_id, player_id, sum(max_util) * 300.0 * {factor} AS win_diff
       FROM ({best_response(name, **options)}) GROUP BY game_id, player_id"""
 
@@ -233,22 +278,24 @@ ENTROPY = {
 }
 
 
-def entropy(name: str) -> str:
+def entropy(name: str, choices=PLAIN[0]) -> str:
     context = OBSERVED[name][1]
     h = "-sum(p * log2(p))"
     if not context:
         return f"""SELECT player_id, {h} AS {ENTROPY[name]}
-          FROM ({distribution(name, PLAYER)}) GROUP BY player_id"""
+          FROM ({distribution(name, PLAYER, choices=choices)}) GROUP BY player_id"""
     weights = "prev_outcome" if context == "prev_outcome" else name
     return f"""SELECT player_id, sum(h * w.p) AS {ENTROPY[name]} FROM (
-        SELECT player_id, {context}, {h} AS h FROM ({distribution(name, PLAYER)}) GROUP BY player_id, {context})
+        SELECT player_id, {context}, {h} AS h FROM ({distribution(name, PLAYER, choices=choices)}) GROUP BY player_id, {context})
       JOIN ({context_distribution(weights)}) w USING (player_id, {context}) GROUP BY player_id"""
 
 
 def gain_ctes(variant: str = "ragged") -> str:
-    parts = "".join(f",\nh_{n} AS ({entropy(n)})" for n in ENTROPY)
+    choices = PLAYED.get(variant, PLAIN)[0]
+    parts = "".join(f",\nh_{n} AS ({entropy(n, choices)})" for n in ENTROPY)
     joins = " ".join(f"LEFT JOIN h_{n} USING (player_id)" for n in ENTROPY if n != "move")
-    raw = ", ".join(f"log2(3) - {c} AS {n}" for n, c in ENTROPY.items())
+    sizes = {n: len(categories(OBSERVED[n][0], choices)[0]) for n in ENTROPY}
+    raw = ", ".join(f"log2({sizes[n]}) - {c} AS {n}" for n, c in ENTROPY.items())
     corrected = """SELECT player_id, move, transition, cournot_transition,
       opponent_prev_move - cournot_transition - move AS opponent_prev_move,
       prev_move - transition - move AS prev_move,
@@ -416,7 +463,7 @@ cors AS (SELECT *, sqrt((1 - corr * corr) / (n - 2)) AS se FROM ({" UNION ALL ".
 def build() -> dict[str, str]:
     game, player, series = features_ctes(GAME), features_ctes(PLAYER), features_ctes(PLAYER, "series")
     sql = {}
-    for variant in ("ragged", "paired", "series"):
+    for variant in ("ragged", "paired", "series", *PLAYED):
         sql[f"complete_rounds_{variant}"] = f"WITH {rounds_ctes(variant)} SELECT * FROM rounds"
     own = "prev_move, prev_move2, prev_outcome, transition, prev_transition"
     other = "opponent_prev_move, opponent_prev_move_both, cournot_transition, cournot_transition_both"
@@ -453,6 +500,19 @@ def build() -> dict[str, str]:
         for prefix, prelude in (("", player), ("player_", series)):
             sql[f"{prefix}entropy_{name}"] = (
                 f"WITH {prelude} SELECT player_id, {r(column)} AS {column} FROM ({entropy(name)})")
+    for variant, (choices, payoff, _) in PLAYED.items():
+        prelude = features_ctes(GAME, variant)
+        sql[f"features_{variant}"] = f"WITH {prelude} SELECT {row}, {own}, {other} FROM feats"
+        for name in ("prev_move", "outcome_transition", *["prev_2move"] * (variant == "four")):
+            sql[f"dist_{name}_{variant}"] = rounded_distribution(distribution(name, choices=choices), prelude)
+        for smoothing in ("reference", "laplace"):
+            options = {"choices": choices, "payoff": payoff, "signs_payoff": PLAIN_PAYOFF, "smoothing": smoothing}
+            columns = ", ".join(f"{r(c)} AS {c}" for c in EWCD.values())
+            name = f"summary_win_diff_{variant}" + ("" if smoothing == "reference" else f"_{smoothing}")
+            sql[name] = (
+                f"WITH {summary_ctes(variant, **options)} SELECT game_id, empirical_wcd, {columns} FROM summary")
+        sql[f"info_gain_combined_{variant}"] = f"""WITH {gain_ctes(variant)}
+          SELECT player_id, entropy_type, corrected, {r('information_gain')} AS information_gain FROM combined"""
     gain = "player_id, entropy_type, corrected, " + r("information_gain") + " AS information_gain"
     for table in ("uncorrected", "corrected", "combined"):
         sql[f"info_gain_{table}"] = f"WITH {gain_ctes()} SELECT {gain} FROM {table}"

@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from playseq.domain import MOVES, NO_MOVE, TRANSITIONS
+from playseq.domain import NO_MOVE, RPS, Game
 
 
 def is_move(column: str) -> Column:
@@ -37,17 +37,17 @@ def label_of(column: str, labels: Mapping[str, object]) -> Column:
     return case
 
 
-def cyclic_transition(before: str, after: str, cycle: Sequence[str] = MOVES) -> Column:
-    """Step from one move to the next around the cycle: "0" stay, "+" one up, "-" one down.
+def cyclic_transition(before: str, after: str, game: Game = RPS) -> Column:
+    """Step from one move to the next around the cycle, by default "0" stay, "+" one up, "-" one down.
 
-    Null when the two differ and either is not part of the cycle.
+    Null when the two differ and either is not part of the cycle, or their step has no name.
     """
-    up, down, stay = TRANSITIONS
-    step = f"pmod({ordinal_sql(after, cycle)} - {ordinal_sql(before, cycle)}, {len(cycle)})"
-    return F.expr(
-        f"CASE WHEN {before} = {after} THEN '{stay}'"
-        f" ELSE CASE {step} WHEN 1 THEN '{up}' WHEN {len(cycle) - 1} THEN '{down}' END END"
-    )
+    size = len(game.cycle)
+    step = f"pmod({ordinal_sql(after, game.cycle)} - {ordinal_sql(before, game.cycle)}, {size})"
+    names = {places % size: name for places, name in zip(game.steps, game.transitions)}
+    stay = f"'{names.pop(0)}'" if 0 in names else "CAST(NULL AS STRING)"
+    moved = " ".join(f"WHEN {places} THEN '{name}'" for places, name in names.items())
+    return F.expr(f"CASE WHEN {before} = {after} THEN {stay} ELSE CASE {step} {moved} END END")
 
 
 def entropy_term(p: Column) -> Column:

@@ -7,14 +7,14 @@ before the shuffle, so a key contributes at most its number of distinct cells to
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
-from itertools import product
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
+from math import prod
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from playseq.domain import GAME_KEYS, MOVES, NO_MOVE, OUTCOMES, TRANSITIONS
+from playseq.domain import GAME_KEYS, NO_MOVE, RPS, Game
 from playseq.operators.features import follows
 
 REFERENCE, LAPLACE = "reference", "laplace"
@@ -31,9 +31,26 @@ class Distribution:
     present: tuple[str, ...] = ()  # columns that must not be null
     equal: tuple[tuple[str, str], ...] = ()  # columns that must have a value
     smoothed: bool = False
-    domain: tuple[str, ...] = MOVES
+    domain: tuple[str, ...] = ()
     context_domains: tuple[tuple[str, ...], ...] = ()
 
+    def of(self, game: Game) -> Distribution:
+        """The same distribution over the category sets of a game."""
+        return replace(
+            self,
+            domain=game.values_of(self.category[0]),
+            context_domains=tuple(game.values_of(c) for c in self.context),
+        )
+
+    @property
+    def of_transitions(self) -> bool:
+        return "transition" in self.category[0]
+
+    @property
+    def contexts(self) -> int:
+        """Number of possible contexts."""
+        return prod(len(values) for values in self.context_domains)
+
     def included(self) -> str:
         """SQL condition for a round to count; a missing move fails it like the no-move marker."""
         return " AND ".join(
@@ -44,26 +61,21 @@ class Distribution:
             ]
         )
 
-    def grid(self) -> Iterable[tuple[str, ...]]:
-        """Every (context..., category) cell a smoothed distribution starts from."""
-        return product(*self.context_domains, self.domain) if self.smoothed else ()
-
 
 def _index(*distributions: Distribution) -> dict[str, Distribution]:
-    return {d.name: d for d in distributions}
+    return {d.name: d.of(RPS) for d in distributions}
 
 
 # The nine dependencies both analyses estimate.
 DEPENDENCIES = _index(
     Distribution("move", ("player_move",), moves=("player_move",)),
     Distribution(
-        "transition", ("transition",), moves=("prev_move", "player_move"), domain=TRANSITIONS
+        "transition", ("transition",), moves=("prev_move", "player_move")
     ),
     Distribution(
         "cournot_transition",
         ("cournot_transition",),
         moves=("opponent_prev_move", "player_move"),
-        domain=TRANSITIONS,
     ),
     Distribution(
         "prev_move", ("player_move",), ("prev_move",), moves=("player_move", "prev_move")
@@ -80,14 +92,12 @@ DEPENDENCIES = _index(
         ("prev_outcome",),
         moves=("prev_move", "player_move"),
         present=("prev_outcome",),
-        domain=TRANSITIONS,
     ),
     Distribution(
         "outcome_cournot_transition",
         ("cournot_transition_both",),
         ("prev_outcome",),
         moves=("opponent_prev_move_both", "player_move"),
-        domain=TRANSITIONS,
     ),
     Distribution(
         "prev_2move",
@@ -95,7 +105,6 @@ DEPENDENCIES = _index(
         ("prev_move", "prev_move2"),
         moves=("player_move", "prev_move", "prev_move2"),
         smoothed=True,
-        context_domains=(MOVES, MOVES),
     ),
     Distribution(
         "prev_transition_prev_outcome",
@@ -104,8 +113,6 @@ DEPENDENCIES = _index(
         moves=("player_move", "prev_move", "prev_move2"),
         present=("prev_outcome",),
         smoothed=True,
-        domain=TRANSITIONS,
-        context_domains=(TRANSITIONS, OUTCOMES),
     ),
 )
 
@@ -129,8 +136,23 @@ CONTEXTS = _index(
     ),
 )
 
+
+def dependencies(game: Game) -> dict[str, Distribution]:
+    return {name: d.of(game) for name, d in DEPENDENCIES.items()}
+
+
+def contexts(game: Game) -> dict[str, Distribution]:
+    return {name: d.of(game) for name, d in CONTEXTS.items()}
+
+
 # Rounds won, counted along with the others where both are needed.
-WINS = Distribution("wins", ("player_outcome",), equal=(("player_outcome", "win"),))
+def wins(game: Game) -> Distribution:
+    return Distribution("wins", ("player_outcome",), equal=(("player_outcome", game.outcomes[0]),)).of(game)
+
+
+# What count_cells adds for smoothed distributions: every cell of the grid, one mark for each sequence
+# (a cell without context or category), or nothing.
+GRID, MARK, NOTHING = "grid", "mark", "nothing"
 
 # A cell's place: at most two context columns and two category columns.
 SLOTS = ("context_1", "context_2", "category_1", "category_2")
@@ -144,12 +166,23 @@ def _cell(index: int, weight: int, context: Sequence[str], category: Sequence[st
     return f"struct({index} AS distribution, {slots}, {weight} AS n)"
 
 
+def _grid(index: int, d: Distribution) -> str:
+    """SQL for the array of every (context..., category) cell, by its number."""
+    size, values = d.contexts * len(d.domain), []
+    step = size
+    for domain in (*d.context_domains, d.domain):
+        step //= len(domain)
+        listed = ", ".join(f"'{v}'" for v in domain)
+        values.append(f"array({listed})[CAST(i div {step} AS INT) % {len(domain)}]")
+    return f"transform(sequence(0, {size - 1}), i -> {_cell(index, 0, values[:-1], values[-1:])})"
+
+
 def count_cells(
-    df: DataFrame, keys: Sequence[str], distributions: Sequence[Distribution]
+    df: DataFrame, keys: Sequence[str], distributions: Sequence[Distribution], unseen: str = GRID
 ) -> DataFrame:
     """Count the cells of all distributions: keys, `distribution` (its index), slots, `n`.
 
-    The first round of each sequence also emits the empty cells of smoothed
+    The first round of each sequence also emits what `unseen` names for smoothed
     distributions, so these are complete for every key without a join. The features must
     have been made for the same keys.
     """
@@ -164,15 +197,15 @@ def count_cells(
     )
     cells = f"array({observed})"
     empty = [
-        _cell(i, 0, [f"'{v}'" for v in cell[:-1]], [f"'{cell[-1]}'"])
+        f"array({_cell(i, 0, [], [])})" if unseen == MARK else _grid(i, d)
         for i, d in enumerate(distributions)
-        for cell in d.grid()
+        if d.smoothed and unseen != NOTHING
     ]
     if empty:
         first = follows(keys)
         if first not in df.columns:
             raise ValueError(f"smoothed distributions by {tuple(keys)} need features of these keys")
-        grid = f"array({', '.join(empty)})"
+        grid = f"concat({', '.join(empty)})"
         cells = f"concat({cells}, CASE WHEN {first} THEN slice({grid}, 1, 0) ELSE {grid} END)"
     emitted = df.select(*keys, F.explode(F.expr(cells)).alias("cell"))
     return _count(emitted.filter("cell.distribution is not null"), keys)
@@ -215,11 +248,51 @@ def probabilities(
     return counted.withColumn("p", F.expr("n / total"))
 
 
-def _on_grid(index: int, d: Distribution) -> str:
-    """SQL for a smoothed cell whose values all lie in their domains."""
-    slots = zip((*SLOTS[: len(d.context)], "category_1"), (*d.context_domains, d.domain))
-    inside = (f"{slot} IN ({', '.join(map(repr, domain))})" for slot, domain in slots)
-    return " AND ".join((f"(distribution = {index}", *inside)) + ")"
+def observed_probabilities(
+    cells: DataFrame,
+    keys: Sequence[str],
+    distributions: Sequence[Distribution],
+    smoothing: str = REFERENCE,
+) -> DataFrame:
+    """Add `p` to the cells that were observed and `rest` to their context, without a grid.
+
+    `rest` is the probability of each category that was never observed in this context, null where
+    nothing is smoothed. A context never observed is not stated: all its categories are equally
+    likely. The mark of a sequence stays, with the `rest` of such a context; its `p` is null, and so is
+    that of observations outside the category set.
+    """
+    if smoothing not in (REFERENCE, LAPLACE):
+        raise ValueError(f"smoothing must be {REFERENCE!r} or {LAPLACE!r}, not {smoothing!r}")
+    context = Window.partitionBy(*keys, "distribution", *SLOTS[:2])
+    counted = cells.withColumn("total", F.sum("n").over(context))
+    smoothed = {i: d for i, d in enumerate(distributions) if d.smoothed}
+    if not smoothed:
+        return counted.withColumns({"p": F.expr("n / total"), "rest": F.lit(None).cast("double")})
+    is_smoothed = f"distribution IN ({', '.join(map(str, smoothed))})"
+    mark = "context_1 IS NULL AND context_2 IS NULL AND category_1 IS NULL"
+    in_context = " OR ".join(_on_grid(i, d, category=False) for i, d in smoothed.items())
+    on_grid = " OR ".join(_on_grid(i, d) for i, d in smoothed.items())
+    sizes = f"CASE distribution {' '.join(f'WHEN {i} THEN {len(d.domain)}' for i, d in smoothed.items())} END"
+    seen = f"IF({mark}, 0, total)"
+    rest = f"1 / ({sizes} + {seen})" if smoothing == LAPLACE else f"1 / {sizes}"
+    return counted.filter(f"NOT {is_smoothed} OR {in_context} OR {mark}").withColumns(
+        {
+            "p": F.expr(
+                f"CASE WHEN NOT {is_smoothed} THEN n / total WHEN {on_grid} THEN (n + 1) / ({sizes} + total) END"
+            ),
+            "rest": F.expr(f"CASE WHEN {is_smoothed} THEN {rest} END"),
+        }
+    )
+
+
+def in_domains(d: Distribution, category: bool = True) -> str:
+    """SQL for a cell whose context, and category if asked for, lie in their domains."""
+    slots = [*zip(SLOTS, d.context_domains), *[("category_1", d.domain)] * category]
+    return " AND ".join(f"{slot} IN ({', '.join(map(repr, domain))})" for slot, domain in slots)
+
+
+def _on_grid(index: int, d: Distribution, category: bool = True) -> str:
+    return f"(distribution = {index} AND {in_domains(d, category)})"
 
 
 def distribution(

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playseq.domain import GAME_KEYS, PLAYER_KEYS
+from playseq.domain import GAME_KEYS, PLAYER_KEYS, RPS, Game
 from playseq.functions import cyclic_transition, is_move
 from playseq.operators.sequence import shift
 from playseq.operators.sizes import LIMITS, Limits, Sizes, measure, spread
@@ -31,6 +31,7 @@ def features(
     keys: Sequence[str] = GAME_KEYS,
     sizes: Sizes | None = None,
     limits: Limits = LIMITS,
+    game: Game = RPS,
 ) -> DataFrame:
     """Add every lagged and derived column; unused ones are pruned by the optimizer.
 
@@ -42,7 +43,7 @@ def features(
         raise ValueError(f"keys must be {GAME_KEYS} or {PLAYER_KEYS}, not {keys}")
     sizes = sizes or measure(rounds, limits=limits)
     lagged = with_lags(rounds, keys, sizes, limits)
-    return with_transitions(with_opponent(lagged, sizes, limits))
+    return with_transitions(with_opponent(lagged, sizes, limits), game)
 
 
 def with_lags(rounds: DataFrame, keys: tuple[str, ...], sizes: Sizes, limits: Limits) -> DataFrame:
@@ -126,15 +127,13 @@ def _pair(df: DataFrame, name: str, included: Column, sizes: Sizes, limits: Limi
     return neighbours.select(*columns, F.when(F.col("_included"), other).alias(name))
 
 
-def with_transitions(df: DataFrame) -> DataFrame:
-    """Own and opponent-relative transitions, as "+", "-" or "0"."""
+def with_transitions(df: DataFrame, game: Game = RPS) -> DataFrame:
+    """Own and opponent-relative transitions, by the names the game gives them."""
     return df.withColumns(
         {
-            "transition": cyclic_transition("prev_move", "player_move"),
-            "prev_transition": cyclic_transition("prev_move2", "prev_move"),
-            "cournot_transition": cyclic_transition("opponent_prev_move", "player_move"),
-            "cournot_transition_both": cyclic_transition(
-                "opponent_prev_move_both", "player_move"
-            ),
+            "transition": cyclic_transition("prev_move", "player_move", game),
+            "prev_transition": cyclic_transition("prev_move2", "prev_move", game),
+            "cournot_transition": cyclic_transition("opponent_prev_move", "player_move", game),
+            "cournot_transition_both": cyclic_transition("opponent_prev_move_both", "player_move", game),
         }
     )

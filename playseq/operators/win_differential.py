@@ -7,22 +7,26 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from playseq.domain import GAME_KEYS, GAME_ROUNDS, PAYOFF
+from playseq.domain import GAME_KEYS, GAME_ROUNDS, RPS, Game
 from playseq.functions import payoff_of_choice
 from playseq.functions.expressions import ordinal_sql
 from playseq.operators.distributions import (
     DEPENDENCIES,
+    MARK,
     REFERENCE,
     SLOTS,
-    WINS,
     Distribution,
     count_cells,
-    probabilities,
+    dependencies,
+    observed_probabilities,
+    wins,
 )
 from playseq.operators.sequence import shift
 from playseq.operators.sizes import LIMITS, Limits, Sizes, measure
 
 POSITIONAL, ALIGNED = "positional", "aligned"
+# Up to this many choices each has a column of its own; more are rows, joined from the payoff table.
+CHOICE_COLUMNS = 8
 
 # The per-game column each dependency's expected differential goes by.
 EXPECTED_WCD = {
@@ -56,37 +60,98 @@ def best_responses(
     names: Sequence[str] = tuple(DEPENDENCIES),
     keys: Sequence[str] = GAME_KEYS,
     *,
-    payoff: Sequence[Sequence[float]] = PAYOFF,
+    game: Game = RPS,
     alignment: str = POSITIONAL,
     smoothing: str = REFERENCE,
     also: Sequence[Distribution] = (),
+    choice_columns: int = CHOICE_COLUMNS,
 ) -> DataFrame:
-    """Best expected payoff per round against each key, dependency and context.
+    """Best expected payoff per round against each key, dependency and observed context.
 
-    `n` counts the observations. Distributions in `also` are counted in the same pass.
+    Smoothed dependencies also have a row without a context, which holds for every context never
+    observed. `n` counts the observations. Distributions in `also` are counted in the same pass.
+    Probabilities of categories never observed enter through the sum of a choice's payoffs, so the
+    work goes by what was observed, however many contexts are possible.
     """
-    chosen = [DEPENDENCIES[name] for name in names]
+    known = dependencies(game)
+    chosen = [known[name] for name in names]
     counted = [*chosen, *also]
-    cells = probabilities(count_cells(df, keys, counted), keys, counted, smoothing)
-    orders: dict[tuple[str, ...], list[str]] = {}
+    cells = observed_probabilities(count_cells(df, keys, counted, MARK), keys, counted, smoothing)
+    # Positions of transitions follow those of choices.
+    first = len(game.choices)
+    orders: dict[tuple[int, tuple[str, ...]], list[str]] = {}
     for i, d in enumerate(chosen):
-        orders.setdefault(payoff_columns(d, alignment), []).append(str(i))
-    cases = " ".join(
-        f"WHEN distribution IN ({', '.join(members)}) THEN {ordinal_sql('category_1', columns)}"
-        for columns, members in orders.items()
+        start = first if d.of_transitions else 0
+        orders.setdefault((start, payoff_columns(d, alignment)), []).append(str(i))
+    members: dict[int, list[str]] = {}
+    for (start, _), found in orders.items():
+        members.setdefault(start, []).extend(found)
+    positions = " ".join(
+        f"WHEN distribution IN ({', '.join(found)}) THEN {start} + {ordinal_sql('category_1', columns)}"
+        for (start, columns), found in orders.items()
     )
-    choices = [f"choice_{i}" for i in range(len(payoff))]
+    weighed = cells.withColumns(
+        {
+            "position": F.expr(f"CASE {positions} END"),
+            "weight": F.expr("coalesce(p - coalesce(rest, 0.0D), 0.0D)"),
+        }
+    )
+    payoffs = {start: game.transition_payoff if start else game.payoff for start in members}
+    groups = [*keys, "distribution", *SLOTS[:2]]
+    if max(map(len, payoffs.values())) > choice_columns:
+        return _best_of_rows(weighed, groups, payoffs, members)
+    return _best_of_columns(weighed, groups, payoffs, members, first)
+
+
+def _best_of_columns(weighed, groups, payoffs, members, first) -> DataFrame:
+    """The best choice, each of them summed in a column."""
+    choices = [f"choice_{i}" for i in range(max(map(len, payoffs.values())))]
+
+    def utility(i: int) -> Column:
+        having = {start: table[i] for start, table in payoffs.items() if i < len(table)}
+        by_position = [0.0] * (first + max(map(len, having.values())))
+        for start, row in having.items():
+            by_position[start : start + len(row)] = row
+        whole = " ".join(
+            f"WHEN distribution IN ({', '.join(members[start])}) THEN {float(sum(row))}D" for start, row in having.items()
+        )
+        # No value for dependencies that have fewer choices.
+        known = F.expr(f"CASE {whole} END")
+        return payoff_of_choice("weight", "position", by_position) + known * F.coalesce(F.max("rest"), F.lit(0.0))
+
+    return (
+        weighed.groupBy(*groups)
+        .agg(*(utility(i).alias(choice) for i, choice in enumerate(choices)), F.sum("n").alias("n"))
+        .select(*groups, "n", F.greatest(*choices).alias("max_util"))
+    )
+
+
+def _best_of_rows(weighed, groups, payoffs, members) -> DataFrame:
+    """The best choice, each of them summed in a row: cells meet the payoff table by their position.
+
+    The table has the square of the number of choices in rows, a parameter, and is broadcast.
+    """
+    rows = ["(-1, 0, 0.0D, CAST(NULL AS DOUBLE))"]
+    for start, table in payoffs.items():
+        for choice, row in enumerate(table):
+            whole = f"{float(sum(row))}D"
+            rows.append(f"({-2 - start}, {choice}, 0.0D, {whole})")
+            rows += [f"({start + j}, {choice}, {float(value)}D, {whole})" for j, value in enumerate(row)]
+    table = weighed.sparkSession.sql(
+        f"SELECT * FROM VALUES {', '.join(rows)} AS payoffs(position, choice, payoff, whole)"
+    )
+    # What has no category in the set meets each choice once, for nothing.
+    outside = " ".join(f"WHEN distribution IN ({', '.join(found)}) THEN {-2 - start}" for start, found in members.items())
+    placed = weighed.withColumn("position", F.expr(f"coalesce(position, CASE {outside} ELSE -1 END)"))
     return (
-        cells.withColumn("position", F.expr(f"CASE {cases} END"))
-        .groupBy(*keys, "distribution", *SLOTS[:2])
+        placed.join(F.broadcast(table), "position")
+        .groupBy(*groups, "choice")
         .agg(
-            *(
-                payoff_of_choice("p", "position", row).alias(choice)
-                for choice, row in zip(choices, payoff)
-            ),
+            F.expr("sum(weight * payoff) + max(whole) * coalesce(max(rest), 0.0D)").alias("utility"),
             F.sum("n").alias("n"),
         )
-        .select(*keys, "distribution", *SLOTS[:2], "n", F.greatest(*choices).alias("max_util"))
+        .groupBy(*groups)
+        .agg(F.max("n").alias("n"), F.max("utility").alias("max_util"))
     )
 
 
@@ -95,6 +160,7 @@ def player_expected_wcd(
     names: Sequence[str] = tuple(DEPENDENCIES),
     keys: Sequence[str] = GAME_KEYS,
     *,
+    game: Game = RPS,
     game_rounds: int = GAME_ROUNDS,
     weights: Mapping[str, float] | None = None,
     with_wins: bool = False,
@@ -103,25 +169,32 @@ def player_expected_wcd(
     """Expected win-count differential against each key, one column per dependency.
 
     Contexts weigh the same, one over the number of possible contexts, unless
-    `weights` names another factor; contexts that never occur add nothing.
+    `weights` names another factor; contexts that never occur add nothing, but those of smoothed
+    dependencies what uniform play is worth.
     `with_wins` adds `n_wins`, the rounds each key won, null for none.
     """
-    best = best_responses(df, names, keys, also=[WINS] if with_wins else [], **options)
-    factors = {name: 1 / _contexts(DEPENDENCIES[name]) for name in names} | dict(weights or {})
+    best = best_responses(df, names, keys, game=game, also=[wins(game)] if with_wins else [], **options)
+    known = dependencies(game)
+    factors = {name: 1 / known[name].contexts for name in names} | dict(weights or {})
     return best.groupBy(*keys).agg(
         *(
-            F.expr(
-                f"sum(max_util) FILTER (WHERE distribution = {i}) * {factors[name] * game_rounds}D"
-            ).alias(EXPECTED_WCD[name])
+            F.expr(f"({_over_contexts(i, known[name], game)}) * {factors[name] * game_rounds}D").alias(
+                EXPECTED_WCD[name]
+            )
             for i, name in enumerate(names)
         ),
         *[F.expr(f"sum(n) FILTER (WHERE distribution = {len(names)})").alias("n_wins")] * with_wins,
     )
 
 
-def _contexts(d: Distribution) -> int:
-    """Number of possible contexts; every context domain has as many values as there are moves."""
-    return len(d.domain) ** len(d.context)
+def _over_contexts(index: int, d: Distribution, game: Game) -> str:
+    """SQL for the sum of best payoffs over all contexts, those never observed included if smoothed."""
+    payoff = game.transition_payoff if d.of_transitions else game.payoff
+    unseen = max(sum(row) for row in payoff) / len(d.domain) if d.smoothed else 0.0
+    if not unseen:
+        return f"sum(max_util) FILTER (WHERE distribution = {index})"
+    # The row that stands for contexts never observed holds just this payoff.
+    return f"sum(max_util - {unseen}D) FILTER (WHERE distribution = {index}) + {unseen * d.contexts}D"
 
 
 def expected_wcd(df: DataFrame, names: Sequence[str] = tuple(DEPENDENCIES), **options) -> DataFrame:
@@ -132,21 +205,21 @@ def expected_wcd(df: DataFrame, names: Sequence[str] = tuple(DEPENDENCIES), **op
 
 
 def empirical_wcd(
-    rounds: DataFrame, sizes: Sizes | None = None, limits: Limits = LIMITS
+    rounds: DataFrame, sizes: Sizes | None = None, limits: Limits = LIMITS, game: Game = RPS
 ) -> DataFrame:
     """Difference in wins between the players of each game.
 
     Players without a win are left out, and with them games that keep fewer than two players.
     """
     sizes = sizes or measure(rounds, limits=limits)
-    wins = (
+    winners = (
         rounds.groupBy("game_id", "player_id")
-        .agg(F.count_if(F.col("player_outcome") == "win").alias("n_wins"))
+        .agg(F.count_if(F.col("player_outcome") == game.outcomes[0]).alias("n_wins"))
         .filter("n_wins > 0")
     )
     slices = 0 if sizes.players_per_game <= limits.rows_per_task else limits.tasks_for(sizes.rows)
     both = shift(
-        wins, ["game_id"], ["player_id"], {"opponent_wins": ("n_wins", 1)}, range_count=slices
+        winners, ["game_id"], ["player_id"], {"opponent_wins": ("n_wins", 1)}, range_count=slices
     )
     return both.filter(F.col("opponent_wins").isNotNull()).select("game_id", _difference())
 

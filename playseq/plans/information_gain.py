@@ -8,9 +8,9 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playseq.domain import GAME_KEYS, LABELLED_DEPENDENCIES, LABELS, MOVES, PLAYER_KEYS
+from playseq.domain import GAME_KEYS, LABELLED_DEPENDENCIES, LABELS, PLAYER_KEYS, RPS, Game
 from playseq.functions import label_of, ordinal_of
-from playseq.operators.distributions import REFERENCE
+from playseq.operators.distributions import REFERENCE, dependencies
 from playseq.operators.entropy import ENTROPY, entropies
 from playseq.plans.study import Study
 
@@ -44,16 +44,18 @@ def player_entropies(
     # Where nobody plays twice, keys within the game are the same players, and their
     # counts can stay where the games are.
     keys = GAME_KEYS if study.sizes.games_per_player <= 1 else PLAYER_KEYS
-    found = entropies(study.features(keys), names, keys, smoothing, study.sizes.rows, study.limits)
+    found = entropies(study.features(keys), names, keys, smoothing, study.sizes.rows, study.limits, study.game)
     if "move" in names:
         found = found.filter(F.col(ENTROPY["move"]).isNotNull())
     return found.select("player_id", *(ENTROPY[name] for name in names))
 
 
-def gains(player_entropies: DataFrame) -> DataFrame:
-    """Replace each entropy by its gain: the entropy of uniform play minus it."""
-    uniform = F.lit(log2(len(MOVES)))
-    return player_entropies.withColumns({c: uniform - F.col(c) for c in ENTROPY.values()})
+def gains(player_entropies: DataFrame, game: Game = RPS) -> DataFrame:
+    """Replace each entropy by its gain: the entropy of uniform play over its categories minus it."""
+    known = dependencies(game)
+    return player_entropies.withColumns(
+        {c: F.lit(log2(len(known[name].domain))) - F.col(c) for name, c in ENTROPY.items()}
+    )
 
 
 def corrected_gains(gains: DataFrame) -> DataFrame:
@@ -83,17 +85,17 @@ def _reported(corrected: str, prefix: str = "") -> dict[tuple[str, str], str]:
     return {(c, corrected): prefix + c for n, c in ENTROPY.items() if n != UNREPORTED}
 
 
-def information_gain_uncorrected(player_entropies: DataFrame) -> DataFrame:
-    return _long(gains(player_entropies), _reported(UNCORRECTED))
+def information_gain_uncorrected(player_entropies: DataFrame, game: Game = RPS) -> DataFrame:
+    return _long(gains(player_entropies, game), _reported(UNCORRECTED))
 
 
-def information_gain_corrected(player_entropies: DataFrame) -> DataFrame:
-    return _long(corrected_gains(gains(player_entropies)), _reported(CORRECTED))
+def information_gain_corrected(player_entropies: DataFrame, game: Game = RPS) -> DataFrame:
+    return _long(corrected_gains(gains(player_entropies, game)), _reported(CORRECTED))
 
 
-def information_gain_combined(player_entropies: DataFrame) -> DataFrame:
+def information_gain_combined(player_entropies: DataFrame, game: Game = RPS) -> DataFrame:
     """Both tables in one, from a single pass over the players."""
-    raw = gains(player_entropies)
+    raw = gains(player_entropies, game)
     kept = raw.withColumns({f"raw_{c}": F.col(c) for c in ENTROPY.values()})
     return _long(corrected_gains(kept), _reported(UNCORRECTED, "raw_") | _reported(CORRECTED))
 

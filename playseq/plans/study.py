@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from playseq.domain import GAME_KEYS, MIN_ROUNDS
+from playseq.domain import GAME_KEYS, MIN_ROUNDS, RPS, Game
 from playseq.operators.features import features
 from playseq.operators.sizes import LIMITS, Limits, Sizes, measure
 from playseq.sources.tables import complete_rounds
@@ -20,13 +20,14 @@ class Study:
     rounds: DataFrame
     sizes: Sizes
     limits: Limits = LIMITS
+    game: Game = RPS
 
     @classmethod
     def of(
-        cls, rounds: DataFrame, min_rounds: int = MIN_ROUNDS, limits: Limits = LIMITS
+        cls, rounds: DataFrame, min_rounds: int = MIN_ROUNDS, limits: Limits = LIMITS, game: Game = RPS
     ) -> Study:
         sizes = measure(rounds, min_rounds, limits)
-        return cls(complete_rounds(rounds, min_rounds, sizes, limits), sizes, limits)
+        return cls(complete_rounds(rounds, min_rounds, sizes, limits), sizes, limits, game)
 
     def features(self, keys: Sequence[str] = GAME_KEYS) -> DataFrame:
-        return features(self.rounds, keys, self.sizes, self.limits)
+        return features(self.rounds, keys, self.sizes, self.limits, self.game)

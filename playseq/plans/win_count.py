@@ -49,10 +49,11 @@ RESIDUAL_OF = {of: residual for residual, (of, _) in RESIDUALS.items()}
 def summary_win_diff(study: Study, **options) -> DataFrame:
     """Empirical and all nine expected differentials of each game that has every one."""
     columns = list(EXPECTED_WCD.values())
+    options = {"game": study.game} | options
     if study.sizes.players_per_game <= study.limits.rows_per_task:
         both = expected_and_empirical_wcd(study.features(), **options)
     else:
-        empirical = empirical_wcd(study.rounds, study.sizes, study.limits)
+        empirical = empirical_wcd(study.rounds, study.sizes, study.limits, options["game"])
         expected = expected_wcd(study.features(), **options).withColumnRenamed("game_id", "_game_id")
         # A missing game id is a game like any other.
         both = empirical.join(expected, F.col("game_id").eqNullSafe(F.col("_game_id")))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from playseq.domain import NO_MOVE
-from playseq.functions import cyclic_transition, label_of
+from playseq.domain import NO_MOVE, RPS, Game
+from playseq.functions import label_of
 from playseq.operators.sequence import group_sizes, number_rows
 from playseq.operators.sizes import LIMITS, Limits, spread
 
@@ -24,16 +24,26 @@ EVENT_MOVES = {
 GAMES_PER_PAIR = 2**31
 
 
-def _outcome(own: str, other: str) -> Column:
-    """Result for the owner of the first move; null when there is no opponent."""
-    step = cyclic_transition(other, own)
+def _outcome(own: str, other: str, game: Game) -> Column:
+    """Result for the owner of the first move, by the sign of its payoff; null when there is no opponent."""
+    win, loss, tie = game.outcomes
+
+    def pays(worth) -> Column:
+        found = F.lit(False)
+        for choice, row in zip(game.choices, game.payoff):
+            against = [c for c, value in zip(game.choices, row) if worth(value)]
+            if against:
+                found = found | ((F.col(own) == choice) & F.col(other).isin(against))
+        return found
+
     return (
-        F.when(F.col(own) == F.col(other), "tie")
+        F.when(F.col(own) == F.col(other), tie)
         .when(F.col(other).isNull(), None)
-        .when(F.col(own) == NO_MOVE, "loss")
-        .when(F.col(other) == NO_MOVE, "win")
-        .when(step == "+", "win")
-        .otherwise("loss")
+        .when(F.col(own) == NO_MOVE, loss)
+        .when(F.col(other) == NO_MOVE, win)
+        .when(pays(lambda value: value > 0), win)
+        .when(pays(lambda value: value == 0), tie)
+        .otherwise(loss)
     )
 
 
@@ -44,12 +54,15 @@ def rounds_from_events(
     rounds_per_game: int | None = None,
     by_game: bool = True,
     limits: Limits = LIMITS,
+    game: Game = RPS,
+    move: Column | None = None,
 ) -> DataFrame:
     """One row per event; `paired` keeps only rounds that both players reached.
 
     With `rounds_per_game` a pair's rounds are cut into consecutive games, so each
     player takes part in several. `by_game` deals the rounds to tasks by game, which all windows
-    within games then share; without it, what only counts moves can combine before any shuffle.
+    within games then share; without it, what only counts moves can combine before any shuffle. `move`
+    is the choice an event stands for, by default that of its type; `game` decides the outcomes.
     """
     rows, largest = group_sizes(events, ["user_id"])
     slices = limits.tasks_for(rows) if largest > limits.rows_per_task else 0
@@ -59,7 +72,7 @@ def rounds_from_events(
         F.col("user_id").alias("player_id"),
         "ts",
         "event_id",
-        label_of("event_type", EVENT_MOVES).alias("player_move"),
+        (label_of("event_type", EVENT_MOVES) if move is None else move).alias("player_move"),
     )
     if by_game and not slices:
         # A game is then two small users, so numbering, pairing and any later
@@ -91,5 +104,5 @@ def rounds_from_events(
         "player_id",
         "round_index",
         "player_move",
-        _outcome("player_move", "other_move").alias("player_outcome"),
+        _outcome("player_move", "other_move", game).alias("player_outcome"),
     )
