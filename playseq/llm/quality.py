@@ -3,7 +3,9 @@
 Each rule votes that a text is good or bad, or abstains where it has too little to go by.
 The number of texts with each pattern of votes is all that the model needs; those counts
 are gathered over the whole corpus, and expectation-maximisation over the patterns gives
-every rule's accuracy in either class and the share of bad texts. The posterior
+every rule's accuracy in either class and the share of bad texts. Labelled texts anchor it: the
+rates found in them weigh as much as the whole corpus, so a rule that fires in good texts loses its
+say, and a rare fault that only one rule sees isn't explained away as that rule's error. The posterior
 probability of being good then decides, instead of requiring every rule to pass.
 """
 
@@ -28,9 +30,8 @@ Features = dict[str, np.ndarray]
 class Rule:
     """Votes bad where `bad` holds, else good; abstains below `least_words`.
 
-    `in_bad` and `in_good` are where EM starts: how often the rule votes bad in bad and good texts.
-    `most_in_good` bounds the false alarms that EM may find: without a bound, a rare fault that
-    only one rule sees would always be explained as that rule's error.
+    `in_bad` and `in_good` are what is believed before any label is seen: how often the rule votes
+    bad in bad and good texts. The belief is worth `BELIEF` labelled texts.
     """
 
     name: str
@@ -38,11 +39,6 @@ class Rule:
     least_words: int = 1
     in_bad: float = 0.3
     in_good: float = 1e-4
-    most_in_good: float = 1e-4
-
-
-def _mean_length(f: Features) -> np.ndarray:
-    return f["word_chars"] / np.maximum(f["n_words"], 1)
 
 
 RULES = (
@@ -51,10 +47,8 @@ RULES = (
     Rule("repeated_lines", lambda f: 10 * f["n_dup_lines"] > 3 * f["n_lines"], 20),
     Rule("capitals", lambda f: 2 * f["n_upper"] > f["n_ascii_letters"], 10),
     Rule("shouting", lambda f: 5 * f["n_shouts"] > f["n_words"], 10),
-    Rule("insults", lambda f: f["n_insults"] > 0),
-    Rule("learned_insults", lambda f: f["n_learned"] > 0),
-    Rule("word_length", lambda f: (_mean_length(f) < 2.5) | (_mean_length(f) > 12), 20, in_good=0.1, most_in_good=0.5),
-    Rule("sentence_ends", lambda f: (200 * f["n_ends"] < f["n_words"]) | (2 * f["n_ends"] > f["n_words"]), 50, in_good=0.1, most_in_good=0.5),
+    Rule("learned_insults", lambda f: 1000 * f["n_learned"] > f["n_words"]),
+    Rule("sentence_ends", lambda f: (200 * f["n_ends"] < f["n_words"]) | (2 * f["n_ends"] > f["n_words"]), 50, in_good=0.1),
 )
 
 BASE_WORDS = 20
@@ -63,6 +57,13 @@ BASE_REPEAT_PERCENT = 30
 #: Labelled texts of either kind that the lexicon of `learned_insults` is learned from.
 SAMPLE = 1500
 
+#: How many labelled texts the stated rates of a rule are worth.
+BELIEF = 10
+
+#: How many times as much as the whole corpus the rates found in labelled texts weigh. Faults are seldom found
+#: together, so that where the corpus weighs more, EM takes for bad only what several rules see.
+ANCHOR = 10
+
 
 def votes(features: Features, rules: Sequence[Rule]) -> np.ndarray:
     out = np.full((len(features["n_words"]), len(rules)), GOOD, np.int8)
@@ -98,21 +99,39 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.log_odds(voted), -500, 500)))
 
 
-def fit(voted: np.ndarray, counts: np.ndarray, rules: Sequence[Rule], steps: int = 500) -> Model:
-    """Expectation-maximisation over the patterns of votes and how many texts have each."""
-    model = Model(0.1, np.array([r.in_good for r in rules]), np.array([r.in_bad for r in rules]))
+def labelled_rates(voted: np.ndarray, counts: np.ndarray, stated: Sequence[float]) -> np.ndarray:
+    """How often each rule votes bad in labelled texts of one kind, and without labels the stated rates."""
+    return (counts @ (voted == BAD) + BELIEF * np.array(stated)) / (counts @ (voted != ABSTAIN) + BELIEF)
+
+
+def fit(
+    voted: np.ndarray,
+    counts: np.ndarray,
+    rules: Sequence[Rule],
+    labelled_good: np.ndarray | None = None,
+    labelled_bad: np.ndarray | None = None,
+    steps: int = 500,
+) -> Model:
+    """Expectation-maximisation over the patterns of votes and how many texts have each.
+
+    `labelled_good` and `labelled_bad` count the labelled texts with each pattern. Their rates enter
+    every step as if `ANCHOR` times as many texts as the corpus has were known to have them; the stated
+    rates of bad texts don't, since which faults a corpus has can't be known beforehand.
+    """
+    labelled_good, labelled_bad = (np.zeros(len(voted)) if c is None else c for c in (labelled_good, labelled_bad))
+    anchor_good = labelled_rates(voted, labelled_good, [r.in_good for r in rules])
+    anchor_bad = labelled_rates(voted, labelled_bad, [r.in_bad for r in rules])
+    model = Model(0.1, anchor_good, anchor_bad)
     n = counts.sum()
-    if not n:
-        return model
-    for _ in range(steps):
+    told = labelled_bad @ (voted != ABSTAIN)
+    weight_good, weight_bad = ANCHOR * n, ANCHOR * n * told / (told + BELIEF) + 1
+    for _ in range(steps if n else 0):
         good = model.good_probability(voted)
-        shares = []
-        for weight in (counts * good, counts * (1 - good)):
+        rates = []
+        for weight, anchor, held in ((counts * good, anchor_good, weight_good), (counts * (1 - good), anchor_bad, weight_bad)):
             bad, spoke = weight @ (voted == BAD), weight @ (voted != ABSTAIN)
-            shares.append((bad + 0.5) / (spoke + 1))
-        bad_share = float(np.clip((counts @ (1 - good) + 0.5) / (n + 1), 0.01, 0.99))
-        in_good = np.clip(shares[0], 1e-6, [r.most_in_good for r in rules])
-        new = Model(bad_share, in_good, np.clip(shares[1], 1e-3, 1 - 1e-6))
+            rates.append(np.clip((bad + held * anchor) / (spoke + held), 1e-12, 1 - 1e-12))
+        new = Model(float((counts @ (1 - good) + 0.5) / (n + 1)), *rates)
         moved = max(abs(new.bad_share - model.bad_share), np.abs(new.in_good - model.in_good).max(), np.abs(new.in_bad - model.in_bad).max())
         model = new
         if moved < 1e-9:
@@ -181,6 +200,14 @@ def _choose_beginnings(pieces: list[pa.RecordBatch]) -> np.ndarray:
     return entries[example[np.array(out, np.int64)]]
 
 
+def _known_good(labels: DataFrame) -> DataFrame:
+    """By doc_id whether the text is good; ids whose labels don't tell are left out."""
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    good = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    told = labels.select("doc_id", F.when(bad, False).when(good, True).alias("good"))
+    return told.filter("doc_id IS NOT NULL AND good IS NOT NULL").groupBy("doc_id").agg(F.min("good").alias("good"))
+
+
 @dataclass
 class Judged:
     rows: DataFrame
@@ -194,6 +221,7 @@ def judge(
     text: str = "text",
     carry: Sequence[str] = ("doc_id",),
     lexicon: np.ndarray | None = None,
+    labels: DataFrame | None = None,
     rules: Sequence[Rule] = RULES,
     least_good: float = 0.5,
     keep_text: bool = False,
@@ -206,18 +234,38 @@ def judge(
     good_probability, kept and, with `keep_text`, text. Null and empty texts have no words, so they fail the base.
     Equal texts get equal results, whatever else their rows hold. The documents are read twice:
     once to count patterns of votes (at most 3 to the number of rules come to the driver), once to judge.
+    `labels` (doc_id, quality, toxic) anchor the model: a text of quality 0 or toxic is bad, one of
+    quality 1 that isn't toxic good; where an id has several, the worst counts.
     """
     words = documents.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), F.col(text).alias("text"))
 
+    anchored = labels is not None
+
     def count(batches):
         for batch in slices(batches, "text"):
-            found, times = np.unique(patterns(votes(measure(batch.column("text"), lexicon=lexicon), rules)), return_counts=True)
+            found = patterns(votes(measure(batch.column("text"), lexicon=lexicon), rules))
+            if anchored:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "pattern"])
+                continue
+            found, times = np.unique(found, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times)], ["pattern", "n"])
 
-    counted = words.select("text").mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
-    found = np.array([r["pattern"] for r in counted], np.int64)
+    if not anchored:
+        counted = words.select("text").mapInArrow(count, "pattern long, n long").withColumn("good", F.lit(None).cast("boolean"))
+    else:
+        read = documents.select("doc_id", F.col(text).alias("text"))
+        id_type = read.schema["doc_id"].dataType.simpleString()
+        # Rows of one id are counted before they meet their label.
+        by_id = read.mapInArrow(count, f"doc_id {id_type}, pattern long").groupBy("doc_id", "pattern").agg(F.count("*").alias("n"))
+        counted = by_id.join(_known_good(labels), "doc_id", "left")
+    totals = counted.groupBy("pattern").agg(
+        F.sum("n").alias("n"),
+        *(F.sum(F.when(F.col("good") == kind, F.col("n")).otherwise(0)).alias(name) for name, kind in (("good", True), ("bad", False))),
+    ).collect()
+    found = np.array([r["pattern"] for r in totals], np.int64)
     voted = found[:, None] // 3 ** np.arange(len(rules)) % 3
-    model = fit(voted, np.array([r["n"] for r in counted], np.float64), rules)
+    counts, good, bad = (np.array([r[name] for r in totals], np.float64) for name in ("n", "good", "bad"))
+    model = fit(voted, counts, rules, good, bad)
 
     def score(batches):
         for batch in slices(batches, "text"):

@@ -9,22 +9,9 @@ from playseq.llm.text import BYTES, NON_SPACE, WORDS, Words, covered, flat, mix,
 
 REPEAT_WINDOW = 8
 
-# The characters that count as symbols, the marks that end a sentence,
-# and words that insult.
+# The characters that count as symbols and the marks that end a sentence.
 SYMBOLS = "#*$%&|<>"
 ENDS = ".!?"
-INSULTS = (
-    "clown",
-    "disgusting",
-    "idiot",
-    "loser",
-    "moron",
-    "pathetic",
-    "scum",
-    "stupid",
-    "trash",
-    "worthless",
-)
 
 FEATURES = (
     "n_words",
@@ -37,7 +24,6 @@ FEATURES = (
     "n_shouts",
     "n_upper",
     "n_ascii_letters",
-    "n_insults",
     "n_learned",
 )
 
@@ -64,11 +50,6 @@ def _in_text(hashes: np.ndarray, document: np.ndarray) -> np.ndarray:
     return mix(hashes + document.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _word_of(words: tuple[str, ...]) -> np.ndarray:
-    data, at = flat(pa.array(words))
-    return BYTES.between(BYTES.prefix(BYTES.table[data]), at[:-1], at[1:])
-
-
 def _repeats(words: Words, hashes: np.ndarray, window: int) -> np.ndarray:
     """Words inside windows that the text holds twice or more."""
     if len(hashes) < window:
@@ -114,10 +95,10 @@ ENTRY = np.dtype([("size", np.int32), ("level", np.int32), ("hash", np.uint64)])
 
 
 def _of_size(plain: Words, prefix: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The texts and hashes of beginnings of one size; 0: of whole words."""
+    """The words and hashes of beginnings of one size; 0: of whole words."""
     end = plain.start + size if size else plain.end
-    long = end <= plain.end
-    return plain.document[long], BYTES.between(prefix, plain.start[long], end[long])
+    long = np.flatnonzero(end <= plain.end)
+    return long, BYTES.between(prefix, plain.start[long], end[long])
 
 
 def beginnings(plain: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +106,8 @@ def beginnings(plain: Words) -> tuple[np.ndarray, np.ndarray]:
     prefix = BYTES.prefix(BYTES.table[plain.data])
     texts, entries = [], []
     for size in (*PREFIXES, 0):
-        text, key = _of_size(plain, prefix, size)
+        word, key = _of_size(plain, prefix, size)
+        text = plain.document[word]
         order = np.lexsort((key, text))
         text, key = text[order], key[order]
         first = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (key[1:] != key[:-1]))[: len(key)])
@@ -140,15 +122,17 @@ def beginnings(plain: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def matches(plain: Words, lexicon: np.ndarray) -> np.ndarray:
-    """How many entries of the lexicon each text matches."""
+    """How many words of each text belong to entries of the lexicon that it matches."""
     n = len(plain.first) - 1
-    total = np.zeros(n, np.int64)
+    telling = np.zeros(len(plain.start), bool)
     prefix = BYTES.prefix(BYTES.table[plain.data])
     for size in np.unique(lexicon["size"]):
-        text, key = _of_size(plain, prefix, size)
+        word, key = _of_size(plain, prefix, size)
         for entry in lexicon[lexicon["size"] == size]:
-            total += np.bincount(text[key == entry["hash"]], minlength=n) >= entry["level"]
-    return total
+            found = word[key == entry["hash"]]
+            text = plain.document[found]
+            telling[found[np.bincount(text, minlength=n)[text] >= entry["level"]]] = True
+    return np.bincount(plain.document[telling], minlength=n)
 
 
 def measure(
@@ -162,17 +146,10 @@ def measure(
     last = data[words.end - 1] if len(words) else np.zeros(0, np.uint8)
     text = words.document
 
-    plain = plain_words(data, at)
-    lowered = plain.hashes()
-    known = _word_of(INSULTS)
-    order = np.argsort(known)
-    place = np.minimum(np.searchsorted(known[order], lowered), len(known) - 1)
-    insult = known[order][place] == lowered
-    insulted = plain.document[insult]
     n = len(at) - 1
     n_learned = np.zeros(n, np.int64)
     if lexicon is not None and len(lexicon):
-        n_learned = matches(plain, lexicon)
+        n_learned = matches(plain_words(data, at), lexicon)
     return {
         "n_words": words.counts,
         "word_chars": per_text(NON_SPACE[data] & ((data & 0xC0) != 0x80), at),
@@ -184,7 +161,6 @@ def measure(
         "n_shouts": np.bincount(text[last == ord("!")], minlength=n),
         "n_upper": per_text(_UPPER[data], at),
         "n_ascii_letters": per_text(_ASCII_LETTER[data], at),
-        "n_insults": np.bincount(insulted, minlength=n),
         "n_learned": n_learned,
     }
 

@@ -52,7 +52,8 @@ def op4_fast_similarity_near_dedup(spark: SparkSession, sf_dir: str) -> DataFram
 
 def op5_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    judged = judge(docs, lexicon=learn_lexicon(docs, table(spark, sf_dir, "labels")))
+    labels = table(spark, sf_dir, "labels")
+    judged = judge(docs, lexicon=learn_lexicon(docs, labels), labels=labels)
     return judged.rows.select(
         "row.doc_id",
         "n_words",

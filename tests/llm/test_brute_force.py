@@ -1,11 +1,12 @@
 """Operators against plain Python on awkward documents, and what they do with nothing at all."""
 
 import hashlib
-
+import math
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from playseq.llm.licenses import known_sentences, match_rules, normalise, scan
 from playseq.llm.mixing import copies, mix
 from playseq.llm.near_dedup import ShingleSets, near_duplicates
 from playseq.llm.quality import RULES, judge, learn_lexicon
+from playseq.llm.quality_features import beginnings, measure, plain_words
+from playseq.llm.text import flat
 from playseq.llm.token_counts import END, TOKENIZERS, VOCABULARY, _encoding, count_tokens, read_stream, token_stream
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -224,6 +227,94 @@ def test_quality_learns_marks_of_toxic_texts(spark):
     assert [k for k, kept in verdict.items() if not kept] == [k for k in verdict if k % 10 == 0]
 
 
+def plain_em(patterns, good, bad, rules):
+    """Posterior of being good by vote pattern: rates and share estimated in turn, in plain Python."""
+    def rate(kind, stated, k):
+        spoke = sum(n for p, n in kind.items() if p[k] != 0)
+        return (sum(n for p, n in kind.items() if p[k] == 2) + 10 * stated) / (spoke + 10)
+
+    anchors = [(rate(good, r.in_good, k), rate(bad, r.in_bad, k)) for k, r in enumerate(rules)]
+    rates, share, n = anchors, 0.1, sum(patterns.values())
+
+    def posterior(p):
+        odds = math.log(share / (1 - share))
+        for vote, (g, b) in zip(p, rates):
+            odds += max(math.log(b / g), 0) if vote == 2 else min(math.log((1 - b) / (1 - g)), 0) if vote == 1 else 0
+        return 1 / (1 + math.exp(odds))
+
+    for _ in range(500):
+        held = {p: posterior(p) for p in patterns}
+        new = []
+        for k, (g, b) in enumerate(anchors):
+            sums = []
+            told = sum(c for p, c in bad.items() if p[k] != 0)
+            bad_weight = 10 * n * told / (told + 10) + 1
+            for anchor, weight, held_by in ((g, lambda p: held[p], 10 * n), (b, lambda p: 1 - held[p], bad_weight)):
+                votes = sum(weight(p) * c for p, c in patterns.items() if p[k] == 2)
+                spoke = sum(weight(p) * c for p, c in patterns.items() if p[k] != 0)
+                sums.append((votes + held_by * anchor) / (spoke + held_by))
+            new.append(tuple(sums))
+        rates, share = new, (sum((1 - held[p]) * c for p, c in patterns.items()) + 0.5) / (n + 1)
+    return posterior
+
+
+def test_verdicts_equal_those_of_plain_em(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    rows = judge(docs, lexicon=learn_lexicon(docs, labels), labels=labels).rows.collect()
+    known = {r.doc_id: (r.quality, r.toxic) for r in labels.collect()}
+    everything, good, bad = Counter(), Counter(), Counter()
+    for r in rows:
+        everything[tuple(r.votes)] += 1
+        if r.row.doc_id in known:
+            quality, toxic = known[r.row.doc_id]
+            (bad if quality == 0 or toxic == 1 else good)[tuple(r.votes)] += 1
+    posterior = plain_em(everything, good, bad, RULES)
+    assert len(rows) > 100 and good and bad
+    for r in rows:
+        assert r.good_probability == pytest.approx(posterior(tuple(r.votes)), abs=1e-6)
+        assert r.kept == (not r.base_failed and r.good_probability >= 0.5)
+    assert 0 < sum(r.kept for r in rows) < len(rows)
+
+
+def test_a_rule_that_fires_in_good_texts_loses_its_say(spark):
+    rng = np.random.default_rng(1)
+    plain = [f"word{i}" + "." * (i % 8 == 0) for i in range(300)]
+    rows = []
+    for k in range(400):
+        w = list(rng.choice(plain, 80))
+        if k % 10 == 0:  # tables and code, which nobody calls bad
+            w[::4] = ["|"] * 20
+        if k % 10 == 1:
+            w = [x.upper() + "!" for x in w]
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame(
+        [(k, int(k % 10 != 1), 0) for k in range(200)] + [(None, 0, 0), (3, None, None)], "doc_id bigint, quality int, toxic int"
+    )
+    def lost(labels):
+        return {r.row.doc_id % 10 for r in judge(docs, labels=labels).rows.collect() if not r.kept}
+
+    assert lost(None) == {0, 1}
+    assert lost(labels) == {1}
+
+
+def test_one_word_does_not_condemn_a_long_text():
+    plain = " ".join(f"word{i % 97}" for i in range(3000))
+    lexicon = learned("grmpf")
+    short, long, often = (
+        measure(pa.array([t]), lexicon=lexicon) for t in ("a grmpf text", plain + " grmpf", plain + " grmpf" * 9)
+    )
+    rule = next(r for r in RULES if r.name == "learned_insults")
+    assert [bool(rule.bad(f)[0]) for f in (short, long, often)] == [True, False, True]
+
+
+def learned(word):
+    """A lexicon of one whole word, found once."""
+    _, entries = beginnings(plain_words(*flat(pa.array([word]))))
+    return entries[(entries["size"] == 0) & (entries["level"] == 1)]
+
+
 def test_mixing(spark, awkward):
     quality = spark.createDataFrame([(7, 2.0), (12, 0.5), (1, None)], "doc_id bigint, weight double")
     mixed = mix(awkward, quality=quality, carry=["doc_id", "row"], keep_text=True)
