@@ -102,7 +102,7 @@ def _bands(sketches: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 @dataclass
 class NearDuplicates:
-    """rows: `row`, k1, k2, id, n_shingles, component_id, first_of_component. links: verified pairs of distinct sets."""
+    """rows: `row`, k1, k2, id, n_shingles, component, component_id, kept. links: verified pairs of distinct sets."""
 
     rows: DataFrame
     links: DataFrame
@@ -136,7 +136,7 @@ def near_duplicates(
     Sets go by a hash of 64 bits: among n different ones, about n * n / 2 ** 65 pairs are mixed up.
 
     rows, one for each document: `row` (a struct of the `carry` columns), k1, k2 (a hash of the row's
-    id and text), id, n_shingles, component_id (the smallest id reachable; null ids count as none)
+    id and text), id, n_shingles, component (one number for each, null without words), component_id (the smallest id reachable; null ids count as none)
     and kept (id is component_id, also if both are null). Rows repeated in full are all kept or not.
     """
     named = documents.select(
@@ -197,11 +197,11 @@ def near_duplicates(
         proposed *= 4
     grouped = sets.select("node", "least_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = grouped.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    of_node = checkpoint(grouped.join(least, "label").select("node", "component_id"))
+    of_node = checkpoint(grouped.join(least, "label").select("node", F.col("label").alias("component"), "component_id"))
     rows = base.join(of_node, "node", "left").withColumn(
         "component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
     )
-    rows = rows.select("row", "k1", "k2", "id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    rows = rows.select("row", "k1", "k2", "id", "n_shingles", "component", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
     return NearDuplicates(rows, links)
 
 

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LETTERS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -51,6 +52,33 @@ def test_one_of_each_group_of_near_duplicates_stays(spark, awkward, folder):
     assert found == Counter({k: 1 for k in given if k[0] not in (2, 3)})
 
 
+def test_one_stays_whatever_the_ids(spark, folder):
+    """Groups without any id, groups that share their smallest id, and rows that differ in other columns only."""
+    rng = np.random.default_rng(3)
+
+    def near(seed):
+        w = [f"w{seed}x{i}" for i in range(120)]
+        for variant in range(4):
+            yield " ".join([*w[:119], f"last{variant}"])
+
+    rows = [(None, t, "a") for t in near(1)] + [(5, t, "b") for t in near(2)] + [(9, next(near(3)), s) for s in "edc"]
+    rows += [(None, next(near(4)), "f"), (4, list(near(4))[2], "g"), (None, None, "h"), (None, None, "h"), (8, "", "i")]
+    found = []
+    for _ in range(3):
+        docs = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "doc_id bigint, text string, source string")
+        docs = docs.repartition(5).withColumn("n_chars", F.length("text"))
+        found.append(sorted(map(repr, STAGES["near_dedup"](spark, docs, folder).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 6
+    assert [sum(f"source='{s}'" in r for r in found[0]) for s in "abfghi"] == [1, 1, 0, 1, 1, 1]
+
+
+def test_columns_of_the_mix_are_replaced(spark, awkward, folder):
+    again = awkward.withColumns({"mix_copy": F.lit("x"), "MIX_TAKEN": F.lit(0)})
+    mixed = STAGES["mixture"](spark, again, folder)
+    assert mixed.columns == [*awkward.columns, "mix_copy", "mix_target", "mix_taken"]
+    assert mixed.filter("mix_copy >= 1 AND mix_taken >= 0").count() == STAGES["mixture"](spark, awkward, folder).count()
+
+
 def test_repeated_strings_are_cut(spark, awkward, folder):
     size = corpus_pipeline.REPEAT_BYTES
     texts = [(r.doc_id, (r.text or "").encode()) for r in awkward.collect()]
