@@ -38,20 +38,33 @@ def _others(docs: DataFrame) -> list[str]:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are probably good; the others go."""
-    lexicon = learn_lexicon(docs, table(spark, sf_dir, "labels"))
+    labels = table(spark, sf_dir, "labels")
+    lexicon = learn_lexicon(docs, labels)
     carried = [c for c in docs.columns if c != "text"]
-    kept = judge(docs, carry=carried, lexicon=lexicon, keep_text=True).rows.filter("kept")
+    kept = judge(docs, carry=carried, lexicon=lexicon, labels=labels, keep_text=True).rows.filter("kept")
     return kept.select(*((F.col("text") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (5-word shingles, 80 %), that with the smallest id.
 
-    Of rows with equal id and text one stays.
+    A missing id comes last; where rows share the smallest id, or none has any, the hash of id and text
+    decides, and among rows equal in both that of the other columns. Documents without words are groups of
+    their own, but for rows equal in id and text.
     """
-    kept = near_duplicates(docs).rows.filter("kept").select("k1", "k2").distinct()
+    wordless = F.col("component").isNull()
+    groups = near_duplicates(docs).rows.groupBy(
+        "component", F.when(wordless, F.col("k1")).alias("own1"), F.when(wordless, F.col("k2")).alias("own2")
+    )
+    kept = groups.agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "k1", "k2")).alias("least")).select("least.k1", "least.k2")
     keyed = docs.select(*row_key(F.struct("doc_id"), F.col("text")), F.struct("*").alias("row"))
-    return keyed.join(kept, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row.*")
+    others = F.to_json(F.struct(*(F.col(f"row.`{c}`") for c in docs.columns if c != "text")))
+    return (
+        keyed.join(kept, ["k1", "k2"], "left_semi")
+        .groupBy("k1", "k2")
+        .agg(F.min_by("row", F.struct(F.xxhash64(others), F.xxhash64(F.lit(1), others))).alias("row"))
+        .select("row.*")
+    )
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,8 +87,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources mixed to their targets: a row for each copy of a document that the mix takes.
 
     Adds mix_copy (from 1), mix_target (words, of the source) and mix_taken (words, of the document
-    in all its copies). The text of the copy at which a source's budget ends is cut.
+    in all its copies), in place of columns of these names. The text of the copy at which a source's budget
+    ends is cut.
     """
+    docs = docs.drop("mix_copy", "mix_target", "mix_taken")
     mixed = mix(docs, quality=quality_weights(table(spark, sf_dir, "labels")), carry=_others(docs), keep_text=True)
     rows = copies(mixed).withColumnsRenamed({"copy": "mix_copy", "target": "mix_target", "taken": "mix_taken"})
     return _rewritten(rows, "copy_text", docs.columns, "mix_copy", "mix_target", "mix_taken")
