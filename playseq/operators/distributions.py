@@ -145,6 +145,11 @@ def contexts(game: Game) -> dict[str, Distribution]:
     return {name: d.of(game) for name, d in CONTEXTS.items()}
 
 
+# Rows that a task holds for each round where all dependencies are counted: a cell of each and one of the
+# wins, in about four steps (counts combined, counts, sorted for the totals, best responses or entropies).
+CELLS = 4 * (len(DEPENDENCIES) + 1)
+
+
 # Rounds won, counted along with the others where both are needed.
 def wins(game: Game) -> Distribution:
     return Distribution("wins", ("player_outcome",), equal=(("player_outcome", game.outcomes[0]),)).of(game)

@@ -60,7 +60,7 @@ def entropies(
     Conditional entropies weigh each context by how often it occurs on its own. A
     context without any conditional observation is left out, and the remaining
     weights are not rescaled; a smoothed one then has the entropy of uniform play. A key lacking a dependency altogether gets null. `rows` is
-    the number of rounds, if known, which bounds the counts.
+    the most counts there can be, if known.
     """
     targets = list(dict.fromkeys(WEIGHTED_BY[n] for n in names if n in WEIGHTED_BY))
     known = dependencies(game)

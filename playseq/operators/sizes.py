@@ -27,6 +27,8 @@ class Limits:
 
 
 LIMITS = Limits()
+# Rows that one task can't take are dealt to this many at least, or to the session's default if that is less.
+WIDTH = 32
 
 
 @dataclass(frozen=True)
@@ -108,8 +110,13 @@ def measure(rounds: DataFrame, min_rounds: int = MIN_ROUNDS, limits: Limits = LI
 
 
 def spread(df: DataFrame, columns: list[str], rows: int, limits: Limits = LIMITS) -> DataFrame:
-    """Hash-partition by columns, into more partitions than the session default if rows need it."""
+    """Hash-partition by columns; rows that need more than one task get a fixed number of partitions.
+
+    Otherwise adaptive execution merges partitions by their bytes, which don't tell what the rows become
+    in the task.
+    """
     needed = limits.tasks_for(rows)
-    if needed > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        return df.repartition(needed, *columns)
-    return df.repartition(*columns)
+    if needed <= 1:
+        return df.repartition(*columns)
+    least = min(WIDTH, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(max(needed, least), *columns)

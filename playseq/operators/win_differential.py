@@ -25,7 +25,7 @@ from playseq.operators.sequence import shift
 from playseq.operators.sizes import LIMITS, Limits, Sizes, measure
 
 POSITIONAL, ALIGNED = "positional", "aligned"
-# Up to this many choices each has a column of its own; more are rows, joined from the payoff table.
+# Up to this many choices each has a column of its own; more are summed over lists of cells.
 CHOICE_COLUMNS = 8
 
 # The per-game column each dependency's expected differential goes by.
@@ -99,7 +99,7 @@ def best_responses(
     payoffs = {start: game.transition_payoff if start else game.payoff for start in members}
     groups = [*keys, "distribution", *SLOTS[:2]]
     if max(map(len, payoffs.values())) > choice_columns:
-        return _best_of_rows(weighed, groups, payoffs, members)
+        return _best_of_lists(weighed, groups, payoffs, members, first)
     return _best_of_columns(weighed, groups, payoffs, members, first)
 
 
@@ -126,32 +126,38 @@ def _best_of_columns(weighed, groups, payoffs, members, first) -> DataFrame:
     )
 
 
-def _best_of_rows(weighed, groups, payoffs, members) -> DataFrame:
-    """The best choice, each of them summed in a row: cells meet the payoff table by their position.
+def _best_of_lists(weighed, groups, payoffs, members, first) -> DataFrame:
+    """The best choice, each of them summed over the list of a context's cells.
 
-    The table has the square of the number of choices in rows, a parameter, and is broadcast.
+    A context becomes one row, whatever the number of choices, and its list has a cell for each observed
+    category of the set at most. The payoff table, the square of the number of choices, is a parameter.
     """
-    rows = ["(-1, 0, 0.0D, CAST(NULL AS DOUBLE))"]
+    # The sum of a choice's payoffs stands behind them and is weighed by `rest`.
+    tables, ends = [], []
     for start, table in payoffs.items():
-        for choice, row in enumerate(table):
-            whole = f"{float(sum(row))}D"
-            rows.append(f"({-2 - start}, {choice}, 0.0D, {whole})")
-            rows += [f"({start + j}, {choice}, {float(value)}D, {whole})" for j, value in enumerate(row)]
-    table = weighed.sparkSession.sql(
-        f"SELECT * FROM VALUES {', '.join(rows)} AS payoffs(position, choice, payoff, whole)"
-    )
-    # What has no category in the set meets each choice once, for nothing.
-    outside = " ".join(f"WHEN distribution IN ({', '.join(found)}) THEN {-2 - start}" for start, found in members.items())
-    placed = weighed.withColumn("position", F.expr(f"coalesce(position, CASE {outside} ELSE -1 END)"))
+        rows = ", ".join(f"array({', '.join(f'{float(value)}D' for value in (*row, sum(row)))})" for row in table)
+        having = f"WHEN distribution IN ({', '.join(members[start])})"
+        tables.append(f"{having} THEN array({rows})")
+        ends.append(f"{having} THEN {len(table)}")
+    listed = f"collect_list(named_struct('at', position - IF(position < {first}, 0, {first}), 'weight', weight))"
     return (
-        placed.join(F.broadcast(table), "position")
-        .groupBy(*groups, "choice")
+        weighed.groupBy(*groups)
         .agg(
-            F.expr("sum(weight * payoff) + max(whole) * coalesce(max(rest), 0.0D)").alias("utility"),
+            # What has no category in the set pays nothing.
+            F.expr(f"{listed} FILTER (WHERE position IS NOT NULL)").alias("cells"),
+            F.expr("coalesce(max(rest), 0.0D)").alias("rest"),
             F.sum("n").alias("n"),
         )
-        .groupBy(*groups)
-        .agg(F.max("n").alias("n"), F.max("utility").alias("max_util"))
+        .withColumn("cells", F.expr(f"concat(cells, array(named_struct('at', CASE {' '.join(ends)} END, 'weight', rest)))"))
+        .select(
+            *groups,
+            "n",
+            # No value for distributions that have no payoff.
+            F.expr(
+                f"aggregate(CASE {' '.join(tables)} END, CAST(NULL AS DOUBLE), (best, payoff) -> greatest(best,"
+                " aggregate(cells, 0.0D, (s, cell) -> s + cell.weight * payoff[cell.at])))"
+            ).alias("max_util"),
+        )
     )
 
 

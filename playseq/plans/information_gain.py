@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from playseq.domain import GAME_KEYS, LABELLED_DEPENDENCIES, LABELS, PLAYER_KEYS, RPS, Game
 from playseq.functions import label_of, ordinal_of
-from playseq.operators.distributions import REFERENCE, dependencies
+from playseq.operators.distributions import CELLS, REFERENCE, dependencies
 from playseq.operators.entropy import ENTROPY, entropies
 from playseq.plans.study import Study
 
@@ -44,7 +44,8 @@ def player_entropies(
     # Where nobody plays twice, keys within the game are the same players, and their
     # counts can stay where the games are.
     keys = GAME_KEYS if study.sizes.games_per_player <= 1 else PLAYER_KEYS
-    found = entropies(study.features(keys), names, keys, smoothing, study.sizes.rows, study.limits, study.game)
+    rows = study.sizes.rows * CELLS
+    found = entropies(study.features(keys, CELLS), names, keys, smoothing, rows, study.limits, study.game)
     if "move" in names:
         found = found.filter(F.col(ENTROPY["move"]).isNotNull())
     return found.select("player_id", *(ENTROPY[name] for name in names))

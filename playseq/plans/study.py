@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
@@ -29,5 +29,7 @@ class Study:
         sizes = measure(rounds, min_rounds, limits)
         return cls(complete_rounds(rounds, min_rounds, sizes, limits), sizes, limits, game)
 
-    def features(self, keys: Sequence[str] = GAME_KEYS) -> DataFrame:
-        return features(self.rounds, keys, self.sizes, self.limits, self.game)
+    def features(self, keys: Sequence[str] = GAME_KEYS, cells: int = 1) -> DataFrame:
+        """The feature table, dealt to tasks that can hold `cells` rows for each round."""
+        sizes = replace(self.sizes, rows=self.sizes.rows * cells)
+        return features(self.rounds, keys, sizes, self.limits, self.game)

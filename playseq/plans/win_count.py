@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from playseq.domain import LABELLED_DEPENDENCIES, LABELS
 from playseq.functions import label_of
+from playseq.operators.distributions import CELLS
 from playseq.operators.regression import Fit, Moments, fit, residuals
 from playseq.operators.sequence import checkpoint
 from playseq.operators.win_differential import (
@@ -51,10 +52,10 @@ def summary_win_diff(study: Study, **options) -> DataFrame:
     columns = list(EXPECTED_WCD.values())
     options = {"game": study.game} | options
     if study.sizes.players_per_game <= study.limits.rows_per_task:
-        both = expected_and_empirical_wcd(study.features(), **options)
+        both = expected_and_empirical_wcd(study.features(cells=CELLS), **options)
     else:
         empirical = empirical_wcd(study.rounds, study.sizes, study.limits, options["game"])
-        expected = expected_wcd(study.features(), **options).withColumnRenamed("game_id", "_game_id")
+        expected = expected_wcd(study.features(cells=CELLS), **options).withColumnRenamed("game_id", "_game_id")
         # A missing game id is a game like any other.
         both = empirical.join(expected, F.col("game_id").eqNullSafe(F.col("_game_id")))
     return both.dropna(subset=columns).select("game_id", EMPIRICAL, *columns)

@@ -53,6 +53,7 @@ def rounds_from_events(
     paired: bool = False,
     rounds_per_game: int | None = None,
     by_game: bool = True,
+    cells: int = 1,
     limits: Limits = LIMITS,
     game: Game = RPS,
     move: Column | None = None,
@@ -61,8 +62,9 @@ def rounds_from_events(
 
     With `rounds_per_game` a pair's rounds are cut into consecutive games, so each
     player takes part in several. `by_game` deals the rounds to tasks by game, which all windows
-    within games then share; without it, what only counts moves can combine before any shuffle. `move`
-    is the choice an event stands for, by default that of its type; `game` decides the outcomes.
+    within games then share and which hold `cells` rows for each round; without it, what only counts
+    moves can combine before any shuffle. `move` is the choice an event stands for, by default that of its
+    type; `game` decides the outcomes.
     """
     rows, largest = group_sizes(events, ["user_id"])
     slices = limits.tasks_for(rows) if largest > limits.rows_per_task else 0
@@ -77,7 +79,7 @@ def rounds_from_events(
     if by_game and not slices:
         # A game is then two small users, so numbering, pairing and any later
         # windows within games share this one shuffle.
-        moves = spread(moves, ["game_id"], rows, limits)
+        moves = spread(moves, ["game_id"], rows * cells, limits)
     numbered = number_rows(
         moves, ["game_id", "player_id"], ["ts", "event_id"], "round_index", range_count=slices
     ).withColumn("round_index", F.col("round_index").cast("int"))

@@ -152,3 +152,31 @@ def test_contexts_of_unequal_sizes():
     assert known["prev_2move"].contexts == 16 and known["outcome_transition"].contexts == 3
     assert known["prev_transition_prev_outcome"].contexts == 9 and known["move"].contexts == 1
     assert contexts(RPS) == CONTEXTS
+
+
+@pytest.mark.parametrize("smoothing", [REFERENCE])
+def test_choices_do_not_multiply_the_rows_of_a_context(studies, smoothing):
+    """summary_win_diff_twenty: a row for each choice filled the memory of a task."""
+    study = studies["twenty"]
+    best = best_responses(study.features(), game=TWENTY, smoothing=smoothing)
+    text = best._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "BroadcastExchange" not in text and "choice#" not in text
+    # The same as a column for each choice.
+    columns = best_responses(study.features(), game=TWENTY, smoothing=smoothing, choice_columns=20)
+    want, got = ({tuple(r)[:5]: (r.n, r.max_util) for r in df.collect()} for df in (columns, best))
+    assert want.keys() == got.keys() and len(want) > 100
+    for key, (n, utility) in want.items():
+        assert got[key][0] == n and got[key][1] == pytest.approx(utility, abs=1e-12), key
+
+
+def test_observations_outside_the_choices_pay_nothing(spark):
+    """A key whose moves are all unknown has contexts without any cell of the set."""
+    rows = [("g", p, i, "unknown" if p == "a" else f"c{i % 20:02}", "tie") for p in "ab" for i in range(30)]
+    study = Study.of(spark.createDataFrame(rows, ROUNDS), 1, game=TWENTY)
+    want, got = (
+        {tuple(r)[:5]: (r.n, r.max_util) for r in best_responses(study.features(), game=TWENTY, choice_columns=c).collect()}
+        for c in (20, 8)
+    )
+    assert want.keys() == got.keys() and got["g", "a", 0, None, None] == (30, 0.0)
+    for key, (n, utility) in want.items():
+        assert got[key][0] == n and got[key][1] == pytest.approx(utility, abs=1e-12), key

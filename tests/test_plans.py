@@ -7,9 +7,9 @@ import pytest
 
 import __spark_entry__ as entry
 from playseq.domain import GAME_KEYS, PLAYER_KEYS
-from playseq.operators.distributions import DEPENDENCIES, distribution
+from playseq.operators.distributions import CELLS, DEPENDENCIES, distribution
 from playseq.operators.entropy import entropies
-from playseq.operators.sizes import Sizes
+from playseq.operators.sizes import Limits, Sizes
 from playseq.operators.win_differential import empirical_wcd, expected_wcd
 from playseq.plans.information_gain import player_entropies
 from playseq.plans.study import Study
@@ -121,3 +121,25 @@ def test_large_games_leave_the_shared_shuffle(study):
     text = plan(large.features())
     assert "_block" in text and "Exchange hashpartitioning(game_id#" in text
     assert re.search(r"hashpartitioning\(game_id#\d+L?, round_index#\d+, 50000\)", text)
+
+
+@pytest.mark.parametrize("rows, tasks", [(10**6, 10), (36 * 10**6, 360)])
+def test_tasks_follow_what_the_rounds_become(study, rows, tasks):
+    """summary_win_diff_twenty and others that count all dependencies: a task gets about 100,000 rounds."""
+    grown = Study(study.rounds, replace(study.sizes, rows=rows))
+    for df in (summary_win_diff(grown), player_entropies(grown)):
+        text = plan(df)
+        assert shuffles(df) == 1 and f", {tasks})" in text
+        # Adaptive execution may merge neither.
+        assert "REPARTITION_BY_NUM" in text
+
+
+def test_rounds_are_dealt_once_for_what_they_become(spark):
+    """Dealt where they are made, rounds aren't dealt again by the analysis."""
+    folder = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    limits = Limits(rows_per_task=4000)
+    rounds = rounds_from_events(events, cells=CELLS, limits=limits)
+    made = Study.of(rounds, 1, limits)
+    assert limits.tasks_for(made.sizes.rows * CELLS) > 8
+    assert shuffles(summary_win_diff(made)) == 1
