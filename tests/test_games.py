@@ -154,9 +154,9 @@ def test_contexts_of_unequal_sizes():
     assert contexts(RPS) == CONTEXTS
 
 
-@pytest.mark.parametrize("smoothing", [REFERENCE])
+@pytest.mark.parametrize("smoothing", [REFERENCE, LAPLACE])
 def test_choices_do_not_multiply_the_rows_of_a_context(studies, smoothing):
-    """summary_win_diff_twenty: a row for each choice filled the memory of a task."""
+    """summary_win_diff_twenty and _laplace: a row for each choice filled the memory of a task."""
     study = studies["twenty"]
     best = best_responses(study.features(), game=TWENTY, smoothing=smoothing)
     text = best._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
