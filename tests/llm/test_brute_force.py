@@ -73,6 +73,35 @@ def test_byte_strings(awkward, length, gram, class_pieces):
     assert keyed(found, "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
+def test_passages_of_many_words_go_by_their_bytes(spark):
+    """Passages of 51 words and more, each in three documents: those that hold 400 bytes go, whatever their words."""
+    rng = np.random.default_rng(9)
+    shared, serial = [(51, 312), (51, 399), (51, 400), (80, 399), (80, 400), (80, 900)], iter(range(10**6))
+
+    def own(n):
+        # No number comes twice, so documents share nothing else.
+        return " ".join(f"{next(serial):06}" for _ in range(n))
+
+    rows, want = [], {}
+    for words_in, size in shared:
+        sizes = np.full(words_in, 1)
+        np.add.at(sizes, rng.integers(0, words_in, size - 2 * words_in + 1), 1)
+        passage = " ".join("".join(rng.choice(list("abcdefgh"), n)) for n in sizes)
+        assert len(passage) == size and len(words(passage)) == words_in
+        for k in range(3):
+            # Neighbouring bytes differ, so no string reaches beyond the passage.
+            text = f"{own(20)}{'xyz'[k]}{passage}{'uvw'[k]}{own(30)}"
+            kept = text.replace(passage, "") if size >= 400 else text
+            want[len(rows)] = (len(text), len(text) - len(kept), int(size >= 400), hashlib.sha256(kept.encode()).hexdigest())
+            rows.append((len(rows), text))
+    for _ in range(6):
+        text = own(90)
+        want[len(rows)] = (len(text), 0, 0, hashlib.sha256(text.encode()).hexdigest())
+        rows.append((len(rows), text))
+    found = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.row.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == want
+
+
 @pytest.mark.parametrize("shingle", [2, 5])
 def test_near_duplicates(awkward, shingle):
     def shingles(text):
